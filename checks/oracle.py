@@ -25,13 +25,13 @@ _cte(
                date_diff('day', DATE '2024-01-01', DATE '2012-03-19')
                + 35 * date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))
                + (user_id * 7 + 5 * date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))) % 36
-               AS INTEGER)) AS at
+               AS INTEGER)) AS seen_at
     FROM events""",
 )
 _cte(
     "visit",
     """
-    SELECT sid, min(user_id) AS user_id, min(at) AS started, arg_min(k, event_id) AS k
+    SELECT sid, min(user_id) AS user_id, min(seen_at) AS started, arg_min(k, event_id) AS k
     FROM ev GROUP BY sid""",
     "ev",
 )
@@ -80,7 +80,7 @@ _cte(
 _cte(
     "website_pageviews",
     """
-    SELECT event_id AS website_pageview_id, at AS created_at, sid AS website_session_id,
+    SELECT event_id AS website_pageview_id, seen_at AS created_at, sid AS website_session_id,
       CASE event_type
         WHEN 'view' THEN CASE WHEN k < 45 THEN '/home' WHEN k < 90 THEN '/lander-1'
                               ELSE '/Home' END
@@ -100,7 +100,7 @@ _cte(
 _cte(
     "web_priced",
     """
-    SELECT event_id AS order_id, at AS created_at, sid AS website_session_id, user_id, k,
+    SELECT event_id AS order_id, seen_at AS created_at, sid AS website_session_id, user_id, k,
       CAST(1 + k % 6 AS BIGINT) AS primary_product_id,
       CAST(CASE WHEN k = 77 THEN NULL WHEN k % 25 = 0 THEN 0
                 WHEN k % 25 = 1 THEN -CAST(value AS DECIMAL(18,2))

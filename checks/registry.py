@@ -51,10 +51,6 @@ def plain(df: DataFrame) -> DataFrame:
     return df.withColumns({name: F.col(name).cast("double") for name in money}) if money else df
 
 
-def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-
-
 def _web(fn: Callable[[Shop], DataFrame]) -> Query:
     return lambda spark, folder: plain(fn(testbed.web_shop(spark, folder)))
 
@@ -64,13 +60,13 @@ def _store(fn: Callable[[Shop], DataFrame]) -> Query:
 
 
 def _raw(name: str, fn: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, folder: plain(fn(_read(spark, folder, name)))
+    return lambda spark, folder: plain(fn(testbed.read_given(spark, folder, name)))
 
 
 def _early_lines(spark: SparkSession, folder: str) -> DataFrame:
     return audit.early_child_count(
-        _read(spark, folder, "lineitem"),
-        _read(spark, folder, "orders"),
+        testbed.read_given(spark, folder, "lineitem"),
+        testbed.read_given(spark, folder, "orders"),
         "l_orderkey",
         parent_key="o_orderkey",
         child_ts="l_shipdate",

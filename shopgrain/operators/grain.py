@@ -54,10 +54,20 @@ def lines_per_order(items: DataFrame, keep: Column | None = None) -> DataFrame:
         F.count(F.lit(1)).alias("n_lines"),
         F.count(F.when(keep, F.lit(1))).alias("n_kept"),
         F.sum(F.when(keep, F.col("price_usd"))).alias("item_revenue"),
-        F.sum(F.when(keep, F.col("price_usd") - F.col("cogs_usd"))).alias("item_margin"),
+        margin(keep).alias("item_margin"),
     )
 
 
+def margin(keep: Column) -> Column:
+    """Sum of price minus cost over kept lines that have both.
+
+    Two sums and one difference per group: a short decimal is summed as a long,
+    the difference of two would already be too wide for that.
+    """
+    both = keep & F.col("price_usd").isNotNull() & F.col("cogs_usd").isNotNull()
+    return F.sum(F.when(both, F.col("price_usd"))) - F.sum(F.when(both, F.col("cogs_usd")))
+
+
 def baskets_per_session(
     orders: DataFrame, items: DataFrame, orphan: int = ORPHAN_PRODUCT
 ) -> DataFrame:

@@ -13,6 +13,7 @@ from shopgrain.operators.grain import (
     ORPHAN_PRODUCT,
     known_product,
     lines_per_order,
+    margin,
     priced,
     refunds_per_item,
 )
@@ -116,8 +117,7 @@ def launch_impact(
 def _product_lines(items: DataFrame, orphan: int) -> DataFrame:
     """(order, product) with line sums; the pre-aggregation of product reports."""
     return items.where(known_product(orphan)).groupBy("order_id", "product_id").agg(
-        F.sum("price_usd").alias("revenue"),
-        F.sum(F.col("price_usd") - F.col("cogs_usd")).alias("margin"),
+        F.sum("price_usd").alias("revenue"), margin(F.lit(True)).alias("margin")
     )
 
 
@@ -172,15 +172,21 @@ def sold_lines(
     rule = known_product(orphan) if where is None else known_product(orphan) & where
     joined = items.where(rule).join(refunds_per_item(refunds), "order_item_id", "left")
     matches = F.coalesce(F.col("n_refunds"), F.lit(0))
+    revenue, gain = F.sum("price_usd"), margin(F.lit(True))
     if grain_safe:
-        copies, refunded = F.lit(1), F.when(matches > 0, 1).otherwise(0)
+        sold, refunded = F.lit(1), F.when(matches > 0, 1).otherwise(0)
     else:
-        copies, refunded = F.greatest(matches, F.lit(1)), matches
+        sold, refunded = F.greatest(matches, F.lit(1)), matches
+        # The copies beyond the first exist for few lines; only those multiply.
+        price, cost = F.col("price_usd"), F.col("cogs_usd")
+        more = matches - 1
+        revenue = revenue + F.coalesce(F.sum(F.when(more > 0, price * more)), F.lit(0))
+        gain = gain + F.coalesce(F.sum(F.when(more > 0, (price - cost) * more)), F.lit(0))
     return joined.groupBy("order_id", "product_id").agg(
-        F.sum(copies).alias("n_sold"),
+        F.sum(sold).alias("n_sold"),
         F.sum(refunded).alias("n_refunded"),
-        F.sum(F.col("price_usd") * copies).alias("revenue"),
-        F.sum((F.col("price_usd") - F.col("cogs_usd")) * copies).alias("margin"),
+        revenue.alias("revenue"),
+        gain.alias("margin"),
     )
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,27 +11,39 @@ from shopgrain import schemas
 from shopgrain.operators.keys import first_per_key
 
 
-@dataclass(frozen=True)
 class Shop:
-    """The six logical tables; all lazy."""
+    """The six logical tables. A table is looked up when it is first used."""
 
-    sessions: DataFrame
-    pageviews: DataFrame
-    orders: DataFrame
-    order_items: DataFrame
-    refunds: DataFrame
-    products: DataFrame
+    def __init__(self, load: Callable[[str], DataFrame]) -> None:
+        self._load = cache(load)
+
+    @property
+    def sessions(self) -> DataFrame:
+        return self._load("website_sessions")
+
+    @property
+    def pageviews(self) -> DataFrame:
+        return self._load("website_pageviews")
+
+    @property
+    def orders(self) -> DataFrame:
+        return self._load("orders")
+
+    @property
+    def order_items(self) -> DataFrame:
+        return self._load("order_items")
+
+    @property
+    def refunds(self) -> DataFrame:
+        return self._load("order_item_refunds")
+
+    @property
+    def products(self) -> DataFrame:
+        return self._load("products")
 
     def named(self) -> dict[str, DataFrame]:
         """Stored table name -> DataFrame, in the usual listing order."""
-        return {
-            "website_sessions": self.sessions,
-            "website_pageviews": self.pageviews,
-            "orders": self.orders,
-            "order_items": self.order_items,
-            "order_item_refunds": self.refunds,
-            "products": self.products,
-        }
+        return {name: self._load(name) for name in schemas.TABLES}
 
     def register_views(self) -> None:
         """Make the tables available to ``spark.sql``."""
@@ -49,15 +61,7 @@ def read_table(spark: SparkSession, folder: str, name: str, fmt: str = "parquet"
 
 def read_shop(spark: SparkSession, folder: str, fmt: str = "parquet") -> Shop:
     """All six tables below one folder."""
-    t = {name: read_table(spark, folder, name, fmt) for name in schemas.TABLES}
-    return Shop(
-        t["website_sessions"],
-        t["website_pageviews"],
-        t["orders"],
-        t["order_items"],
-        t["order_item_refunds"],
-        t["products"],
-    )
+    return Shop(lambda name: read_table(spark, folder, name, fmt))
 
 
 def load_once(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] = ()) -> DataFrame:

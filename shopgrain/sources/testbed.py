@@ -14,18 +14,11 @@ the order of a user's visits does not change.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import (
-    DoubleType,
-    LongType,
-    StringType,
-    StructField,
-    StructType,
-    TimestampNTZType,
-)
 
-from shopgrain.schemas import MONEY
 from shopgrain.sources.tables import Shop
 
 # Fixed values of this binding.
@@ -36,273 +29,282 @@ FIRST_SHOP_DAY = "2012-03-19"
 SESSION_ID_EPOCH = "2020-01-01"
 SPREAD_DAYS = 36
 
-EVENTS = StructType(
-    [
-        StructField("event_id", LongType()),
-        StructField("ts", TimestampNTZType()),
-        StructField("user_id", LongType()),
-        StructField("event_type", StringType()),
-        StructField("value", DoubleType()),
-        StructField("props", StringType()),
-    ]
+# Type of a single price. All given prices fit; a larger one raises an error. Up
+# to 8 digits Spark sums a decimal as a long.
+_PRICE = "decimal(8,2)"
+
+
+# Declared schemas: reading needs no job to look at the files first.
+_TABLES = {
+    "events": (
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+        "value double, props string"
+    ),
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+        "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+        "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "part": (
+        "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+        "p_retailprice double"
+    ),
+}
+
+
+def read_given(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One of the given tables."""
+    return spark.read.schema(_TABLES[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+# The mapping is written as SQL expressions: one parse per column.
+
+# Days from FIRST_EVENT_DAY, and the number of days a visit moves.
+_DAY = f"datediff(to_date(ts), date'{FIRST_EVENT_DAY}')"
+_SHIFT = (
+    f"datediff(date'{FIRST_SHOP_DAY}', date'{FIRST_EVENT_DAY}') + {_DAY} * {SPREAD_DAYS - 1} "
+    f"+ pmod(user_id * 7 + {_DAY} * 5, {SPREAD_DAYS})"
 )
 
 
-def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-
-
-def _day(text: str) -> Column:
-    return F.lit(text).cast("date")
-
-
-def site_events(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(_read(spark, folder, "events"))
-
-
-def site_event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The same events as a stream of files."""
-    path = f"{folder.rstrip('/')}/events.parquet"
-    return spread(spark.readStream.schema(EVENTS).parquet(path))
-
-
 def spread(events: DataFrame) -> DataFrame:
     """Events with session id, ``k`` and the spread timestamp; a projection only."""
-    day = F.to_date("ts")
-    n = F.datediff(day, _day(FIRST_EVENT_DAY))
-    offset = F.pmod(F.col("user_id") * 7 + n * 5, F.lit(SPREAD_DAYS))
-    to_start = F.datediff(_day(FIRST_SHOP_DAY), _day(FIRST_EVENT_DAY))
-    shift = (to_start + n * (SPREAD_DAYS - 1) + offset).cast("int")
-    session = F.col("user_id") * 100000 + F.datediff(day, _day(SESSION_ID_EPOCH))
-    return events.select(
+    return events.selectExpr(
         "event_id",
         "ts",
         "user_id",
         "event_type",
         "value",
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
-        session.alias("website_session_id"),
-        (F.col("ts") + F.make_dt_interval(shift)).alias("created_at"),
+        "cast(get_json_object(props, '$.k') as int) as k",
+        f"user_id * 100000 + datediff(to_date(ts), date'{SESSION_ID_EPOCH}') as website_session_id",
+        f"ts + make_dt_interval(cast({_SHIFT} as int)) as created_at",
     )
 
 
-def _ladder(k: Column, steps: list[tuple[int, str | None]]) -> Column:
-    """Value of the first step whose bound is above k."""
-    out = None
-    for bound, value in steps:
-        out = F.when(k < bound, F.lit(value)) if out is None else out.when(k < bound, F.lit(value))
-    return out
+def site_events(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(read_given(spark, folder, "events"))
 
 
-def _capital(c: Column) -> Column:
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 100))
+def site_event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The same events as a stream of files."""
+    # A pattern, so that one file and a folder of files both work.
+    path = f"{folder.rstrip('/')}/events.parquet*"
+    return spread(spark.readStream.schema(_TABLES["events"]).parquet(path))
+
+
+def _ladder(steps: Sequence[tuple[int, str]], column: str = "k") -> str:
+    """CASE with the value of the first step whose bound is above the column."""
+    whens = " ".join(f"when {column} < {bound} then {value}" for bound, value in steps)
+    return f"case {whens} end"
+
+
+# Tags by k of the first event of a visit.
+_SOURCE = _ladder(
+    [
+        (45, "'gsearch'"),
+        (55, "'bsearch'"),
+        (61, "'gsearch'"),
+        (65, "'bsearch'"),
+        (70, "'socialbook'"),
+        (72, "'otherads'"),
+        (73, "''"),
+    ]
+)
+_CAMPAIGN = _ladder([(55, "'nonbrand'"), (65, "'brand'"), (70, "'pilot'"), (72, "'brand'")])
+_REFERER = _ladder(
+    [
+        (72, "concat('https://www.', source, '.com')"),
+        (73, "null"),
+        (87, "if(k % 2 = 0, 'https://www.gsearch.com', 'https://www.bsearch.com')"),
+        (92, "null"),
+        (96, "''"),
+        (100, "'  '"),
+    ]
+)
+
+# Page by event type and k.
+_PAGES = {
+    "view": [(45, "'/home'"), (90, "'/lander-1'"), (100, "'/Home'")],
+    "click": [
+        (20, "'/lander-1'"),
+        (35, "'/home'"),
+        (65, "'/products'"),
+        (68, "'/Products'"),
+        (78, "'/item-1'"),
+        (86, "'/item-2'"),
+        (93, "'/item-3'"),
+        (100, "'/Item-4'"),
+    ],
+    "signup": [
+        (25, "'/item-1'"),
+        (40, "'/item-2'"),
+        (75, "'/cart'"),
+        (80, "'/Cart'"),
+        (100, "'/shipping'"),
+    ],
+    "error": [(45, "'/billing'"), (90, "'/billing-2'"), (100, "'/shipping'")],
+    "purchase": [(100, "'/thank-you-for-your-order'")],
+}
+
+
+def _capital(c: str) -> str:
+    return f"concat(upper(substring({c}, 1, 1)), substring({c}, 2))"
 
 
 def sessions(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per (user, day); tags come from the first event of the visit."""
-    visits = site_events(spark, folder).groupBy("website_session_id").agg(
-        F.min("user_id").alias("user_id"),
-        F.min("created_at").alias("started_at"),
-        F.min_by("k", "event_id").alias("k"),
-    )
-    k = F.col("k")
-    last = k % 10
-    source = _ladder(
-        k,
-        [
-            (45, "gsearch"),
-            (55, "bsearch"),
-            (61, "gsearch"),
-            (65, "bsearch"),
-            (70, "socialbook"),
-            (72, "otherads"),
-            (73, ""),
-        ],
-    )
-    campaign = F.when(k == 83, F.lit("brand")).otherwise(
-        _ladder(k, [(55, "nonbrand"), (65, "brand"), (70, "pilot"), (72, "brand")])
-    )
-    device = F.when(F.pmod(F.col("user_id") + k, F.lit(10)) < 7, "desktop").otherwise("mobile")
-    site = (
-        F.when(source.isNotNull(), source)
-        .when((k < 87) & (k % 2 == 0), "gsearch")
-        .when(k < 87, "bsearch")
-    )
-    referer = (
-        F.when(k == 72, F.lit(None))
-        .when(site.isNotNull(), F.concat(F.lit("https://www."), site, F.lit(".com")))
-        .otherwise(_ladder(k, [(92, None), (96, ""), (100, "  ")]))
+    """One row per (user, day); tags come from the first event of the visit.
+
+    The window for the repeat flag sees one row per calendar day of a user.
+    """
+    visits = (
+        site_events(spark, folder)
+        .groupBy("website_session_id")
+        .agg(
+            F.expr("min(user_id) as user_id"),
+            F.expr("min(created_at) as started_at"),
+            F.expr("min_by(k, event_id) as k"),
+        )
+        .selectExpr(
+            "*",
+            f"{_SOURCE} as source",
+            f"if(k = 83, 'brand', {_CAMPAIGN}) as campaign",
+            "if(pmod(user_id + k, 10) < 7, 'desktop', 'mobile') as device",
+        )
+        .selectExpr("*", f"{_REFERER} as referer")
     )
-    # A user's visits are one per calendar day, which bounds this window.
-    user = Window.partitionBy("user_id")
-    return visits.select(
+    return visits.selectExpr(
         "website_session_id",
-        F.when(k % 50 == 7, F.col("started_at") + F.expr("INTERVAL '3' MINUTE"))
-        .otherwise(F.col("started_at"))
-        .alias("created_at"),
+        "if(k % 50 = 7, started_at + interval '3' minute, started_at) as created_at",
         "user_id",
-        (F.col("website_session_id") > F.min("website_session_id").over(user))
-        .cast("int")
-        .alias("is_repeat_session"),
-        F.when(last == 1, _capital(source))
-        .when(last == 2, F.upper(source))
-        .when(last == 3, F.concat(F.lit(" "), source))
-        .otherwise(source)
-        .alias("utm_source"),
-        F.when(last == 4, F.upper(campaign))
-        .when(last == 5, F.concat(campaign, F.lit(" ")))
-        .otherwise(campaign)
-        .alias("utm_campaign"),
-        F.when(last == 6, _capital(device))
-        .when(last == 7, F.concat(device, F.lit(" ")))
-        .otherwise(device)
-        .alias("device_type"),
-        F.when(last == 8, F.concat(F.lit(" "), referer)).otherwise(referer).alias("http_referer"),
+        "cast(website_session_id > min(website_session_id) over (partition by user_id) as int)"
+        " as is_repeat_session",
+        f"case k % 10 when 1 then {_capital('source')} when 2 then upper(source)"
+        " when 3 then concat(' ', source) else source end as utm_source",
+        "case k % 10 when 4 then upper(campaign) when 5 then concat(campaign, ' ')"
+        " else campaign end as utm_campaign",
+        f"case k % 10 when 6 then {_capital('device')} when 7 then concat(device, ' ')"
+        " else device end as device_type",
+        "if(k % 10 = 8, concat(' ', referer), referer) as http_referer",
     )
 
 
 def pageviews(spark: SparkSession, folder: str) -> DataFrame:
-    k = F.col("k")
-    page = {
-        "view": [(45, "/home"), (90, "/lander-1"), (100, "/Home")],
-        "click": [
-            (20, "/lander-1"),
-            (35, "/home"),
-            (65, "/products"),
-            (68, "/Products"),
-            (78, "/item-1"),
-            (86, "/item-2"),
-            (93, "/item-3"),
-            (100, "/Item-4"),
-        ],
-        "signup": [
-            (25, "/item-1"),
-            (40, "/item-2"),
-            (75, "/cart"),
-            (80, "/Cart"),
-            (100, "/shipping"),
-        ],
-        "error": [(45, "/billing"), (90, "/billing-2"), (100, "/shipping")],
-        "purchase": [(100, "/thank-you-for-your-order")],
-    }
-    url = None
-    for kind, steps in page.items():
-        rule = F.col("event_type") == kind
-        url = F.when(rule, _ladder(k, steps)) if url is None else url.when(rule, _ladder(k, steps))
-    return site_events(spark, folder).select(
-        F.col("event_id").alias("website_pageview_id"),
+    whens = " ".join(f"when '{kind}' then {_ladder(steps)}" for kind, steps in _PAGES.items())
+    return site_events(spark, folder).selectExpr(
+        "event_id as website_pageview_id",
         "created_at",
         "website_session_id",
-        url.alias("pageview_url"),
+        f"case event_type {whens} end as pageview_url",
     )
 
 
-def web_orders(spark: SparkSession, folder: str) -> DataFrame:
-    return purchases(site_events(spark, folder)).drop("ts")
-
-
 def purchases(events: DataFrame) -> DataFrame:
     """Purchase events as orders; some prices are zero, negative or missing."""
-    k = F.col("k")
-    value = F.col("value").cast(MONEY)
     price = (
-        F.when(k == 77, F.lit(None))
-        .when(k % 25 == 0, F.lit(0).cast(MONEY))
-        .when(k % 25 == 1, -value)
-        .otherwise(value)
-        .cast(MONEY)
+        "case when k = 77 then null when k % 25 = 0 then 0 "
+        f"when k % 25 = 1 then -cast(value as {_PRICE}) else cast(value as {_PRICE}) end"
     )
-    return events.where(F.col("event_type") == "purchase").select(
-        F.col("event_id").alias("order_id"),
-        "created_at",
-        "website_session_id",
-        "user_id",
-        (F.lit(1) + k % PRODUCT_COUNT).cast("bigint").alias("primary_product_id"),
-        price.alias("price_usd"),
-        F.when(k == 33, price)
-        .otherwise((price * F.lit("0.40").cast("decimal(4,2)")).cast(MONEY))
-        .alias("cogs_usd"),
-        "ts",
+    return (
+        events.where("event_type = 'purchase'")
+        .selectExpr("*", f"cast({price} as {_PRICE}) as price_usd")
+        .selectExpr(
+            "event_id as order_id",
+            "created_at",
+            "website_session_id",
+            "user_id",
+            f"cast(1 + k % {PRODUCT_COUNT} as bigint) as primary_product_id",
+            "price_usd",
+            f"if(k = 33, price_usd, cast(price_usd * 0.40BD as {_PRICE})) as cogs_usd",
+            "ts",
+        )
     )
 
 
+def web_orders(spark: SparkSession, folder: str) -> DataFrame:
+    return purchases(site_events(spark, folder)).drop("ts")
+
+
 def store_orders(spark: SparkSession, folder: str) -> DataFrame:
-    key = F.col("o_orderkey")
-    value = F.col("o_totalprice").cast(MONEY)
-    price = F.when(key % 50 == 7, F.lit(0).cast(MONEY)).when(key % 50 == 8, -value).otherwise(value)
-    price = price.cast(MONEY)
-    return _read(spark, folder, "orders").select(
-        key.alias("order_id"),
-        F.col("o_orderdate").alias("created_at"),
-        (F.col("o_custkey") * 100000).alias("website_session_id"),
-        F.col("o_custkey").alias("user_id"),
-        F.lit(None).cast("bigint").alias("primary_product_id"),
-        price.alias("price_usd"),
-        (price * F.lit("0.60").cast("decimal(4,2)")).cast(MONEY).alias("cogs_usd"),
+    price = (
+        f"case when o_orderkey % 50 = 7 then 0 when o_orderkey % 50 = 8 "
+        f"then -cast(o_totalprice as {_PRICE}) else cast(o_totalprice as {_PRICE}) end"
+    )
+    return (
+        read_given(spark, folder, "orders")
+        .selectExpr("*", f"cast({price} as {_PRICE}) as price_usd")
+        .selectExpr(
+            "o_orderkey as order_id",
+            "o_orderdate as created_at",
+            "o_custkey * 100000 as website_session_id",
+            "o_custkey as user_id",
+            "cast(null as bigint) as primary_product_id",
+            "price_usd",
+            f"cast(price_usd * 0.60BD as {_PRICE}) as cogs_usd",
+        )
     )
 
 
-def _item_id() -> Column:
-    """Line key; not unique in the given table, and left so."""
-    return F.col("l_orderkey") * 8 + F.col("l_linenumber")
+# Line key; not unique in the given table, and left so.
+_ITEM_ID = "l_orderkey * 8 + l_linenumber"
 
 
 def order_items(spark: SparkSession, folder: str) -> DataFrame:
-    part = F.col("l_partkey")
-    price = F.col("l_extendedprice").cast(MONEY)
-    return _read(spark, folder, "lineitem").select(
-        _item_id().alias("order_item_id"),
-        F.col("l_shipdate").alias("created_at"),
-        F.col("l_orderkey").alias("order_id"),
-        F.when(part % 23 == 0, F.lit(99)).otherwise(1 + part % PRODUCT_COUNT)
-        .cast("bigint")
-        .alias("product_id"),
-        (F.col("l_linenumber") == 1).cast("int").alias("is_primary_item"),
-        price.alias("price_usd"),
-        (price * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast(MONEY).alias("cogs_usd"),
+    return (
+        read_given(spark, folder, "lineitem")
+        .selectExpr("*", f"cast(l_extendedprice as {_PRICE}) as price_usd")
+        .selectExpr(
+            f"{_ITEM_ID} as order_item_id",
+            "l_shipdate as created_at",
+            "l_orderkey as order_id",
+            f"if(l_partkey % 23 = 0, 99, 1 + l_partkey % {PRODUCT_COUNT}) as product_id",
+            "cast(l_linenumber = 1 as int) as is_primary_item",
+            "price_usd",
+            f"cast(price_usd * (1 - cast(l_discount as decimal(4,2))) as {_PRICE}) as cogs_usd",
+        )
     )
 
 
 def refunds(spark: SparkSession, folder: str) -> DataFrame:
-    returned = _read(spark, folder, "lineitem").where(F.col("l_returnflag") == "R")
-    return returned.select(
-        (_item_id() * 10 + 1).alias("order_item_refund_id"),
-        (F.col("l_shipdate") + F.make_dt_interval("l_linenumber")).alias("created_at"),
-        _item_id().alias("order_item_id"),
+    return (
+        read_given(spark, folder, "lineitem")
+        .where("l_returnflag = 'R'")
+        .selectExpr(
+            f"({_ITEM_ID}) * 10 + 1 as order_item_refund_id",
+            "l_shipdate + make_dt_interval(l_linenumber) as created_at",
+            f"{_ITEM_ID} as order_item_id",
+        )
     )
 
 
 def products(spark: SparkSession, folder: str) -> DataFrame:
     """Six products: the parts grouped by key; the result has six rows at any size."""
     return (
-        _read(spark, folder, "part")
-        .groupBy((1 + F.col("p_partkey") % PRODUCT_COUNT).cast("bigint").alias("product_id"))
-        .agg(F.min("p_name").alias("_name"))
-        .select(
-            "product_id",
-            F.concat("_name", F.lit(" #"), F.col("product_id").cast("string")).alias("product_name"),
-        )
+        read_given(spark, folder, "part")
+        .groupBy(F.expr(f"cast(1 + p_partkey % {PRODUCT_COUNT} as bigint) as product_id"))
+        .agg(F.expr("min(p_name) as name"))
+        .selectExpr("product_id", "concat(name, ' #', product_id) as product_name")
     )
 
 
+_WEB = {
+    "website_sessions": sessions,
+    "website_pageviews": pageviews,
+    "orders": web_orders,
+    "order_items": order_items,
+    "order_item_refunds": refunds,
+    "products": products,
+}
+
+
 def web_shop(spark: SparkSession, folder: str) -> Shop:
-    return Shop(
-        sessions(spark, folder),
-        pageviews(spark, folder),
-        web_orders(spark, folder),
-        order_items(spark, folder),
-        refunds(spark, folder),
-        products(spark, folder),
-    )
+    return Shop(lambda name: _WEB[name](spark, folder))
 
 
 def store(spark: SparkSession, folder: str) -> Shop:
     """Web visits with the store's own orders."""
-    return Shop(
-        sessions(spark, folder),
-        pageviews(spark, folder),
-        store_orders(spark, folder),
-        order_items(spark, folder),
-        refunds(spark, folder),
-        products(spark, folder),
-    )
+    tables = {**_WEB, "orders": store_orders}
+    return Shop(lambda name: tables[name](spark, folder))

@@ -25,7 +25,13 @@ def accepted(
     rows older than the watermark are late and leave the stream.
     """
     good = rows.where(F.coalesce(F.col(price) > 0, F.lit(True)))
-    return good.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
+    clock = F.col(event_time).cast("timestamp")
+    return (
+        good.withColumn("_event_time", clock)
+        .withWatermark("_event_time", delay)
+        .dropDuplicatesWithinWatermark(list(keys))
+        .drop("_event_time")
+    )
 
 
 def bad_price(rows: DataFrame, price: str = "price_usd") -> DataFrame:
