@@ -251,12 +251,21 @@ def sql(body: str, *needs: str) -> str:
     return f"WITH {head}\n{body}"
 
 
+def half_up(x: str, k: int) -> str:
+    """Round a quotient half up, as decimal arithmetic does.
+
+    DuckDB divides as double; an exact tie such as 4.475 would come out a hair
+    below and be rounded down. Nine digits bring the tie back.
+    """
+    return f"CAST(round(CAST({x} AS DECIMAL(38,9)), {k}) AS DOUBLE)"
+
+
 def pct(n: str, d: str, k: int = 2) -> str:
-    return f"round(CAST({n} AS DOUBLE) * 100 / nullif(CAST({d} AS DOUBLE), 0), {k})"
+    return half_up(f"CAST({n} AS DOUBLE) * 100 / nullif(CAST({d} AS DOUBLE), 0)", k)
 
 
 def ratio(n: str, d: str, k: int = 2) -> str:
-    return f"round({over(n, d)}, {k})"
+    return half_up(over(n, d), k)
 
 
 def over(n: str, d: str) -> str:

@@ -79,7 +79,8 @@ def spread(events: DataFrame) -> DataFrame:
         "user_id",
         "event_type",
         "value",
-        "cast(get_json_object(props, '$.k') as int) as k",
+        # One number in a flat object: a pattern is ten times cheaper than a JSON parse.
+        """cast(regexp_extract(props, '"k": *([0-9]+)', 1) as int) as k""",
         f"user_id * 100000 + datediff(to_date(ts), date'{SESSION_ID_EPOCH}') as website_session_id",
         f"ts + make_dt_interval(cast({_SHIFT} as int)) as created_at",
     )
