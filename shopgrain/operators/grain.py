@@ -117,21 +117,22 @@ def page_flags(pageviews: DataFrame, steps: Mapping[str, Sequence[str]]) -> Data
     pages are dropped before the shuffle, so a session without any step page is
     absent.
     """
-    page = url()
+    page = F.col("_page")
     wanted = sorted({p for pages in steps.values() for p in pages})
     flags = [
         F.max(F.when(page.isin(*pages), 1).otherwise(0)).alias(f"hit_{name}")
         for name, pages in steps.items()
     ]
-    return pageviews.where(page.isin(*wanted)).groupBy(SESSION).agg(*flags)
+    views = pageviews.select(SESSION, url().alias("_page"))
+    return views.where(page.isin(*wanted)).groupBy(SESSION).agg(*flags)
 
 
 def page_hits(pageviews: DataFrame, pages: Sequence[str]) -> DataFrame:
     """(session, page, n_views) for the given pages."""
-    page = url()
     return (
-        pageviews.where(page.isin(*pages))
-        .groupBy(SESSION, page.alias("page"))
+        pageviews.select(SESSION, url().alias("page"))
+        .where(F.col("page").isin(*pages))
+        .groupBy(SESSION, "page")
         .agg(F.count(F.lit(1)).alias("n_views"))
     )
 
@@ -152,11 +153,11 @@ def entered_on(pageviews: DataFrame, pages: Sequence[str]) -> DataFrame:
     one whose own lowest id equals the session's lowest id. That keeps all
     buffers fixed-width, so Spark hashes instead of sorting every page view.
     """
-    page, view = url(), F.col("website_pageview_id")
+    page, view = F.col("_page"), F.col("website_pageview_id")
     firsts = [
         F.min(F.when(page == name, view)).alias(f"_first_{i}") for i, name in enumerate(pages)
     ]
-    seen = pageviews.groupBy(SESSION).agg(
+    seen = pageviews.withColumn("_page", url()).groupBy(SESSION).agg(
         F.min(view).alias("_first"),
         F.min_by("created_at", "website_pageview_id").alias("entered_at"),
         F.count(F.lit(1)).alias("n_views"),

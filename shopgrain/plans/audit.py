@@ -165,22 +165,18 @@ def exclusion_summary(shop: Shop, session_keys: Sequence[str] = ("website_sessio
             ),
             "excluded from product reports",
         ),
-        (
-            "untrimmed tags",
-            untrimmed_count(shop.sessions, TAGS, "records"),
-            "corrected when read",
-        ),
-        (
-            "untrimmed referers",
-            untrimmed_count(shop.sessions, ("http_referer",), "records"),
-            "corrected when read",
-        ),
     ]
+    # Both text checks in one pass over the sessions.
+    texts = shop.sessions.agg(
+        tally(untrimmed(*TAGS)).alias("untrimmed tags"),
+        tally(untrimmed("http_referer")).alias("untrimmed referers"),
+    ).unpivot([], ["untrimmed tags", "untrimmed referers"], "issue", "records")
     listed = _union(
         [
             df.select(F.lit(issue).alias("issue"), "records", F.lit(action).alias("action"))
             for issue, df, action in found
         ]
+        + [texts.withColumn("action", F.lit("corrected when read"))]
     )
     all_rows = table_counts(shop.named()).agg(F.sum("row_count"))
     return listed.select(

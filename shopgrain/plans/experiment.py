@@ -191,12 +191,9 @@ def landing_value(test: DataFrame, after: DataFrame, control: str = HOME, varian
 
     lift = test.agg(rate(control).alias("control_pct"), rate(variant).alias("variant_pct"))
     gain = F.col("variant_pct") - F.col("control_pct")
-    return lift.select(
-        "control_pct",
-        "variant_pct",
-        F.round(gain, 2).alias("lift_pp"),
-        after.select("post_test_sessions").scalar().alias("post_test_sessions"),
-        after.select("overall_aov").scalar().alias("overall_aov"),
+    later = after.select(F.struct("post_test_sessions", "overall_aov")).scalar()
+    return lift.withColumn("_after", later).select(
+        "control_pct", "variant_pct", F.round(gain, 2).alias("lift_pp"), "_after.*"
     ).withColumn(
         "incremental_revenue",
         F.round(F.col("lift_pp") / 100 * F.col("post_test_sessions") * F.col("overall_aov"), 2),

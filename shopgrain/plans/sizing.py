@@ -59,20 +59,15 @@ def monthly_averages(baseline: DataFrame, funnel: DataFrame) -> DataFrame:
         over(F.sum("reached_cart"), F.sum("reached_product_detail")).alias("detail_to_cart"),
         over(F.sum("reached_thankyou"), F.sum("reached_cart")).alias("cart_to_order"),
     )
-
-    def step(name: str) -> Column:
-        return steps.select(name).scalar().alias(name)
-
-    return base.select(
+    # One subquery for all four figures, so that the funnel is computed once.
+    figures = steps.select(F.struct("*")).scalar()
+    return base.withColumn("_steps", figures).select(
         over("_sessions", "_months").alias("sessions"),
         over("_orders", "_months").alias("orders"),
         over("_revenue", "_orders").alias("order_value"),
         over("_orders", "_sessions").alias("conversion"),
         over("_revenue", "_sessions").alias("revenue_per_session"),
-        step("detail"),
-        step("cart"),
-        step("detail_to_cart"),
-        step("cart_to_order"),
+        "_steps.*",
     )
 
 

@@ -103,6 +103,17 @@ def _ladder(steps: Sequence[tuple[int, str]], column: str = "k") -> str:
     return f"case {whens} end"
 
 
+def _table(steps: Sequence[tuple[int, str]]) -> str:
+    """The same as an array indexed by k.
+
+    Spark folds it to a literal, so a filter on the page reads k once and not
+    once per step.
+    """
+    starts = [0, *(bound for bound, _ in steps)]
+    runs = [f"array_repeat({v}, {bound - low})" for (bound, v), low in zip(steps, starts)]
+    return f"flatten(array({', '.join(runs)}))[k]"
+
+
 # Tags by k of the first event of a visit.
 _SOURCE = _ladder(
     [
@@ -194,7 +205,7 @@ def sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pageviews(spark: SparkSession, folder: str) -> DataFrame:
-    whens = " ".join(f"when '{kind}' then {_ladder(steps)}" for kind, steps in _PAGES.items())
+    whens = " ".join(f"when '{kind}' then {_table(steps)}" for kind, steps in _PAGES.items())
     return site_events(spark, folder).selectExpr(
         "event_id as website_pageview_id",
         "created_at",
