@@ -86,9 +86,10 @@ def _intake_stream(spark: SparkSession, folder: str) -> DataFrame:
     rows = testbed.purchases(testbed.site_event_stream(spark, folder))
     run = run_intake(spark, rows, ["order_id"], event_time="ts", delay="1 day")
     day = F.to_date("created_at").alias("day")
+    out = spark.read.schema(rows.schema)
     parts = [
-        spark.read.parquet(run.accepted).select(day, F.lit(1).alias("a"), F.lit(0).alias("b")),
-        spark.read.parquet(run.rejected).select(day, F.lit(0).alias("a"), F.lit(1).alias("b")),
+        out.parquet(run.accepted).select(day, F.lit(1).alias("a"), F.lit(0).alias("b")),
+        out.parquet(run.rejected).select(day, F.lit(0).alias("a"), F.lit(1).alias("b")),
     ]
     return (
         parts[0]

@@ -18,19 +18,25 @@ def accepted(
     price: str = "price_usd",
     event_time: str = "created_at",
     delay: str = "1 hour",
+    spread: int = 16,
 ) -> DataFrame:
     """Rows to load: price not rejected, first of their key.
 
     Keys are remembered for ``delay`` of event time, which bounds the state;
-    rows older than the watermark are late and leave the stream.
+    rows older than the watermark are late and leave the stream. Copies of one
+    key are first thinned out in ``spread`` parts, so that a key with very many
+    copies does not pass through one task; the second step sees at most one
+    copy per part. Which part a copy falls in does not change the result.
     """
     good = rows.where(F.coalesce(F.col(price) > 0, F.lit(True)))
     clock = F.col(event_time).cast("timestamp")
     return (
         good.withColumn("_event_time", clock)
+        .withColumn("_part", (F.rand(7) * spread).cast("int"))
         .withWatermark("_event_time", delay)
+        .dropDuplicatesWithinWatermark([*keys, "_part"])
         .dropDuplicatesWithinWatermark(list(keys))
-        .drop("_event_time")
+        .drop("_event_time", "_part")
     )
 
 

@@ -74,7 +74,8 @@ def test_stream_rejects_prices_repeats_and_late_rows(spark, tmp_path):
         stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
         return run_intake(spark, stream, ["id"], folder=base)
 
-    _batch(spark, src, [(1, "2024-01-01 10:00:00", "5"), (1, "2024-01-01 10:00:00", "5"), (2, "2024-01-01 10:05:00", "0")])
+    copies = [(1, "2024-01-01 10:00:00", "5")] * 3000
+    _batch(spark, src, [*copies, (2, "2024-01-01 10:05:00", "0")])
     run()
     # A repeat inside the delay is dropped, also in a later batch and after a restart.
     _batch(spark, src, [(1, "2024-01-01 10:10:00", "5"), (3, "2024-01-01 14:00:00", None), (4, "2024-01-01 14:00:00", "-1")])
