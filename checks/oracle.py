@@ -475,8 +475,9 @@ _put(
 _put(
     "n8_timely_pageviews",
     """SELECT p.pageview_url, count(*) AS pageviews
-       FROM website_pageviews p JOIN website_sessions s USING (website_session_id)
-       WHERE NOT p.created_at < s.created_at GROUP BY 1""",
+       FROM website_pageviews p WHERE NOT EXISTS (SELECT 1 FROM website_sessions s
+         WHERE s.website_session_id = p.website_session_id AND p.created_at < s.created_at)
+       GROUP BY 1""",
     "website_pageviews", "website_sessions",
 )
 _put(

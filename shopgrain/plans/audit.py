@@ -83,11 +83,15 @@ def early_pageviews(pageviews: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def timely_pageviews(pageviews: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Page views without those stamped before their session (and without a session)."""
+    """Page views without those stamped before their session.
+
+    Views without a session, or without one of the times, are not early and stay.
+    """
     start = sessions.select("website_session_id", F.col("created_at").alias("_start"))
+    early = F.col("created_at") < F.col("_start")
     return (
-        pageviews.join(start, "website_session_id")
-        .where(F.col("created_at") >= F.col("_start"))
+        pageviews.join(start, "website_session_id", "left")
+        .where(F.coalesce(~early, F.lit(True)))
         .drop("_start")
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -32,14 +33,16 @@ def build_session(master: str | None = None, app: str = "shopgrain", **extra: st
     return builder.getOrCreate()
 
 
+@cache
+def _own_base() -> str:
+    return tempfile.mkdtemp(prefix="shopgrain-")
+
+
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a temporary folder is used
-    and stored in the session, so later calls agree on it.
+    Only where that setting is absent, as in local tests, a temporary folder of
+    this process is used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="shopgrain-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_base()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -69,6 +69,33 @@ def test_unused_repeat_flag_costs_no_window(spark):
     assert "Window" not in text(QUERIES["c1_monthly_mix"](spark, SF))
 
 
+def test_runtime_filter_passes_below_the_pre_aggregation(spark, tmp_path):
+    """Sessions in scope prune the page view scan, although views are aggregated first."""
+    from shopgrain.plans import funnel
+
+    given = testbed.web_shop(spark, SF)
+    for name, df in (("s", given.sessions), ("p", given.pageviews)):
+        df.write.parquet(str(tmp_path / name))
+    conf = {
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        s, p = (spark.read.parquet(str(tmp_path / n)) for n in "sp")
+        df = funnel.counts(s, p, testbed.DETAIL_PAGES)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Aggregate [website_session_id") < plan.index("might_contain")
+        assert df.collect() == funnel.counts(
+            given.sessions, given.pageviews, testbed.DETAIL_PAGES
+        ).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_hot_parent_is_split(spark):
     """A session with a third of all views is split by the adaptive skew join."""
     conf = {

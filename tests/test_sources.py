@@ -55,7 +55,19 @@ def test_orphans_include_null_keys(spark):
 
 
 def test_work_folder_follows_the_session(spark):
-    assert work_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+    class Conf:
+        def __init__(self, value):
+            self.value = value
+
+        def get(self, key, default=None):
+            return self.value if key == "spark.checkpoint.dir" else default
+
+    class Session:
+        def __init__(self, value):
+            self.conf = Conf(value)
+
+    assert work_folder(Session("hdfs:///shared/"), "x").startswith("hdfs:///shared/x-")
+    assert "shopgrain-" in work_folder(Session(None), "x")
 
 
 SCHEMA = "id bigint, created_at timestamp_ntz, price_usd decimal(18,2)"
