@@ -12,6 +12,9 @@ def _col(value: str | Column) -> Column:
 
 def over(n: str | Column, d: str | Column) -> Column:
     """n / d as a double, NULL when d is 0."""
+    if isinstance(n, str) and isinstance(d, str):
+        # Column names: one parsed expression builds faster than a chain of calls.
+        return F.expr(f"cast(`{n}` as double) / nullif(cast(`{d}` as double), 0D)")
     return _col(n).cast("double") / F.nullif(_col(d).cast("double"), F.lit(0.0))
 
 
@@ -21,6 +24,9 @@ def ratio(n: str | Column, d: str | Column, digits: int = 2) -> Column:
 
 def pct(n: str | Column, d: str | Column, digits: int = 2) -> Column:
     """Percentage: multiplied before the division, so one rounding decides."""
+    if isinstance(n, str) and isinstance(d, str):
+        share = f"cast(`{n}` as double) * 100D / nullif(cast(`{d}` as double), 0D)"
+        return F.expr(f"round({share}, {digits})")
     return F.round(
         _col(n).cast("double") * 100.0 / F.nullif(_col(d).cast("double"), F.lit(0.0)), digits
     )
@@ -33,6 +39,8 @@ def tally(rule: Column) -> Column:
 
 def total(value: str | Column, rule: Column | None = None) -> Column:
     """Sum of a count column, 0 where it is missing (the side of a left join)."""
+    if isinstance(value, str) and rule is None:
+        return F.expr(f"coalesce(sum(coalesce(`{value}`, 0)), 0)")
     value = F.coalesce(_col(value), F.lit(0))
     if rule is not None:
         value = F.when(rule, value)
