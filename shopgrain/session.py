@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the plans rely on. All are ordinary Spark options; a cluster's own
 # values win because they are only set when the session is created here.
@@ -33,16 +31,26 @@ def build_session(master: str | None = None, app: str = "shopgrain", **extra: st
     return builder.getOrCreate()
 
 
-@cache
-def _own_base() -> str:
-    return tempfile.mkdtemp(prefix="shopgrain-")
-
-
 def work_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the shared folder named by ``spark.checkpoint.dir``.
+    """A new folder that the driver and all executors share.
 
-    Only where that setting is absent, as in local tests, a temporary folder of
-    this process is used.
+    It lies below ``spark.checkpoint.dir`` or, where the session does not name
+    one, below its warehouse. A machine-local folder is never used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_base()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(
+        "spark.sql.warehouse.dir", None
+    )
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows written as Parquet below the shared folder and read again.
+
+    Cuts the lineage and fixes the rows: what is read twice is the same twice, and
+    a lost executor costs no recomputation.
+    """
+    path = work_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
