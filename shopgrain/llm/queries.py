@@ -1,12 +1,17 @@
-"""The registered queries of the training-data operators, and their SQL."""
+"""The registered queries of the training-data operators."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shopgrain.llm import sharding
+from shopgrain.llm import decontaminate, sharding, warc
+from shopgrain.llm.oracle import ORACLE
+from shopgrain.session import stored
+
+__all__ = ["ORACLE", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +20,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op2_seekable_bundles(spark: SparkSession, folder: str) -> DataFrame:
+    bundles = stored(warc.write_bundles(warc.with_first(table(spark, folder, "pages"))), "warc")
+    return warc.read_bundles(bundles, payload=False).select(
+        F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op7_histogram_sort(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(table(spark, folder, "documents"), shards=24)
 
 
+def op8_prefix_filter(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return decontaminate.digest(decontaminate.find(docs, table(spark, folder, "benchmark"), window=10))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_seekable_bundles": op2_seekable_bundles,
     "op7_histogram_sort": op7_histogram_sort,
+    "op8_prefix_filter": op8_prefix_filter,
 }
-
-ORACLE: dict[str, str] = {}
