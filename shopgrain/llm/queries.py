@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopgrain.llm import decontaminate, sharding, warc
+from shopgrain.llm import bpe, decontaminate, secrets, sharding, warc
 from shopgrain.llm.oracle import ORACLE
 from shopgrain.session import stored
 
@@ -27,6 +28,13 @@ def op2_seekable_bundles(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_transducer_lexicon(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    encoded = bpe.encode(docs, path).select("doc_id", "ids")
+    return bpe.digest(bpe.decode(encoded, path))
+
+
 def op7_histogram_sort(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(table(spark, folder, "documents"), shards=24)
 
@@ -36,8 +44,14 @@ def op8_prefix_filter(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(docs, table(spark, folder, "benchmark"), window=10))
 
 
+def op9_keyword_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.digest(secrets.find(table(spark, folder, "documents").select("doc_id", "text")))
+
+
 QUERIES: dict[str, Query] = {
     "op2_seekable_bundles": op2_seekable_bundles,
+    "op5_transducer_lexicon": op5_transducer_lexicon,
     "op7_histogram_sort": op7_histogram_sort,
     "op8_prefix_filter": op8_prefix_filter,
+    "op9_keyword_automaton": op9_keyword_automaton,
 }
