@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopgrain.llm import bpe, decontaminate, secrets, sharding, warc
+from shopgrain.llm import bpe, decontaminate, secrets, sharding, simhash, warc
 from shopgrain.llm.oracle import ORACLE
 from shopgrain.session import stored
 
@@ -28,6 +28,11 @@ def op2_seekable_bundles(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_trie_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.classes(table(spark, folder, "documents"), shingle=4, budget=4)
+    return found.withColumn("fingerprint", simhash.hex_fingerprint())
+
+
 def op5_transducer_lexicon(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -50,6 +55,7 @@ def op9_keyword_automaton(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_seekable_bundles": op2_seekable_bundles,
+    "op3_trie_join": op3_trie_join,
     "op5_transducer_lexicon": op5_transducer_lexicon,
     "op7_histogram_sort": op7_histogram_sort,
     "op8_prefix_filter": op8_prefix_filter,
