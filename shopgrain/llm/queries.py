@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopgrain.llm import bpe, decontaminate, secrets, sharding, simhash, warc
+from shopgrain.llm import bpe, decontaminate, secrets, sharding, simhash, toxicity, warc
 from shopgrain.llm.oracle import ORACLE
 from shopgrain.session import stored
 
@@ -40,6 +40,17 @@ def op5_transducer_lexicon(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digest(bpe.decode(encoded, path))
 
 
+def op6_clause_grammar(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, folder, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op7_histogram_sort(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(table(spark, folder, "documents"), shards=24)
 
@@ -57,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op2_seekable_bundles": op2_seekable_bundles,
     "op3_trie_join": op3_trie_join,
     "op5_transducer_lexicon": op5_transducer_lexicon,
+    "op6_clause_grammar": op6_clause_grammar,
     "op7_histogram_sort": op7_histogram_sort,
     "op8_prefix_filter": op8_prefix_filter,
     "op9_keyword_automaton": op9_keyword_automaton,
