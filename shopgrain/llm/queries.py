@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopgrain.llm import bpe, decontaminate, secrets, sharding, simhash, toxicity, warc
+from shopgrain.llm import bpe, decontaminate, kneser_ney, secrets, sharding, simhash, toxicity, warc
 from shopgrain.llm.oracle import ORACLE
 from shopgrain.session import stored
 
@@ -64,7 +64,16 @@ def op9_keyword_automaton(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.find(table(spark, folder, "documents").select("doc_id", "text")))
 
 
+def op10_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = toxicity.held_out(parts=5, out=1)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = kneser_ney.train(docs.where(~held_out))
+    scored = kneser_ney.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), *kneser_ney.OUT)
+
+
 QUERIES: dict[str, Query] = {
+    "op10_kneser_ney": op10_kneser_ney,
     "op2_seekable_bundles": op2_seekable_bundles,
     "op3_trie_join": op3_trie_join,
     "op5_transducer_lexicon": op5_transducer_lexicon,
