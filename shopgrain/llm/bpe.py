@@ -1,16 +1,18 @@
-"""Byte-level BPE: a transducer lexicon for frequent words, exact merges for the rest.
-
-Words (pre-tokens) are counted over all documents in Spark; the ``lexicon_words`` most
-frequent ones are encoded and compiled into a minimal acyclic transducer: an automaton
-whose equal tails are shared, where every arc adds a number and the sum along a word is
-its place in a packed table of ids. The automaton and the table are flat arrays. They are
-broadcast as one blob (bounded by ``lexicon_words``), and each worker process maps them
-from an unlinked file, so no copy lives on its heap and nothing is left behind. A word
-that is not in the lexicon is merged exactly by the merge ranks of the tokenizer file, so
-the lexicon decides the speed and never the ids.
-
-Each worker also remembers ``memory`` recent chunks (a word with its leading space and
-what clings to it), as texts repeat them; when full, it starts anew.
+"""Byte-level BPE: a transducer lexicon for frequent chunks, exact merges for the rest.
+
+A chunk is a word with its leading space and what clings to it, or a run of white space;
+the words of the tokenizer (pre-tokens) never cross chunks. Chunks are counted over all
+documents in Spark; the ``lexicon_chunks`` most frequent ones are encoded and compiled
+into a minimal acyclic transducer: an automaton whose equal tails are shared, where every
+arc adds a number and the sum along a chunk is its place in a packed table of ids. The
+automaton and the table are flat arrays. They are broadcast as one blob (bounded by
+``lexicon_chunks``), and each worker process maps them from an unlinked file, so no copy
+lives on its heap and nothing is left behind. A chunk that is not in the lexicon is split
+into words, which are merged exactly by the merge ranks of the tokenizer file; so the
+lexicon decides the speed and never the ids.
+
+Each worker also remembers ``memory`` recent chunks and words, as texts repeat them; when
+full, it starts anew.
 
 The vocabulary file is a byte-level BPE file of the tokenizers library; its path is an
 argument. The file's added tokens are cut out of the text first, as that library does.
@@ -30,7 +32,7 @@ import tempfile
 import uuid
 from array import array
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -40,6 +42,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from shopgrain.session import stored
+
 # Unicode White_Space, and the word pattern of the byte-level tokenizer.
 _SPACE = r"\t-\r\x20\x85\xa0" + "".join(
     map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
@@ -96,6 +100,10 @@ class Vocabulary:
             merges.setdefault((ids[left], ids[right]), rank << 24 | ids[left + right])
         return cls(tuple(ids[back[b]] for b in range(256)), merges, tuple(pieces), added)
 
+    def encode(self, chunk: str) -> list[int]:
+        """Ids of a chunk by merges alone."""
+        return [i for word in _WORD.findall(chunk) for i in self.merge(word.encode())]
+
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: the pair of the lowest rank is joined, leftmost first."""
         ids = [self.singles[b] for b in word]
@@ -147,15 +155,19 @@ class Vocabulary:
         return [i for i in ids if i >= 0]
 
 
-def compile_lexicon(words: Iterable[bytes], ids_of) -> bytes:
-    """A minimal acyclic transducer for the words, as flat arrays in one blob.
+# Bytes of a key that are looked up at once.
+HEAD = 4
+
 
-    Built from the sorted words: the tail that the next word does not share is frozen,
-    and a frozen state that equals an earlier one is replaced by it. Arcs of a state
-    stand together; each arc adds the number of words that leave the state before it, so
-    the sum of a path is the rank of its word.
+def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
+    """A minimal acyclic transducer from keys to ids, as flat arrays in one blob.
+
+    Built from the sorted keys: the tail that the next key does not share is frozen, and
+    a frozen state that equals an earlier one is replaced by it. Arcs of a state stand
+    together; each arc adds the number of keys that leave the state before it, so the sum
+    of a path is the rank of its key.
     """
-    ordered = sorted(set(words))
+    ordered = sorted(entries)
     frozen: dict[tuple, int] = {}
     states: list[tuple[bool, tuple[tuple[int, int], ...]]] = []
     counts: list[int] = []
@@ -194,7 +206,7 @@ def compile_lexicon(words: Iterable[bytes], ids_of) -> bytes:
             total += counts[target]
         first.append(len(labels))
         final.append(is_final)
-    rows = [ids_of(w) for w in ordered]
+    rows = [entries[k] for k in ordered]
     starts = np.cumsum([0, *map(len, rows)], dtype=np.int32)
     arrays = [
         np.array([root], np.int32),
@@ -229,19 +241,38 @@ class Lexicon:
             p[1] for p in (parts[0], *parts[2:])
         )
 
-    def rank(self, word: bytes) -> int:
-        """Place of the word among the sorted words, or -1."""
-        state, total, base, find, first = self._root, 0, self._labels_at, self._map.find, self._first
-        for i in range(len(word)):
-            arc = find(word[i : i + 1], base + first[state], base + first[state + 1]) - base
+        # Where the first bytes of a key lead; most unknown keys end here.
+        self._heads = dict(self._walk(HEAD))
+
+    def _walk(self, depth: int) -> Iterator[tuple[bytes, tuple[int, int]]]:
+        """(bytes, (state, sum)) of all paths of ``depth`` arcs; at most one per entry."""
+        stack = [(b"", self._root, 0)]
+        while stack:
+            path, state, total = stack.pop()
+            if len(path) == depth:
+                yield path, (state, total)
+                continue
+            for arc in range(self._first[state], self._first[state + 1]):
+                label = self._map[self._labels_at + arc : self._labels_at + arc + 1]
+                stack.append((path + label, self._target[arc], total + self._add[arc]))
+
+    def rank(self, key: bytes) -> int:
+        """Place of the key among the sorted keys, or -1."""
+        at = HEAD if len(key) >= HEAD else 0
+        state, total = self._heads.get(key[:HEAD], (-1, 0)) if at else (self._root, 0)
+        if state < 0:
+            return -1
+        base, find, first = self._labels_at, self._map.find, self._first
+        for i in range(at, len(key)):
+            arc = find(key[i : i + 1], base + first[state], base + first[state + 1]) - base
             if arc < 0:
                 return -1
             total += self._add[arc]
             state = self._target[arc]
         return total if self._final[state] else -1
 
-    def lookup(self, word: bytes) -> memoryview | None:
-        n = self.rank(word)
+    def lookup(self, key: bytes) -> memoryview | None:
+        n = self.rank(key)
         return None if n < 0 else self.ids[self._start[n] : self._start[n + 1]]
 
 
@@ -253,19 +284,28 @@ class Encoder:
     lexicon: Lexicon
     memory: int = 300_000
     _recent: dict[str, bytes] = field(default_factory=dict)
+    _words: dict[str, list[int]] = field(default_factory=dict)
 
     def _chunk(self, chunk: str) -> bytes:
-        out: list[int] = []
-        for word in _WORD.findall(chunk):
-            raw = word.encode()
-            known = self.lexicon.lookup(raw)
-            out += self.vocabulary.merge(raw) if known is None else known
-        packed = array("i", out).tobytes()
+        known = self.lexicon.lookup(chunk.encode())
+        packed = known.tobytes() if known is not None else array("i", self._merged(chunk)).tobytes()
         if len(self._recent) >= self.memory:
             self._recent.clear()
         self._recent[chunk] = packed
         return packed
 
+    def _merged(self, chunk: str) -> list[int]:
+        out: list[int] = []
+        words = self._words
+        for word in _WORD.findall(chunk):
+            ids = words.get(word)
+            if ids is None:
+                if len(words) >= self.memory:
+                    words.clear()
+                ids = words[word] = self.vocabulary.merge(word.encode())
+            out += ids
+        return out
+
     def encode(self, text: str) -> bytes:
         """The ids as packed 32-bit integers."""
         recent, chunk = self._recent.get, self._chunk
@@ -286,48 +326,53 @@ def split_added(text: str, added: dict[str, int]) -> list[str]:
     return [p for p in re.split(f"({pattern})", text) if p]
 
 
-def frequent_words(docs: DataFrame, vocabulary: Vocabulary, limit: int, text: str = "text") -> list[bytes]:
-    """The ``limit`` most frequent words of all documents; ties by their bytes.
+def frequent_chunks(docs: DataFrame, added: dict[str, int], limit: int, text: str = "text") -> list[str]:
+    """The ``limit`` most frequent chunks of all documents; ties by their text.
 
-    Chunks are counted in each task (in rounds of bounded size) and split into words
-    once per distinct chunk; Spark sums the words.
+    Chunks are counted in each task (in rounds of bounded size) and summed in Spark. A
+    histogram of the counts, of a few hundred rows, tells how frequent a chunk must be;
+    so no more than about ``limit`` rows are sorted or sent anywhere.
     """
-    added = vocabulary.added
-
-    def words(chunks: Counter) -> pa.RecordBatch:
-        n: Counter = Counter()
-        for chunk, times in chunks.items():
-            for w in _WORD.findall(chunk):
-                n[w] += times
-        return pa.RecordBatch.from_pydict({"word": list(n), "n": pa.array(n.values(), pa.int64())})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks: Counter = Counter()
+        seen: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_pydict({"chunk": list(seen), "n": pa.array(seen.values(), pa.int64())})
+            seen.clear()
+            return made
+
         for batch in batches:
             for value in batch.column(0).to_pylist():
                 for piece in split_added(value or "", added):
                     if piece not in added:
-                        chunks.update(_CHUNK.findall(piece))
-                if len(chunks) > 500_000:
-                    yield words(chunks)
-                    chunks.clear()
-        if chunks:
-            yield words(chunks)
-
-    counted = docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    best = counted.orderBy(F.desc("n"), "word").limit(limit).collect()  # the lexicon's bound
-    return [r["word"].encode() for r in best]
+                        seen.update(_CHUNK.findall(piece))
+                if len(seen) > 500_000:
+                    yield flush()
+        if seen:
+            yield flush()
+
+    summed = docs.select(text).mapInArrow(count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    counted = stored(summed.withColumn("level", F.floor(F.log2("n") * 8).cast("int")), "chunks")
+    found, level = 0, 0
+    for row in counted.groupBy("level").count().orderBy(F.desc("level")).collect():
+        found, level = found + row["count"], row["level"]
+        if found >= limit:
+            break
+    best = counted.where(F.col("level") >= level).orderBy(F.desc("n"), "chunk").limit(limit).select("chunk")
+    return [r["chunk"] for r in best.collect()]
 
 
 _LOADED: dict[str, Encoder] = {}
 
 
 def encode(
-    docs: DataFrame, vocabulary_path: str, lexicon_words: int = 32_768, text: str = "text", ids: str = "ids"
+    docs: DataFrame, vocabulary_path: str, lexicon_chunks: int = 32_768, text: str = "text", ids: str = "ids"
 ) -> DataFrame:
     """``docs`` with the token ids of every text, as an array column."""
     vocabulary = Vocabulary.read(vocabulary_path)
-    blob = compile_lexicon(frequent_words(docs, vocabulary, lexicon_words, text), vocabulary.merge)
+    chunks = frequent_chunks(docs, vocabulary.added, lexicon_chunks, text)
+    blob = compile_lexicon({c.encode(): vocabulary.encode(c) for c in chunks})
     shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, vocabulary, blob))
     kept = docs.drop(ids)
     at = kept.columns.index(text)
