@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from shopgrain.session import stored
+from shopgrain.llm.frequent import most_frequent
 
 # Unicode White_Space, and the word pattern of the byte-level tokenizer.
 _SPACE = r"\t-\r\x20\x85\xa0" + "".join(
@@ -67,16 +67,17 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-# A merge is its rank above the 24 bits of the new id, so the least one is the first.
+# A pair is its two ids in 24 bits each; a merge is its rank above the 24 bits of the new
+# id, so the least one is the first.
 _ID, _NONE = (1 << 24) - 1, 1 << 62
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Ids of the bytes, merges as (left id, right id) -> rank and new id, bytes of every id."""
+    """Ids of the bytes, merges as pair -> rank and new id, bytes of every id."""
 
     singles: tuple[int, ...]
-    merges: dict[tuple[int, int], int]
+    merges: dict[int, int]
     pieces: tuple[bytes, ...]
     added: dict[str, int]
 
@@ -97,7 +98,7 @@ class Vocabulary:
         merges = {}
         for rank, pair in enumerate(data["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            merges.setdefault((ids[left], ids[right]), rank << 24 | ids[left + right])
+            merges.setdefault(ids[left] << 24 | ids[right], rank << 24 | ids[left + right])
         return cls(tuple(ids[back[b]] for b in range(256)), merges, tuple(pieces), added)
 
     def encode(self, chunk: str) -> list[int]:
@@ -111,7 +112,7 @@ class Vocabulary:
 
     def _short(self, ids: list[int]) -> list[int]:
         get = self.merges.get
-        found = [get(pair, _NONE) for pair in zip(ids, ids[1:])]
+        found = [get(a << 24 | b, _NONE) for a, b in zip(ids, ids[1:])]
         while found:
             best = min(found)
             if best == _NONE:
@@ -120,9 +121,9 @@ class Vocabulary:
             ids[i : i + 2] = [best & _ID]
             del found[i]
             if i:
-                found[i - 1] = get((ids[i - 1], ids[i]), _NONE)
+                found[i - 1] = get(ids[i - 1] << 24 | ids[i], _NONE)
             if i < len(found):
-                found[i] = get((ids[i], ids[i + 1]), _NONE)
+                found[i] = get(ids[i] << 24 | ids[i + 1], _NONE)
         return ids
 
     def _long(self, ids: list[int]) -> list[int]:
@@ -133,7 +134,7 @@ class Vocabulary:
 
         def offer(i: int) -> None:
             if i >= 0 and after[i] >= 0:
-                found = self.merges.get((ids[i], ids[after[i]]), _NONE)
+                found = self.merges.get(ids[i] << 24 | ids[after[i]], _NONE)
                 if found != _NONE:
                     heapq.heappush(heap, (found >> 24, i, ids[i], ids[after[i]]))
 
@@ -144,7 +145,7 @@ class Vocabulary:
             j = after[i]
             if ids[i] != left or j < 0 or ids[j] != right:
                 continue
-            ids[i] = self.merges[left, right] & _ID
+            ids[i] = self.merges[left << 24 | right] & _ID
             ids[j] = -1
             after[i] = after[j]
             if after[i] >= 0:
@@ -329,9 +330,7 @@ def split_added(text: str, added: dict[str, int]) -> list[str]:
 def frequent_chunks(docs: DataFrame, added: dict[str, int], limit: int, text: str = "text") -> list[str]:
     """The ``limit`` most frequent chunks of all documents; ties by their text.
 
-    Chunks are counted in each task (in rounds of bounded size) and summed in Spark. A
-    histogram of the counts, of a few hundred rows, tells how frequent a chunk must be;
-    so no more than about ``limit`` rows are sorted or sent anywhere.
+    Chunks are counted in each task (in rounds of bounded size) and summed in Spark.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,14 +352,7 @@ def frequent_chunks(docs: DataFrame, added: dict[str, int], limit: int, text: st
             yield flush()
 
     summed = docs.select(text).mapInArrow(count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
-    counted = stored(summed.withColumn("level", F.floor(F.log2("n") * 8).cast("int")), "chunks")
-    found, level = 0, 0
-    for row in counted.groupBy("level").count().orderBy(F.desc("level")).collect():
-        found, level = found + row["count"], row["level"]
-        if found >= limit:
-            break
-    best = counted.where(F.col("level") >= level).orderBy(F.desc("n"), "chunk").limit(limit).select("chunk")
-    return [r["chunk"] for r in best.collect()]
+    return [r["chunk"] for r in most_frequent(summed, "chunk", limit)]
 
 
 _LOADED: dict[str, Encoder] = {}

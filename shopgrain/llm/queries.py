@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopgrain.llm import bpe, decontaminate, kneser_ney, secrets, sharding, simhash, toxicity, warc
+from shopgrain.llm import bpe, decontaminate, kneser_ney, quality, secrets, sharding, simhash, toxicity, warc
 from shopgrain.llm.oracle import ORACLE
 from shopgrain.session import stored
 
@@ -33,6 +33,10 @@ def op3_trie_join(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("fingerprint", simhash.hex_fingerprint())
 
 
+def op4_distribution_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(table(spark, folder, "documents"))
+
+
 def op5_transducer_lexicon(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -76,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op10_kneser_ney": op10_kneser_ney,
     "op2_seekable_bundles": op2_seekable_bundles,
     "op3_trie_join": op3_trie_join,
+    "op4_distribution_divergence": op4_distribution_divergence,
     "op5_transducer_lexicon": op5_transducer_lexicon,
     "op6_clause_grammar": op6_clause_grammar,
     "op7_histogram_sort": op7_histogram_sort,
