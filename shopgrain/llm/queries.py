@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopgrain.llm import bpe, decontaminate, kneser_ney, quality, secrets, sharding, simhash, toxicity, warc
+from shopgrain.llm import bpe, decontaminate, kneser_ney, quality, secrets, sharding, simhash, suffix_dedup, toxicity, warc
 from shopgrain.llm.oracle import ORACLE
 from shopgrain.session import stored
 
@@ -21,6 +21,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op1_radix_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.repeated(table(spark, folder, "documents")))
+
+
 def op2_seekable_bundles(spark: SparkSession, folder: str) -> DataFrame:
     bundles = stored(warc.write_bundles(warc.with_first(table(spark, folder, "pages"))), "warc")
     return warc.read_bundles(bundles, payload=False).select(
@@ -77,6 +81,7 @@ def op10_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_radix_suffixes": op1_radix_suffixes,
     "op10_kneser_ney": op10_kneser_ney,
     "op2_seekable_bundles": op2_seekable_bundles,
     "op3_trie_join": op3_trie_join,
