@@ -219,14 +219,14 @@ class _Forest:
         return whole & (self.up[a0] == self.up[b0])
 
     def join(self, pairs: np.ndarray) -> list[int]:
-        """Joins the classes of the pairs; returns the numbers of those that did."""
+        """Joins the classes of the pairs, in order; returns the numbers of those that did."""
         self._settle()
         i, j = self.up[pairs[:, 0]], self.up[pairs[:, 1] + self.shift]
         low, high = np.minimum(i, j), np.maximum(i, j)
         apart = np.flatnonzero(low != high)
         _, first = np.unique(low[apart] * len(self.up) + high[apart], return_index=True)
         up, used = self.up, []
-        for k in apart[first].tolist():
+        for k in apart[np.sort(first)].tolist():
             x, y = int(low[k]), int(high[k])
             while up[x] != x:
                 x = int(up[x])
@@ -323,6 +323,8 @@ def _task_edges(path: np.ndarray, low: int, high: int, bits: int, head: int, bud
     forest = _Forest(len(left), len(right), low == high)
     kept = []
     for pairs in walk(left, right, budget, start, (low ^ high).bit_count(), forest.joined):
+        # The closest pairs first, so that the forest prefers them.
+        pairs = pairs[np.argsort(np.bitwise_count(left[pairs[:, 0]] ^ right[pairs[:, 1]]), kind="stable")]
         used = pairs[forest.join(pairs)]
         kept.append(np.stack([left[used[:, 0]], right[used[:, 1]]], 1))
     return np.concatenate(kept) if kept else np.empty((0, 2), np.uint64)
@@ -398,3 +400,94 @@ def classes(docs: DataFrame, key: str = "doc_id", shingle: int = 4, budget: int
 
 def hex_fingerprint(column: str = "fingerprint") -> F.Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
+
+
+# --- near copies, with the shingles compared -----------------------------------------
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Distinct shingle hashes in order."""
+    words = text.encode().lower().split() if text else []
+    n = max(1, len(words) - shingle + 1) if words else 0
+    hash64 = xxhash.xxh64_intdigest
+    return np.unique(np.array([hash64(b" ".join(words[i : i + shingle])) for i in range(n)], np.uint64))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def _texts(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """_k (the key, null first), fingerprint, and a hash of the word sequence, of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(1).to_pylist()
+            made = [_signed(fingerprint(v, shingle)) for v in values]
+            node = [_signed(xxhash.xxh64_intdigest(b" ".join((v or "").encode().lower().split()), 7)) for v in values]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(made, pa.int64()), pa.array(node, pa.int64())], names=["_k", "fingerprint", "node"]
+            )
+
+    return docs.select("_k", text).mapInArrow(run, "_k long, fingerprint long, node long")
+
+
+def first_copies(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    shingle: int = 5,
+    similarity: float = 0.8,
+    print_shingle: int = 2,
+    budget: int = 8,
+) -> DataFrame:
+    """``docs`` with one row of each group of copies: the one with the least key.
+
+    Candidates are fingerprints of ``print_shingle`` words within ``budget`` bits: an
+    edited word touches fewer short shingles, so near copies differ in fewer bits than in
+    fingerprints of ``shingle`` words. A candidate link counts if the Jaccard similarity
+    of the two texts' sets of ``shingle``-word shingles is ``similarity`` or more. Of a
+    group of candidates the closest links that join it are compared, not all its pairs.
+    """
+    rows = docs.withColumn("_k", F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))))
+    prints = stored(_texts(rows, key, text, print_shingle), "copies")
+    nodes = stored(prints.groupBy("fingerprint", "node").agg(F.min("_k").alias("least")), "copies")
+    heads = stored(nodes.groupBy("fingerprint").agg(F.min_by("node", "least").alias("head")), "copies")
+    near = links(heads.select("fingerprint"), budget)
+    between = near.join(heads.select(F.col("fingerprint").alias("a"), F.col("head").alias("x")), "a").join(
+        heads.select(F.col("fingerprint").alias("b"), F.col("head").alias("y")), "b"
+    )
+    within = nodes.join(heads, "fingerprint").where("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y"))
+    pairs = stored(between.select("x", "y").unionByName(within).distinct(), "copies")
+    ends = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    wanted = nodes.join(ends, "node").select("node", F.col("least").alias("_k"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingle_set(v, shingle).tobytes() for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "grams"])
+
+    grams = rows.join(wanted, "_k").select("node", text).mapInArrow(sets, "node long, grams binary")
+    grams = stored(grams.groupBy("node").agg(F.first("grams").alias("grams")), "copies")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = ([np.frombuffer(v, np.uint64) for v in batch.column(n).to_pylist()] for n in (2, 3))
+            near = pa.array([jaccard(*p) >= similarity for p in zip(a, b)], pa.bool_())
+            x, y = batch.column(0).filter(near), batch.column(1).filter(near)
+            yield pa.RecordBatch.from_arrays([x, y], names=["a", "b"])
+
+    both = (
+        pairs.join(grams.withColumnsRenamed({"node": "x", "grams": "gx"}), "x")
+        .join(grams.withColumnsRenamed({"node": "y", "grams": "gy"}), "y")
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "gx", "gy")
+    )
+    stars = components(both.mapInArrow(compare, EDGES))
+    member = nodes.join(stars, "node", "left").select("least", F.coalesce("component", "node").alias("component"))
+    first = member.groupBy("component").agg(F.min("least").alias("_k")).select("_k").distinct()
+    kept = rows.join(first, "_k", "left_semi")
+    if prints.count() != prints.select("_k").distinct().count():
+        # Repeated keys: one row of each text that stays.
+        kept = kept.dropDuplicates(["_k", text])
+    return kept.drop("_k")
