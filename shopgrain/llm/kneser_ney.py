@@ -324,6 +324,7 @@ def train(docs: DataFrame, text: str = "text", shard_tokens: int = 4_000_000) ->
             continue
         files.append(tuple(r["files"]))
         n, t, *more = r["figures"]
+        cuts.append(size << 32)
         for at, times in zip(more[::2], more[1::2]):
             # A history that holds several cuts is divided by its followers.
             cuts += [((size + at) << 32) | ((k << 32) // times) for k in range(times)]
