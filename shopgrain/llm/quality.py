@@ -265,6 +265,8 @@ def references(rows: DataFrame, own: dict[str, list[int]], limits: Limits, befor
         lines.setdefault(r["lang"], {})[r["at"]] = r["n"]
     k = len(_CLASSES)
     made = {name: np.array([line[i] for i in sorted(line)], float) for name, line in sorted(lines.items()) if name in own}
+    if before is not None:  # a language whose texts all lie apart keeps its first sums
+        made = {n: np.concatenate([c, before.words[n], [before.n_words[n]]]) for n, c in before.chars.items()} | made
     return References(
         own, {n: v[:k] for n, v in made.items()}, {n: v[k:-1] for n, v in made.items()}, {n: int(v[-1]) for n, v in made.items()}
     )

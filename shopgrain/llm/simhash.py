@@ -352,7 +352,7 @@ def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, i
 
 
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(node, component) of all nodes that have an edge; the component is its least node.
+    """(node, component) of all nodes with an edge but the least of each component, which names it.
 
     Large-star hangs the larger neighbours of a node on its least one, small-star the
     smaller ones; both keep what is connected connected, and repeated they end in stars.
