@@ -12,7 +12,8 @@ into words, which are merged exactly by the merge ranks of the tokenizer file; s
 lexicon decides the speed and never the ids.
 
 Each worker also remembers ``memory`` recent chunks and words, as texts repeat them; when
-full, it starts anew.
+full, it starts anew. Texts are taken a few at a time, so a worker holds the ids of those
+only.
 
 The vocabulary file is a byte-level BPE file of the tokenizers library; its path is an
 argument. The file's added tokens are cut out of the text first, as that library does.
@@ -283,29 +284,28 @@ class Encoder:
 
     vocabulary: Vocabulary
     lexicon: Lexicon
-    memory: int = 300_000
+    memory: int = 100_000
     _recent: dict[str, bytes] = field(default_factory=dict)
-    _words: dict[str, list[int]] = field(default_factory=dict)
+    _words: dict[str, bytes] = field(default_factory=dict)
 
     def _chunk(self, chunk: str) -> bytes:
         known = self.lexicon.lookup(chunk.encode())
-        packed = known.tobytes() if known is not None else array("i", self._merged(chunk)).tobytes()
+        packed = known.tobytes() if known is not None else self._merged(chunk)
         if len(self._recent) >= self.memory:
             self._recent.clear()
         self._recent[chunk] = packed
         return packed
 
-    def _merged(self, chunk: str) -> list[int]:
-        out: list[int] = []
-        words = self._words
+    def _merged(self, chunk: str) -> bytes:
+        out, words = [], self._words
         for word in _WORD.findall(chunk):
             ids = words.get(word)
             if ids is None:
                 if len(words) >= self.memory:
                     words.clear()
-                ids = words[word] = self.vocabulary.merge(word.encode())
-            out += ids
-        return out
+                ids = words[word] = array("i", self.vocabulary.merge(word.encode())).tobytes()
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """The ids as packed 32-bit integers."""
@@ -341,12 +341,12 @@ def frequent_chunks(docs: DataFrame, added: dict[str, int], limit: int, text: st
             seen.clear()
             return made
 
-        for batch in batches:
+        for batch in slices(batches):
             for value in batch.column(0).to_pylist():
                 for piece in split_added(value or "", added):
                     if piece not in added:
                         seen.update(_CHUNK.findall(piece))
-                if len(seen) > 500_000:
+                if len(seen) > 300_000:
                     yield flush()
         if seen:
             yield flush()
@@ -355,6 +355,13 @@ def frequent_chunks(docs: DataFrame, added: dict[str, int], limit: int, text: st
     return [r["chunk"] for r in most_frequent(summed, "chunk", limit)]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -376,7 +383,7 @@ def encode(
             _LOADED.clear()
             _LOADED[name] = Encoder(words, Lexicon(arrays))
         encoder = _LOADED[name]
-        for batch in batches:
+        for batch in slices(batches):
             packed = [encoder.encode(value or "") for value in batch.column(at).to_pylist()]
             ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
             values = pa.array(np.frombuffer(b"".join(packed), np.int32))
@@ -398,7 +405,7 @@ def decode(encoded: DataFrame, vocabulary_path: str, ids: str = "ids", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             made = []
             for row in batch.column(at):
                 wanted = row.values.to_numpy().tolist() if row.is_valid else []
