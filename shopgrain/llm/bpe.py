@@ -8,8 +8,8 @@ arc adds a number and the sum along a chunk is its place in a packed table of id
 automaton and the table are flat arrays. They are broadcast as one blob (bounded by
 ``lexicon_chunks``), and each worker process maps them from an unlinked file, so no copy
 lives on its heap and nothing is left behind. A chunk that is not in the lexicon is split
-into words, which are merged exactly by the merge ranks of the tokenizer file; so the
-lexicon decides the speed and never the ids.
+into words, which are merged exactly by the merge ranks of the tokenizer file, many words
+in step; so the lexicon decides the speed and never the ids.
 
 Each worker also remembers ``memory`` recent chunks and words, as texts repeat them; when
 full, it starts anew. Texts are taken a few at a time, so a worker holds the ids of those
@@ -35,6 +35,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -106,10 +107,68 @@ class Vocabulary:
         """Ids of a chunk by merges alone."""
         return [i for word in _WORD.findall(chunk) for i in self.merge(word.encode())]
 
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of many words of at most ``LONG`` bytes, all merged in step.
+
+        The symbols of all words stand in one array. In a round every word joins its
+        leftmost pair of the lowest rank, which is what merging it alone does.
+        """
+        if not words:
+            return []
+        keys, values = self.table
+        ids = np.array(self.singles, np.int64)[np.frombuffer(b"".join(words), np.uint8)]
+        sizes = np.array([len(w) for w in words])
+        word = np.repeat(np.arange(len(words)), sizes)
+
+        def ranks(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            pairs = left << 24 | right
+            at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
+            return np.where(keys[at] == pairs, values[at], _NONE)
+
+        # The value of each symbol with the next one; the last of a word has none.
+        found = np.append(ranks(ids[:-1], ids[1:]), _NONE)
+        found[np.cumsum(sizes) - 1] = _NONE
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            best = np.minimum.reduceat(found, first)
+            size = np.diff(np.append(first, len(ids)))
+            going = np.repeat(best != _NONE, size)
+            if not going.all():
+                parts.append((word[~going], ids[~going]))
+                ids, word, found = ids[going], word[going], found[going]
+                size, best = size[best != _NONE], best[best != _NONE]
+                first = np.cumsum(size) - size
+                if not len(ids):
+                    break
+            hits = np.flatnonzero(found == np.repeat(best, size))
+            at = hits[np.concatenate([[True], word[hits[1:]] != word[hits[:-1]]])]
+            ids[at] = found[at] & _ID
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            found[at] = _NONE
+            at -= np.arange(len(at))
+            ids, word, found = ids[keep], word[keep], found[keep]
+            right = at[_inner(word, at)]
+            found[right] = ranks(ids[right], ids[right + 1])
+            left = at[_inner(word, at - 1) & (at > 0)] - 1
+            found[left] = ranks(ids[left], ids[left + 1])
+        word = np.concatenate([w for w, _ in parts])
+        order = np.argsort(word, kind="stable")
+        flat = np.concatenate([i for _, i in parts])[order].astype(np.int32).tobytes()
+        ends = (np.cumsum(np.bincount(word, minlength=len(words))) * 4).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+    @cached_property
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """The merges as sorted arrays."""
+        keys = np.array(sorted(self.merges), np.int64)
+        return keys, np.array([self.merges[k] for k in keys.tolist()], np.int64)
+
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: the pair of the lowest rank is joined, leftmost first."""
         ids = [self.singles[b] for b in word]
-        return self._short(ids) if len(ids) <= 48 else self._long(ids)
+        return self._short(ids) if len(ids) <= LONG else self._long(ids)
 
     def _short(self, ids: list[int]) -> list[int]:
         get = self.merges.get
@@ -157,8 +216,14 @@ class Vocabulary:
         return [i for i in ids if i >= 0]
 
 
-# Bytes of a key that are looked up at once.
-HEAD = 4
+# Bytes of a key that are looked up at once; bytes above which a word is merged by heap.
+HEAD, LONG = 4, 48
+
+
+def _inner(word: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places whose next symbol is of the same word."""
+    after = np.minimum(at + 1, len(word) - 1)
+    return (after > at) & (word[np.maximum(at, 0)] == word[after])
 
 
 def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
@@ -284,39 +349,49 @@ class Encoder:
 
     vocabulary: Vocabulary
     lexicon: Lexicon
-    memory: int = 100_000
+    memory: int = 300_000
     _recent: dict[str, bytes] = field(default_factory=dict)
     _words: dict[str, bytes] = field(default_factory=dict)
 
-    def _chunk(self, chunk: str) -> bytes:
-        known = self.lexicon.lookup(chunk.encode())
-        packed = known.tobytes() if known is not None else self._merged(chunk)
-        if len(self._recent) >= self.memory:
+    def learn(self, chunks: set[str]) -> None:
+        """Remember the ids of chunks: from the lexicon, or of their words."""
+        if len(self._recent) + len(chunks) > self.memory:
             self._recent.clear()
-        self._recent[chunk] = packed
-        return packed
-
-    def _merged(self, chunk: str) -> bytes:
-        out, words = [], self._words
-        for word in _WORD.findall(chunk):
-            ids = words.get(word)
-            if ids is None:
-                if len(words) >= self.memory:
-                    words.clear()
-                ids = words[word] = array("i", self.vocabulary.merge(word.encode())).tobytes()
-            out.append(ids)
-        return b"".join(out)
-
-    def encode(self, text: str) -> bytes:
-        """The ids as packed 32-bit integers."""
-        recent, chunk = self._recent.get, self._chunk
-        out = []
-        for piece in split_added(text, self.vocabulary.added):
-            if piece in self.vocabulary.added:
-                out.append(np.int32(self.vocabulary.added[piece]).tobytes())
+        if len(self._words) > self.memory // 2:
+            self._words.clear()
+        lookup, recent, words = self.lexicon.lookup, self._recent, self._words
+        unknown: dict[str, list[str]] = {}
+        for chunk in chunks:
+            known = lookup(chunk.encode())
+            if known is not None:
+                recent[chunk] = known.tobytes()
             else:
-                out += [recent(c) or chunk(c) for c in _CHUNK.findall(piece)]
-        return b"".join(out)
+                body = chunk[1:] if chunk[0] == " " else chunk
+                unknown[chunk] = [chunk] if body.isalpha() else _WORD.findall(chunk)
+        new = list({w for parts in unknown.values() for w in parts if w not in words})
+        raw = [w.encode() for w in new]
+        short = [i for i, w in enumerate(raw) if len(w) <= LONG]
+        words.update(zip([new[i] for i in short], self.vocabulary.merge_all([raw[i] for i in short])))
+        for w, data in zip(new, raw):
+            if len(data) > LONG:
+                words[w] = array("i", self.vocabulary.merge(data)).tobytes()
+        for chunk, parts in unknown.items():
+            recent[chunk] = words[parts[0]] if len(parts) == 1 else b"".join([words[w] for w in parts])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text as packed 32-bit integers."""
+        added = {t: np.int32(i).tobytes() for t, i in self.vocabulary.added.items()}
+        rows = []
+        for text in texts:
+            pieces = split_added(text, added)
+            rows.append([c for p in pieces for c in ([p] if p in added else _CHUNK.findall(p))])
+        recent = self._recent
+        missing = {c for row in rows for c in row if c not in recent}.difference(added)
+        if missing:
+            held = {c: recent[c] for row in rows for c in row if c in recent} if len(recent) + len(missing) > self.memory else {}
+            self.learn(missing)
+            recent.update(held)
+        return [b"".join([added[c] if c in added else recent[c] for c in row]) for row in rows]
 
 
 def split_added(text: str, added: dict[str, int]) -> list[str]:
@@ -346,7 +421,7 @@ def frequent_chunks(docs: DataFrame, added: dict[str, int], limit: int, text: st
                 for piece in split_added(value or "", added):
                     if piece not in added:
                         seen.update(_CHUNK.findall(piece))
-                if len(seen) > 300_000:
+                if len(seen) > 500_000:
                     yield flush()
         if seen:
             yield flush()
@@ -384,7 +459,7 @@ def encode(
             _LOADED[name] = Encoder(words, Lexicon(arrays))
         encoder = _LOADED[name]
         for batch in slices(batches):
-            packed = [encoder.encode(value or "") for value in batch.column(at).to_pylist()]
+            packed = encoder.encode([value or "" for value in batch.column(at).to_pylist()])
             ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
             values = pa.array(np.frombuffer(b"".join(packed), np.int32))
             column = pa.ListArray.from_arrays(pa.array(ends), values)
