@@ -203,8 +203,9 @@ def _sent(runs: np.ndarray, spans: np.ndarray, shards: int, turn: int) -> Iterat
 def _strips(batches: Iterator[pa.RecordBatch], room: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
     """(ids, ties, texts) of about ``room`` bytes; a longer text is a strip of its own."""
     held, size = ([], [], []), 0
-    for batch in batches:
-        for row in zip(*(batch.column(n).to_pylist() for n in ("id", "tie", "text"))):
+    parts = (batch.slice(i, 256) for batch in batches for i in range(0, batch.num_rows, 256))
+    for part in parts:
+        for row in zip(*(part.column(n).to_pylist() for n in ("id", "tie", "text"))):
             if held[0] and size + len(row[2]) > room:
                 yield held
                 held, size = ([], [], []), 0
@@ -230,7 +231,8 @@ def _span_batch(spans: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
 class Settings:
     threshold: int = 100
     gram: int = 24
-    strip_bytes: int = 1 << 20
+    strip_bytes: int = 1 << 18
+    held_runs: int = 500_000  # runs that a task of pass one sorts at a time
     shard_bytes: int = 1 << 28  # bytes of text per shard of pass one
     task_runs: int = 4096  # different runs of one anchor that pass two takes in one piece
 
@@ -262,7 +264,7 @@ def _runs(docs: DataFrame, shards: int, s: Settings) -> DataFrame:
             held.append(rows)
             waiting += len(rows)
             turn += len(ids)
-            if waiting > 2_000_000:
+            if waiting > s.held_runs:
                 yield from _sent(*settle(np.concatenate(held), s.threshold), shards, turn)
                 held, waiting = [], 0
         if waiting:
