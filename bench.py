@@ -13,9 +13,8 @@ import statistics
 import time
 from pathlib import Path
 
-from pyspark.sql import SparkSession
-
 from checks.registry import QUERIES
+from shopgrain.session import build_session
 
 HEADLINE = [
     "b1_quarterly_growth",
@@ -50,14 +49,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "5"))
     names = list(QUERIES) if os.environ.get("BENCH_ALL") else HEADLINE
-    spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName("bench")
-        .config("spark.sql.shuffle.partitions", cpus)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false")
-        .getOrCreate()
-    )
+    settings = {"spark__sql__shuffle__partitions": cpus, "spark__ui__enabled": "false"}
+    spark = build_session(f"local[{cpus}]", "bench", **settings)
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}
     for name in names:

@@ -17,6 +17,7 @@ from pyspark.sql import SparkSession
 
 from checks.oracle import ORACLE
 from checks.registry import QUERIES
+from shopgrain.session import build_session
 
 # DuckDB type -> Spark type name as printed by simpleString.
 TYPES = {
@@ -67,13 +68,8 @@ def compare(spark: SparkSession, con: duckdb.DuckDBPyConnection, folder: str, ke
 
 def main(argv: list[str]) -> int:
     folder, keys = argv[0], argv[1:] or list(QUERIES)
-    spark = (
-        SparkSession.builder.master("local[8]")
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false")
-        .getOrCreate()
-    )
+    settings = {"spark__sql__shuffle__partitions": "8", "spark__ui__enabled": "false"}
+    spark = build_session("local[8]", "checks", **settings)
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = duck(folder), 0
     for key in keys:

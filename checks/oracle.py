@@ -18,12 +18,14 @@ def _cte(name: str, body: str, *needs: str) -> None:
 _cte(
     "ev",
     """
-    SELECT event_id, user_id, event_type, value,
+    SELECT event_id, ts, user_id, event_type, value,
            CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
            user_id * 100000 + date_diff('day', DATE '2020-01-01', CAST(ts AS DATE)) AS sid,
            ts + to_days(CAST(
                date_diff('day', DATE '2024-01-01', DATE '2012-03-19')
-               + 35 * date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))
+               + (36 * CASE user_id % 5 WHEN 1 THEN 8 WHEN 2 THEN 4 ELSE 1 END - 1)
+                 * date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))
+               + CASE user_id % 5 WHEN 3 THEN 690 ELSE 0 END
                + (user_id * 7 + 5 * date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))) % 36
                AS INTEGER)) AS seen_at
     FROM events""",
@@ -64,7 +66,8 @@ _cte(
     "website_sessions",
     """
     SELECT sid AS website_session_id,
-      CASE WHEN k % 50 = 7 THEN started + INTERVAL 3 MINUTE ELSE started END AS created_at,
+      CASE WHEN k % 50 = 7 THEN started + INTERVAL 3 MINUTE
+           WHEN k % 50 = 9 THEN TIMESTAMP '2014-06-01' ELSE started END AS created_at,
       user_id,
       CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY sid) > 1 THEN 1 ELSE 0 END
         AS is_repeat_session,
@@ -100,7 +103,7 @@ _cte(
 _cte(
     "web_priced",
     """
-    SELECT event_id AS order_id, seen_at AS created_at, sid AS website_session_id, user_id, k,
+    SELECT event_id AS order_id, ts, seen_at AS created_at, sid AS website_session_id, user_id, k,
       CAST(1 + k % 6 AS BIGINT) AS primary_product_id,
       CAST(CASE WHEN k = 77 THEN NULL WHEN k % 25 = 0 THEN 0
                 WHEN k % 25 = 1 THEN -CAST(value AS DECIMAL(18,2))
@@ -1196,10 +1199,28 @@ _put(
 )
 _put(
     "v1_intake_stream",
-    """SELECT CAST(created_at AS DATE) AS day, count(*) FILTER (WHERE ok) AS accepted,
-         count(*) FILTER (WHERE NOT ok) AS bad_price
-       FROM (SELECT *, price_usd IS NULL OR price_usd > 0 AS ok FROM web_orders) GROUP BY 1""",
-    "web_orders",
+    """WITH o AS (SELECT *, least(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 8, 3)
+          + CASE WHEN k % 13 = 5 THEN 1 ELSE 0 END AS part,
+          CASE WHEN k < 45 THEN 'gsearch' WHEN k < 55 THEN 'bsearch' WHEN k < 61 THEN 'gsearch'
+               WHEN k < 65 THEN 'bsearch' WHEN k < 70 THEN 'socialbook' WHEN k < 72 THEN 'otherads'
+               WHEN k < 73 THEN '' END AS tag FROM web_priced),
+        a AS (SELECT * FROM o UNION ALL
+          SELECT * REPLACE (part + k % 2 AS part) FROM o WHERE k % 11 = 3),
+        clock AS (SELECT p.part, (SELECT max(ts) FROM a WHERE a.part < p.part) AS latest
+          FROM (SELECT DISTINCT part FROM a) p),
+        judged AS (SELECT a.*, CASE WHEN price_usd <= 0 THEN 'bad_price'
+            WHEN ts < latest - INTERVAL 1 DAY THEN 'late' END AS fault FROM a JOIN clock USING (part)),
+        named AS (SELECT *, CASE WHEN fault IS NOT NULL THEN fault
+            WHEN row_number() OVER (PARTITION BY order_id, fault ORDER BY part) > 1 THEN 'key_exists'
+            ELSE 'accepted' END AS r FROM judged)
+       SELECT CAST(created_at AS DATE) AS day, count(*) AS n_rows,
+         count(*) FILTER (WHERE r = 'accepted') AS accepted,
+         count(*) FILTER (WHERE r = 'bad_price') AS bad_price,
+         count(*) FILTER (WHERE r = 'key_exists') AS key_exists,
+         count(*) FILTER (WHERE r = 'late') AS late,
+         count(DISTINCT tag) FILTER (WHERE r = 'accepted') AS tags
+       FROM named GROUP BY 1""",
+    "web_priced",
 )
 _put(
     "v2_quarantine",
@@ -1216,8 +1237,9 @@ _put(
 
 
 def _profile(name: str, where: str) -> str:
-    return f"""{name} AS (SELECT unnest(['row_count', 'null_price_pct', 'null_time_pct', 'min_price',
-        'max_price']) AS metric, unnest([CAST(count(*) AS DOUBLE),
+    return f"""{name} AS (SELECT unnest(['row_count', 'rows_per_day', 'null_price_pct',
+        'null_time_pct', 'min_price', 'max_price']) AS metric, unnest([CAST(count(*) AS DOUBLE),
+        {ratio('count(*)', "date_diff('day', CAST(min(created_at) AS DATE), CAST(max(created_at) AS DATE)) + 1", 4)},
         {pct('count(*) - count(price_usd)', 'count(*)', 4)},
         {pct('count(*) - count(created_at)', 'count(*)', 4)},
         {dbl('min(price_usd)')}, {dbl('max(price_usd)')}]) AS x
@@ -1229,7 +1251,12 @@ _put(
     f"""WITH {_profile('cur', "created_at >= TIMESTAMP '2014-01-01'")},
           {_profile('old', "created_at < TIMESTAMP '2014-01-01'")}
         SELECT metric, cur.x AS current_value, old.x AS baseline_value,
-          coalesce(abs(cur.x - old.x) > abs(old.x) * 0.1::DOUBLE, true) AS flagged
+          metric <> 'row_count' AND coalesce(abs(cur.x - old.x) > abs(old.x) * 0.1::DOUBLE, true) AS flagged
         FROM cur JOIN old USING (metric)""",
     "web_orders",
 )
+
+# Copies of rows in the stored tables leave every figure as it is: at row level they are
+# told apart by DISTINCT ids.
+for _name in ("b5_channel_split", "e1_conversion_rate", "k1_master_kpis", "d2_funnel_rates", "l6_repeat_buyers"):
+    ORACLE[f"s2_{_name}"] = ORACLE[_name]

@@ -25,9 +25,10 @@ from shopgrain.plans import (
     sizing,
 )
 from shopgrain.schemas import MONEY
+from shopgrain.session import work_folder
 from shopgrain.sources import tables, testbed
 from shopgrain.sources.tables import Shop
-from shopgrain.streaming.intake import run_intake
+from shopgrain.streaming.intake import REASONS, run_intake
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +60,11 @@ def _store(fn: Callable[[Shop], DataFrame]) -> Query:
     return lambda spark, folder: plain(fn(testbed.store(spark, folder)))
 
 
+def _repeated(fn: Callable[[Shop], DataFrame], make: Callable = testbed.web_shop) -> Query:
+    """The analysis on tables in which some rows stand twice, after the load rule."""
+    return lambda spark, folder: plain(fn(testbed.loaded_with_copies(make(spark, folder))))
+
+
 def _raw(name: str, fn: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, folder: plain(fn(testbed.read_given(spark, folder, name)))
 
@@ -83,19 +89,25 @@ def _intake_lines(lines: DataFrame) -> DataFrame:
 
 
 def _intake_stream(spark: SparkSession, folder: str) -> DataFrame:
-    rows = testbed.purchases(testbed.site_event_stream(spark, folder))
-    run = run_intake(spark, rows, ["order_id"], event_time="ts", delay="1 day")
+    """Orders arrive in parts; each part is one run of the gate, which goes on from the last."""
+    base = work_folder(spark, "intake")
+    arrivals = testbed.arrivals(spark, folder)
+    schema = arrivals.drop("part").schema
+    for part in range(testbed.ARRIVAL_PARTS + 2):
+        arrivals.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{base}/in")
+        run = run_intake(spark, stream, ["order_id"], event_time="ts", delay="1 day", folder=f"{base}/run")
     day = F.to_date("created_at").alias("day")
-    out = spark.read.schema(rows.schema)
-    parts = [
-        out.parquet(run.accepted).select(day, F.lit(1).alias("a"), F.lit(0).alias("b")),
-        out.parquet(run.rejected).select(day, F.lit(0).alias("a"), F.lit(1).alias("b")),
-    ]
+    accepted = spark.read.parquet(run.accepted).select(day, F.lit("accepted").alias("reason"), "utm_source")
+    rejected = spark.read.parquet(run.rejected).select(day, "reason", F.lit(None).cast("string").alias("utm_source"))
     return (
-        parts[0]
-        .unionByName(parts[1])
+        accepted.unionByName(rejected)
         .groupBy("day")
-        .agg(F.sum("a").alias("accepted"), F.sum("b").alias("bad_price"))
+        .agg(
+            F.count("*").alias("n_rows"),
+            *[F.count_if(F.col("reason") == r).alias(r) for r in ("accepted", *REASONS)],
+            F.size(F.collect_set("utm_source")).cast("long").alias("tags"),  # a handful of tags
+        )
     )
 
 
@@ -393,6 +405,14 @@ VALIDATION: dict[str, Query] = {
     "v3_deviations": _web(_profiles),
 }
 
+REPEATED: dict[str, Query] = {
+    "s2_b5_channel_split": _repeated(lambda s: growth.channel_split(s.sessions, s.orders)),
+    "s2_e1_conversion_rate": _repeated(lambda s: growth.conversion_rate(s.sessions, s.orders)),
+    "s2_k1_master_kpis": _repeated(lambda s: growth.master_kpis(s.sessions, s.orders, s.order_items)),
+    "s2_d2_funnel_rates": _repeated(lambda s: funnel.rates(s.sessions, s.pageviews, DETAIL)),
+    "s2_l6_repeat_buyers": _repeated(lambda s: customer.repeat_buyers(s.orders), testbed.store),
+}
+
 QUERIES: dict[str, Query] = {
     **AUDIT,
     **GROWTH,
@@ -403,4 +423,5 @@ QUERIES: dict[str, Query] = {
     **CUSTOMER,
     **SIZING,
     **VALIDATION,
+    **REPEATED,
 }

@@ -18,18 +18,22 @@ def over(n: str | Column, d: str | Column) -> Column:
     return _col(n).cast("double") / F.nullif(_col(d).cast("double"), F.lit(0.0))
 
 
+# A quotient that is a tie in decimals may come out a hair below it as a double; nine
+# digits bring the tie back, so that halves round up.
+_TIE_DIGITS = 9
+
+
 def ratio(n: str | Column, d: str | Column, digits: int = 2) -> Column:
-    return F.round(over(n, d), digits)
+    return F.round(F.round(over(n, d), _TIE_DIGITS), digits)
 
 
 def pct(n: str | Column, d: str | Column, digits: int = 2) -> Column:
     """Percentage: multiplied before the division, so one rounding decides."""
     if isinstance(n, str) and isinstance(d, str):
         share = f"cast(`{n}` as double) * 100D / nullif(cast(`{d}` as double), 0D)"
-        return F.expr(f"round({share}, {digits})")
-    return F.round(
-        _col(n).cast("double") * 100.0 / F.nullif(_col(d).cast("double"), F.lit(0.0)), digits
-    )
+        return F.expr(f"round(round({share}, {_TIE_DIGITS}), {digits})")
+    share = _col(n).cast("double") * 100.0 / F.nullif(_col(d).cast("double"), F.lit(0.0))
+    return F.round(F.round(share, _TIE_DIGITS), digits)
 
 
 def tally(rule: Column) -> Column:

@@ -8,52 +8,30 @@ from pyspark.sql import functions as F
 from shopgrain.operators.grain import ORPHAN_PRODUCT, known_product
 
 
-def basket_shapes(orders: DataFrame, items: DataFrame, orphan: int = ORPHAN_PRODUCT) -> DataFrame:
-    """Orders counted by which products they hold as primary and as add-on.
-
-    Three aggregations, each smaller than the one before: lines to (order,
-    product), those to one row per order, those to one row per shape. ``main``
-    and ``extra`` are arrays of (product, lines), bounded by the catalogue and
-    not by the lines of an order. The pairs are formed from the shapes, so an
-    order never has its lines multiplied with each other.
-
-    ``orders`` are the orders in scope, one row per order.
-    """
-    lines = items.where(known_product(orphan)).groupBy("order_id", "product_id").agg(
+def order_products(items: DataFrame, orphan: int = ORPHAN_PRODUCT) -> DataFrame:
+    """One row per (order, product): primary lines, add-on lines, revenue."""
+    return items.where(known_product(orphan)).groupBy("order_id", "product_id").agg(
         F.count(F.when(F.col("is_primary_item") == 1, F.lit(1))).alias("n_main"),
         F.count(F.when(F.col("is_primary_item") == 0, F.lit(1))).alias("n_extra"),
         F.sum("price_usd").alias("revenue"),
     )
 
-    def held(count: str):
-        entry = F.struct(F.col("product_id").alias("product"), F.col(count).alias("n"))
-        return F.sort_array(F.collect_list(F.when(F.col(count) > 0, entry)))
 
-    per_order = lines.groupBy("order_id").agg(
-        held("n_main").alias("main"),
-        held("n_extra").alias("extra"),
-        F.sum("revenue").alias("basket"),
-    )
-    return (
-        orders.select("order_id")
-        .join(per_order, "order_id")
-        .where(F.size("main") > 0)
-        .groupBy("main", "extra")
-        .agg(F.count(F.lit(1)).alias("n_orders"), F.sum("basket").alias("basket"))
+def primaries(orders: DataFrame, products: DataFrame) -> DataFrame:
+    """(order, primary product) with its lines, for the orders in scope (a row per order)."""
+    held = products.where("n_main > 0").select(
+        "order_id", F.col("product_id").alias("primary_product_id"), "n_main"
     )
+    return orders.select("order_id").join(held, "order_id")
+
 
+def pairings(mains: DataFrame, products: DataFrame) -> DataFrame:
+    """(order, primary product, add-on product) with both line counts.
 
-def pairings(shapes: DataFrame) -> DataFrame:
-    """(primary, add-on) rows of every shape with both line counts."""
-    return (
-        shapes.withColumn("m", F.explode("main"))
-        .withColumn("x", F.explode("extra"))
-        .select(
-            F.col("m.product").alias("primary_product_id"),
-            F.col("m.n").alias("n_main"),
-            F.col("x.product").alias("crosssell_product_id"),
-            F.col("x.n").alias("n_extra"),
-            "n_orders",
-            "basket",
-        )
+    The join is at the grain of products, so lines of an order are never multiplied;
+    an order with very many products is split by the adaptive skew join.
+    """
+    held = products.where("n_extra > 0").select(
+        "order_id", F.col("product_id").alias("crosssell_product_id"), "n_extra"
     )
+    return mains.join(held, "order_id")

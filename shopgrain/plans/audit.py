@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopgrain.functions.metrics import pct, tally
+from shopgrain.functions.metrics import pct, ratio, tally
 from shopgrain.functions.text import untrimmed
 from shopgrain.functions.timebucket import ALWAYS, Span
 from shopgrain.operators.keys import (
@@ -229,10 +229,16 @@ def quarantine(
 
 
 def profile(df: DataFrame, price: str = "price_usd", ts: str = "created_at", span: Span = ALWAYS) -> DataFrame:
-    """Gate at analysis: one row of figures to hold against a baseline."""
+    """Gate at analysis: one row of figures to hold against a baseline.
+
+    Rows are also given per day of the time they cover, so that windows of unequal
+    length can be compared.
+    """
     n = F.count(F.lit(1))
+    days = F.datediff(F.max(ts), F.min(ts)) + 1
     return df.where(span.holds(ts)).agg(
         n.cast("double").alias("row_count"),
+        ratio(n, days, 4).alias("rows_per_day"),
         pct(tally(F.col(price).isNull()), n, 4).alias("null_price_pct"),
         pct(tally(F.col(ts).isNull()), n, 4).alias("null_time_pct"),
         F.min(price).cast("double").alias("min_price"),
@@ -240,13 +246,14 @@ def profile(df: DataFrame, price: str = "price_usd", ts: str = "created_at", spa
     )
 
 
-METRICS = ("row_count", "null_price_pct", "null_time_pct", "min_price", "max_price")
+METRICS = ("row_count", "rows_per_day", "null_price_pct", "null_time_pct", "min_price", "max_price")
 
 
 def deviations(current: DataFrame, baseline: DataFrame, tolerance_pct: float = 10.0) -> DataFrame:
     """Both profiles side by side; flagged where they differ by more than the tolerance.
 
-    A baseline of 0 flags every other value. Each side is one row of figures.
+    A baseline of 0 flags every other value. Each side is one row of figures. The number
+    of rows is for information: their rate per day is what may be flagged.
     """
 
     def tall(df: DataFrame, name: str) -> DataFrame:
@@ -257,6 +264,6 @@ def deviations(current: DataFrame, baseline: DataFrame, tolerance_pct: float = 1
     return (
         tall(current, "current_value")
         .join(tall(baseline, "baseline_value"), "metric")
-        .withColumn("flagged", F.coalesce(off > allowed, F.lit(True)))
+        .withColumn("flagged", (F.col("metric") != "row_count") & F.coalesce(off > allowed, F.lit(True)))
         .orderBy("metric")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shopgrain.functions.metrics import pct, ratio, total
 from shopgrain.functions.timebucket import Span, moment, period
-from shopgrain.operators.basket import basket_shapes, pairings
+from shopgrain.operators.basket import order_products, pairings, primaries
 from shopgrain.operators.grain import (
     ORPHAN_PRODUCT,
     SESSION,
@@ -91,19 +91,17 @@ def attachment_matrix(
     orphan: int = ORPHAN_PRODUCT,
 ) -> DataFrame:
     """Orders that add a product to a primary product, against all primary orders."""
-    shapes = basket_shapes(_scope(orders, span), items, orphan)
-    primaries = (
-        shapes.withColumn("m", F.explode("main"))
-        .groupBy(F.col("m.product").alias("primary_product_id"))
-        .agg(F.sum("n_orders").alias("total_primary_orders"))
-    )
+    products = order_products(items, orphan)
+    mains = primaries(_scope(orders, span), products)
+    n_orders = F.count(F.lit(1))
+    totals = mains.groupBy("primary_product_id").agg(n_orders.alias("total_primary_orders"))
     pairs = (
-        pairings(shapes)
+        pairings(mains, products)
         .groupBy("primary_product_id", "crosssell_product_id")
-        .agg(F.sum("n_orders").alias("orders_with_pairing"))
+        .agg(n_orders.alias("orders_with_pairing"))
     )
     return (
-        pairs.join(primaries, "primary_product_id")
+        pairs.join(totals, "primary_product_id")
         .select(
             "primary_product_id",
             "crosssell_product_id",
@@ -128,11 +126,14 @@ def basket_values(
     primary line and an add-on line; ``grain_safe`` counts it once.
     """
     copies = F.lit(1) if grain_safe else F.col("n_main") * F.col("n_extra")
+    products = order_products(items, orphan)
+    baskets = products.groupBy("order_id").agg(F.sum("revenue").alias("basket"))
     return (
-        pairings(basket_shapes(_scope(orders, span), items, orphan))
+        pairings(primaries(_scope(orders, span), products), products)
+        .join(baskets, "order_id")
         .groupBy("primary_product_id", "crosssell_product_id")
         .agg(
-            F.sum("n_orders").alias("orders_with_pairing"),
+            F.count(F.lit(1)).alias("orders_with_pairing"),
             F.sum(F.col("basket") * copies).alias("_value"),
         )
         .select(

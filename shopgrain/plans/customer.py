@@ -9,6 +9,7 @@ from shopgrain.functions import channel as ch
 from shopgrain.functions.metrics import pct, ratio, tally, total
 from shopgrain.functions.timebucket import Span
 from shopgrain.operators.grain import priced, with_orders
+from shopgrain.operators.keys import first_per_key
 
 
 def _session_type():
@@ -129,10 +130,10 @@ def value_per_user(
 def repeat_buyers(orders: DataFrame) -> DataFrame:
     """Users with more than one priced order: orders, margin, first and last order.
 
-    One aggregation; joining the orders back to the users would read them twice.
+    An order counts once, however often its row is there.
     """
     return (
-        priced(orders)
+        first_per_key(priced(orders), ["order_id"])
         .groupBy("user_id")
         .agg(
             F.count("order_id").alias("total_orders"),

@@ -77,3 +77,6 @@ TABLES = {
     "order_item_refunds": REFUNDS,
     "products": PRODUCTS,
 }
+
+# The key of each table is its first column.
+KEYS = {name: table.fieldNames()[0] for name, table in TABLES.items()}

@@ -16,6 +16,12 @@ DEFAULTS = {
     # hold a large part of the rows of the many side.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.ansi.enabled": "true",
+    # Page views and orders are pruned by a filter of the sessions in scope also where
+    # those are more than the default of 10 MB; beyond that the filter loses precision,
+    # not rows.
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "10GB",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "100000000",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": "1073741824",
 }
 
 

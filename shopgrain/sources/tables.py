@@ -51,17 +51,29 @@ class Shop:
             df.createOrReplaceTempView(name)
 
 
+# An empty text and no text are told apart.
+_CSV = {"header": True, "nullValue": "\\N", "emptyValue": ""}
+
+
 def read_table(spark: SparkSession, folder: str, name: str, fmt: str = "parquet") -> DataFrame:
     """One stored table with its declared schema (parquet, orc, csv or json)."""
     reader = spark.read.schema(schemas.TABLES[name])
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = reader.options(**_CSV)
     return reader.format(fmt).load(f"{folder.rstrip('/')}/{name}")
 
 
-def read_shop(spark: SparkSession, folder: str, fmt: str = "parquet") -> Shop:
-    """All six tables below one folder."""
-    return Shop(lambda name: read_table(spark, folder, name, fmt))
+def read_shop(spark: SparkSession, folder: str, fmt: str = "parquet", unique: bool = False) -> Shop:
+    """All six tables below one folder; a row whose key is already there is skipped.
+
+    ``unique`` leaves that step out, for stored tables that went through it before.
+    """
+
+    def load(name: str) -> DataFrame:
+        df = read_table(spark, folder, name, fmt)
+        return df if unique else load_once(df, [schemas.KEYS[name]])
+
+    return Shop(load)
 
 
 def load_once(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] = ()) -> DataFrame:
@@ -78,5 +90,5 @@ def export(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite")
     """Write a result for a dashboard; CSV gets a header line."""
     writer = df.write.mode(mode)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.options(**_CSV)
     writer.format(fmt).save(path)

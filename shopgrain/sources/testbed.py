@@ -7,9 +7,10 @@ their ids with the order lines, so chains from session to line work too.
 
 Dirty data (case variants, blanks, missing tags, bad prices, orphan products,
 clock drift) is derived by fixed rules from the ``k`` number of an event or from
-the keys of a row. Event dates are spread over three years, by 36 days per day
-plus a per-user offset below 36, so that monthly and weekly reports have rows;
-the order of a user's visits does not change.
+the keys of a row. Event dates are spread over years, by 36 days per day (for some
+users a multiple) plus a per-user offset below 36, so that monthly and weekly reports
+have rows; but for the few visits with a clock fault, the order of a user's visits does
+not change.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopgrain.sources.tables import Shop
+from shopgrain.schemas import KEYS
+from shopgrain.sources.tables import Shop, load_once
 
 # Fixed values of this binding.
 DETAIL_PAGES = ("/item-1", "/item-2", "/item-3", "/item-4")
@@ -28,10 +30,16 @@ FIRST_EVENT_DAY = "2024-01-01"
 FIRST_SHOP_DAY = "2012-03-19"
 SESSION_ID_EPOCH = "2020-01-01"
 SPREAD_DAYS = 36
+STOPPED_CLOCK = "2014-06-01 00:00:00"
 
-# Type of a single price. All given prices fit; a larger one raises an error. Up
-# to 8 digits Spark sums a decimal as a long.
-_PRICE = "decimal(8,2)"
+# Type of a price.
+_PRICE = "decimal(18,2)"
+
+# Users differ in how far apart their visits are (by user id modulo five: times 36 days)
+# and when they begin (days after FIRST_SHOP_DAY), so that a year has users with one, two,
+# three and more visits, and new ones.
+USER_PACE = (1, 8, 4, 1, 1)
+USER_START = (0, 0, 0, 690, 0)
 
 
 # Declared schemas: reading needs no job to look at the files first.
@@ -65,8 +73,14 @@ def read_given(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 # Days from FIRST_EVENT_DAY, and the number of days a visit moves.
 _DAY = f"datediff(to_date(ts), date'{FIRST_EVENT_DAY}')"
+def _by_user(values: Sequence[int]) -> str:
+    whens = " ".join(f"when {i} then {v}" for i, v in enumerate(values[:-1]))
+    return f"case pmod(user_id, {len(values)}) {whens} else {values[-1]} end"
+
+
 _SHIFT = (
-    f"datediff(date'{FIRST_SHOP_DAY}', date'{FIRST_EVENT_DAY}') + {_DAY} * {SPREAD_DAYS - 1} "
+    f"datediff(date'{FIRST_SHOP_DAY}', date'{FIRST_EVENT_DAY}') "
+    f"+ {_DAY} * ({SPREAD_DAYS} * ({_by_user(USER_PACE)}) - 1) + ({_by_user(USER_START)}) "
     f"+ pmod(user_id * 7 + {_DAY} * 5, {SPREAD_DAYS})"
 )
 
@@ -79,8 +93,8 @@ def spread(events: DataFrame) -> DataFrame:
         "user_id",
         "event_type",
         "value",
-        # One number in a flat object: a pattern is ten times cheaper than a JSON parse.
-        """cast(regexp_extract(props, '"k": *([0-9]+)', 1) as int) as k""",
+        # NULL where there is no k.
+        "try_cast(get_json_object(props, '$.k') as int) as k",
         f"user_id * 100000 + datediff(to_date(ts), date'{SESSION_ID_EPOCH}') as website_session_id",
         f"ts + make_dt_interval(cast({_SHIFT} as int)) as created_at",
     )
@@ -90,28 +104,10 @@ def site_events(spark: SparkSession, folder: str) -> DataFrame:
     return spread(read_given(spark, folder, "events"))
 
 
-def site_event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The same events as a stream of files."""
-    # A pattern, so that one file and a folder of files both work.
-    path = f"{folder.rstrip('/')}/events.parquet*"
-    return spread(spark.readStream.schema(_TABLES["events"]).parquet(path))
-
-
-def _ladder(steps: Sequence[tuple[int, str]], column: str = "k") -> str:
-    """CASE with the value of the first step whose bound is above the column."""
-    whens = " ".join(f"when {column} < {bound} then {value}" for bound, value in steps)
-    return f"case {whens} end"
-
-
-def _table(steps: Sequence[tuple[int, str]]) -> str:
-    """The same as an array indexed by k.
-
-    Spark folds it to a literal, so a filter on the page reads k once and not
-    once per step.
-    """
-    starts = [0, *(bound for bound, _ in steps)]
-    runs = [f"array_repeat({v}, {bound - low})" for (bound, v), low in zip(steps, starts)]
-    return f"flatten(array({', '.join(runs)}))[k]"
+def _ladder(steps: Sequence[tuple[int, str]], rest: str = "null") -> str:
+    """CASE with the value of the first step whose bound is above ``k``."""
+    whens = " ".join(f"when k < {bound} then {value}" for bound, value in steps)
+    return f"case {whens} else {rest} end"
 
 
 # Tags by k of the first event of a visit.
@@ -167,6 +163,13 @@ def _capital(c: str) -> str:
     return f"concat(upper(substring({c}, 1, 1)), substring({c}, 2))"
 
 
+def _dirty_source(k: str) -> str:
+    return (
+        f"case {k} % 10 when 1 then {_capital(_SOURCE)} when 2 then upper({_SOURCE})"
+        f" when 3 then concat(' ', {_SOURCE}) else {_SOURCE} end"
+    )
+
+
 def sessions(spark: SparkSession, folder: str) -> DataFrame:
     """One row per (user, day); tags come from the first event of the visit.
 
@@ -190,12 +193,13 @@ def sessions(spark: SparkSession, folder: str) -> DataFrame:
     )
     return visits.selectExpr(
         "website_session_id",
-        "if(k % 50 = 7, started_at + interval '3' minute, started_at) as created_at",
+        # A clock that stands still gives visits of one user the same moment.
+        "case when k % 50 = 7 then started_at + interval '3' minute"
+        f" when k % 50 = 9 then timestamp_ntz'{STOPPED_CLOCK}' else started_at end as created_at",
         "user_id",
         "cast(website_session_id > min(website_session_id) over (partition by user_id) as int)"
         " as is_repeat_session",
-        f"case k % 10 when 1 then {_capital('source')} when 2 then upper(source)"
-        " when 3 then concat(' ', source) else source end as utm_source",
+        f"{_dirty_source('k')} as utm_source",
         "case k % 10 when 4 then upper(campaign) when 5 then concat(campaign, ' ')"
         " else campaign end as utm_campaign",
         f"case k % 10 when 6 then {_capital('device')} when 7 then concat(device, ' ')"
@@ -205,7 +209,10 @@ def sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pageviews(spark: SparkSession, folder: str) -> DataFrame:
-    whens = " ".join(f"when '{kind}' then {_table(steps)}" for kind, steps in _PAGES.items())
+    whens = " ".join(
+        f"when '{kind}' then {_ladder(steps[:-1], steps[-1][1]) if steps[1:] else steps[0][1]}"
+        for kind, steps in _PAGES.items()
+    )
     return site_events(spark, folder).selectExpr(
         "event_id as website_pageview_id",
         "created_at",
@@ -214,7 +221,7 @@ def pageviews(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def purchases(events: DataFrame) -> DataFrame:
+def purchases(events: DataFrame, *more: str) -> DataFrame:
     """Purchase events as orders; some prices are zero, negative or missing."""
     price = (
         "case when k = 77 then null when k % 25 = 0 then 0 "
@@ -232,10 +239,29 @@ def purchases(events: DataFrame) -> DataFrame:
             "price_usd",
             f"if(k = 33, price_usd, cast(price_usd * 0.40BD as {_PRICE})) as cogs_usd",
             "ts",
+            *more,
         )
     )
 
 
+ARRIVAL_PARTS, PART_DAYS = 4, 8
+
+
+def arrivals(spark: SparkSession, folder: str) -> DataFrame:
+    """Web orders as they reach a gate, with the ``part`` in which they come.
+
+    Parts follow the clock. Some orders come one part late, and some come again, in the
+    same or in the next part.
+    """
+    part = f"least({_DAY} div {PART_DAYS}, {ARRIVAL_PARTS - 1}) + if(k % 13 = 5, 1, 0)"
+    orders = purchases(site_events(spark, folder), "k").withColumn(
+        "utm_source", F.expr(_dirty_source("k"))
+    )
+    once = orders.withColumn("part", F.expr(part))
+    again = once.where("k % 11 = 3").withColumn("part", F.expr("part + k % 2"))
+    return once.unionByName(again).drop("k")
+
+
 def web_orders(spark: SparkSession, folder: str) -> DataFrame:
     return purchases(site_events(spark, folder)).drop("ts")
 
@@ -320,3 +346,19 @@ def store(spark: SparkSession, folder: str) -> Shop:
     """Web visits with the store's own orders."""
     tables = {**_WEB, "orders": store_orders}
     return Shop(lambda name: tables[name](spark, folder))
+
+
+def loaded_with_copies(shop: Shop) -> Shop:
+    """The shop as loaded from tables in which every seventh row by key stands twice.
+
+    Keys that are not unique in the given tables are left alone, as the load rule would
+    skip their rows too.
+    """
+
+    def load(name: str) -> DataFrame:
+        df, key = shop.named()[name], KEYS[name]
+        if name in ("order_items", "order_item_refunds"):
+            return df
+        return load_once(df.unionByName(df.where(F.col(key) % 7 == 0)), [key])
+
+    return Shop(load)

@@ -1,67 +1,77 @@
-"""Ingestion gate on a stream: reject bad prices and keys already seen."""
+"""Ingestion gate on a stream: tags normalised, rejects logged with their reason."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
+from shopgrain.plans.audit import cleaned_tags
 from shopgrain.session import work_folder
 
-
-def accepted(
-    rows: DataFrame,
-    keys: Sequence[str],
-    price: str = "price_usd",
-    event_time: str = "created_at",
-    delay: str = "1 hour",
-    spread: int = 16,
-) -> DataFrame:
-    """Rows to load: price not rejected, first of their key.
-
-    Keys are remembered for ``delay`` of event time, which bounds the state;
-    rows older than the watermark are late and leave the stream. Copies of one
-    key are first thinned out in ``spread`` parts, so that a key with very many
-    copies does not pass through one task; the second step sees at most one
-    copy per part. Which part a copy falls in does not change the result.
-    """
-    good = rows.where(F.coalesce(F.col(price) > 0, F.lit(True)))
-    clock = F.col(event_time).cast("timestamp")
-    return (
-        good.withColumn("_event_time", clock)
-        .withColumn("_part", (F.rand(7) * spread).cast("int"))
-        .withWatermark("_event_time", delay)
-        .dropDuplicatesWithinWatermark([*keys, "_part"])
-        .dropDuplicatesWithinWatermark(list(keys))
-        .drop("_event_time", "_part")
-    )
-
-
-def bad_price(rows: DataFrame, price: str = "price_usd") -> DataFrame:
-    return rows.where(F.col(price) <= 0)
+REASONS = ("bad_price", "late", "key_exists")
 
 
 @dataclass(frozen=True)
 class IntakeRun:
-    """Folders written by one run, and the rows that came too late."""
+    """Folders written so far. ``accepted`` and ``rejected`` hold every row of the input
+    once; ``progress`` has one row per batch (its latest event time and numbers of rows)."""
 
     accepted: str
     rejected: str
-    late_rows: int
-
-
-def _write(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    return (
-        df.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    progress: str
+
+
+def _known(spark: SparkSession, path: str, schema: str, before: int) -> DataFrame | None:
+    """What earlier batches wrote, or None if nothing is there yet."""
+    try:
+        rows = spark.read.schema(f"{schema}, batch long").parquet(path)
+    except Exception as error:  # only a folder that does not exist yet
+        if "PATH_NOT_FOUND" in str(error):
+            return None
+        raise
+    return rows.where(F.col("batch") < before)
+
+
+def _gate(run: IntakeRun, staging: str, keys: Sequence[str], price: str, event_time: str, delay: str):
+    """The work on one batch. Each folder of a batch is replaced as a whole, so a batch
+    that is run again after a failure neither loses nor repeats rows."""
+
+    def load(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        stage = f"{staging}/batch={number}"
+        cleaned_tags(batch).withColumn("_row", F.monotonically_increasing_id()).write.mode("overwrite").parquet(stage)
+        rows = spark.read.parquet(stage)
+        before = _known(spark, run.progress, "latest timestamp_ntz", number)
+        latest = before.agg(F.max("latest")).first()[0] if before is not None else None
+        late = F.lit(False)
+        if latest is not None:
+            late = F.col(event_time) < F.lit(latest).cast("timestamp_ntz") - F.expr(f"interval {delay}")
+        reason = F.when(F.col(price) <= 0, "bad_price").when(late, "late")
+        good = rows.where(reason.isNull())
+        taken = _known(spark, run.accepted, _ddl(batch, keys), number)
+        if taken is not None:
+            marks = taken.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+            same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+            good = good.join(marks, same, "left_anti")
+        # The earliest row of each key: copies are combined before the shuffle.
+        first = good.groupBy(*keys).agg(F.min(F.struct(event_time, "_row")).alias("first"))
+        accepted = f"{run.accepted}/batch={number}"
+        good.join(first.select("first._row"), "_row", "left_semi").write.mode("overwrite").parquet(accepted)
+        done = spark.read.parquet(accepted).select("_row")
+        rejected = rows.join(done, "_row", "left_anti").withColumn("reason", F.coalesce(reason, F.lit("key_exists")))
+        rejected.write.mode("overwrite").parquet(f"{run.rejected}/batch={number}")
+        figures = rows.agg(F.max(event_time).cast("timestamp_ntz").alias("latest"), F.count(F.lit(1)).alias("n_rows"))
+        figures.write.mode("overwrite").parquet(f"{run.progress}/batch={number}")
+
+    return load
+
+
+def _ddl(df: DataFrame, columns: Sequence[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
 def run_intake(
@@ -73,20 +83,19 @@ def run_intake(
     delay: str = "1 hour",
     folder: str | None = None,
 ) -> IntakeRun:
-    """Process everything that is there, then stop; both outputs are parquet.
+    """Process everything that is there, then stop; all outputs are parquet.
 
-    The file sink commits each batch once, so a restart from the same folder
-    after lost executors neither loses nor repeats rows.
+    A row is rejected for a price that is not positive, as late if its event time is more
+    than ``delay`` before the latest one of earlier batches, or because its key was
+    accepted before. A missing price or time passes. Tags are normalised first.
     """
     base = folder or work_folder(spark, "intake")
-    run = IntakeRun(f"{base}/accepted", f"{base}/rejected", 0)
-    queries = [
-        _write(accepted(rows, keys, price, event_time, delay), run.accepted, f"{base}/_state_a"),
-        _write(bad_price(rows, price), run.rejected, f"{base}/_state_r"),
-    ]
-    late = 0
-    for query in queries:
-        query.awaitTermination()
-        for progress in query.recentProgress:
-            late += sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
-    return IntakeRun(run.accepted, run.rejected, late)
+    run = IntakeRun(f"{base}/accepted", f"{base}/rejected", f"{base}/progress")
+    query = (
+        rows.writeStream.foreachBatch(_gate(run, f"{base}/_staged", keys, price, event_time, delay))
+        .option("checkpointLocation", f"{base}/_state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return run

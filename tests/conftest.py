@@ -17,9 +17,13 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     s = build_session(
-        "local[8]", "tests", spark__sql__shuffle__partitions="4", spark__ui__enabled="false"
+        "local[8]",
+        "tests",
+        spark__sql__shuffle__partitions="4",
+        spark__ui__enabled="false",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
