@@ -51,8 +51,13 @@ class Shop:
             df.createOrReplaceTempView(name)
 
 
-# An empty text and no text are told apart.
-_CSV = {"header": True, "nullValue": "\\N", "emptyValue": ""}
+# An empty text and no text are told apart, and outer blanks stay.
+_CSV = {
+    "header": True,
+    "nullValue": "\\N",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 
 
 def read_table(spark: SparkSession, folder: str, name: str, fmt: str = "parquet") -> DataFrame:

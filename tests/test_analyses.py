@@ -415,6 +415,6 @@ def test_intake_splits_every_row(spark):
 def test_deviations(shop):
     now = audit.profile(shop.orders)
     got = {r["metric"]: r["flagged"] for r in rows(audit.deviations(now, now))}
-    assert not any(got.values()) and len(got) == 5
+    assert not any(got.values()) and len(got) == 6
     less = audit.profile(shop.orders.where("order_id > 103"))
     assert {r["metric"] for r in rows(audit.deviations(less, now)) if r["flagged"]} >= {"max_price"}
