@@ -28,5 +28,6 @@ def most_frequent(counted: DataFrame, key: str, limit: int, by: str | None = Non
         best = rows.where(F.col("_level") >= (first["_floor"] if first and first["_floor"] is not None else 0))
         return best.orderBy(F.desc("n"), key).limit(limit).select(key, "n").collect()
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), key))
-    best = rows.join(floor, by).where("_level >= _floor").withColumn("_rank", rank)
+    # One row per value of ``by``, of each of which ``limit`` rows are returned anyway.
+    best = rows.join(F.broadcast(floor), by).where("_level >= _floor").withColumn("_rank", rank)
     return best.where(F.col("_rank") <= limit).select(by, key, "n").collect()

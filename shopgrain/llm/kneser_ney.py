@@ -125,7 +125,8 @@ def merged(batches: Iterator[pa.RecordBatch], room: int = 1 << 22) -> Iterator[t
 
 
 def by_shard(rows: DataFrame, shards: int) -> DataFrame:
-    return rows.repartition(max(shards, 1), "shard").sortWithinPartitions("shard")
+    """One shard to a task."""
+    return rows.repartitionById(max(shards, 1), "shard")
 
 
 # --- files ---------------------------------------------------------------------------

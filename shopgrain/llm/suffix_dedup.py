@@ -233,7 +233,7 @@ class Settings:
     gram: int = 24
     strip_bytes: int = 1 << 18
     held_runs: int = 500_000  # runs that a task of pass one sorts at a time
-    shard_bytes: int = 1 << 28  # bytes of text per shard of pass one
+    shard_bytes: int = 1 << 24  # bytes of text per shard of pass one
     task_runs: int = 4096  # different runs of one anchor that pass two takes in one piece
 
 
@@ -277,7 +277,9 @@ def _sort_runs(packed: DataFrame, s: Settings) -> DataFrame:
     """Pass one, after the shuffle: spans, and the runs that share an anchor and differ."""
 
     def close(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        runs, spans = settle(np.concatenate(held), s.threshold)
+        runs = np.concatenate(held)
+        held.clear()
+        runs, spans = settle(runs, s.threshold)
         if len(spans):
             yield _found(spans)
         new = np.concatenate([[True], runs["h"][1:] != runs["h"][:-1]])
@@ -294,17 +296,13 @@ def _sort_runs(packed: DataFrame, s: Settings) -> DataFrame:
             yield _found(out, 1, rows["h"].astype(np.int64), part[shared].astype(np.int32), hot[shared])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        held = []
         for batch in batches:
-            for shard, runs, spans in zip(*(batch.column(n).to_pylist() for n in ("shard", "runs", "spans"))):
-                if shard != now and held:
-                    yield from close(held)
-                    held = []
-                now = shard
-                if spans:
-                    yield _found(_unpack(spans, SPAN_TYPE))
-                if runs:
-                    held.append(_unpack(runs, RUN))
+            for runs, spans in zip(batch.column("runs"), batch.column("spans")):
+                if len(spans.as_buffer()):
+                    yield _found(_unpack(spans.as_py(), SPAN_TYPE))
+                if len(runs.as_buffer()):
+                    held.append(_unpack(runs.as_py(), RUN))
         if held:
             yield from close(held)
 
@@ -425,7 +423,7 @@ def repeated(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id", tex
     named = _named(docs, key, text)
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // s.shard_bytes))
-    packed = _runs(named, shards, s).repartition(shards, "shard").sortWithinPartitions("shard")
+    packed = _runs(named, shards, s).repartitionById(shards, "shard")  # one shard to a task
     found = stored(_sort_runs(packed, s), "repeats")
     windows = stored(_sort_windows(_contexts(named, found), s), "repeats")
     span = ["id", "tie", "start", "end"]
