@@ -129,7 +129,12 @@ def runs_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, threshold: i
     whole ^= ((hi - lo).astype(np.uint64) << np.uint64(32)) + (a - lo).astype(np.uint64)
     whole *= _MIX
     whole ^= whole >> np.uint64(31)
-    return {"h": (grams[a] >> np.uint64(32)).astype("u4"), "c": whole, "text": text[first], "lo": lo, "hi": hi}
+    # Anchors have the least hashes; mixed again, they spread evenly over the shards.
+    spread = grams[a] ^ (grams[a] >> np.uint64(32))
+    spread *= _MIX
+    spread ^= spread >> np.uint64(29)
+    spread *= _MIX
+    return {"h": (spread >> np.uint64(32)).astype("u4"), "c": whole, "text": text[first], "lo": lo, "hi": hi}
 
 
 def settle(runs: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
