@@ -418,19 +418,50 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def _texts(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """_k (the key, null first), fingerprint, and a hash of the word sequence, of every row."""
+def _tagged(rows: DataFrame, text: str, shingle: int | None = None) -> DataFrame:
+    """``rows`` with ``node``, a hash of the word sequence, and with ``shingle`` the fingerprint."""
+    at = rows.columns.index(text)
+    fields = [StructField("node", LongType()), *([StructField("fingerprint", LongType())] if shingle else [])]
+    schema = StructType([*rows.schema.fields, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column(1).to_pylist()
-            made = [_signed(fingerprint(v, shingle)) for v in values]
+            values = batch.column(at).to_pylist()
             node = [_signed(xxhash.xxh64_intdigest(b" ".join((v or "").encode().lower().split()), 7)) for v in values]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(made, pa.int64()), pa.array(node, pa.int64())], names=["_k", "fingerprint", "node"]
-            )
+            made = [pa.array(node, pa.int64())]
+            if shingle:
+                made.append(pa.array([_signed(fingerprint(v, shingle)) for v in values], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
 
-    return docs.select("_k", text).mapInArrow(run, "_k long, fingerprint long, node long")
+    return rows.mapInArrow(run, schema)
+
+
+def _links_of(pairs: DataFrame, texts: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (x, y) of nodes whose shingle sets are similar enough, as edges."""
+    ends = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingle_set(v, shingle).tobytes() for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "grams"])
+
+    # Rows of a node are copies of one word sequence, so any of them has its set.
+    grams = texts.join(ends, "node", "left_semi").select("node", text).mapInArrow(sets, "node long, grams binary")
+    grams = stored(grams.groupBy("node").agg(F.first("grams").alias("grams")), "copies")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = ([np.frombuffer(v, np.uint64) for v in batch.column(n).to_pylist()] for n in (2, 3))
+            near = pa.array([jaccard(*p) >= similarity for p in zip(a, b)], pa.bool_())
+            x, y = batch.column(0).filter(near), batch.column(1).filter(near)
+            yield pa.RecordBatch.from_arrays([x, y], names=["a", "b"])
+
+    both = (
+        pairs.join(grams.withColumnsRenamed({"node": "x", "grams": "gx"}), "x")
+        .join(grams.withColumnsRenamed({"node": "y", "grams": "gy"}), "y")
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "gx", "gy")
+    )
+    return both.mapInArrow(compare, EDGES)
 
 
 def first_copies(
@@ -449,45 +480,27 @@ def first_copies(
     fingerprints of ``shingle`` words. A candidate link counts if the Jaccard similarity
     of the two texts' sets of ``shingle``-word shingles is ``similarity`` or more. Of a
     group of candidates the closest links that join it are compared, not all its pairs.
+
+    Rows are told apart by key and text, so null and repeated keys are copies of each
+    other only where their texts are. Of rows with one key, the least text hash is first.
     """
     rows = docs.withColumn("_k", F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))))
-    prints = stored(_texts(rows, key, text, print_shingle), "copies")
+    prints = stored(_tagged(rows.select("_k", text), text, print_shingle).drop(text), "copies")
+    texts = _tagged(rows.select(text), text)
     nodes = stored(prints.groupBy("fingerprint", "node").agg(F.min("_k").alias("least")), "copies")
-    heads = stored(nodes.groupBy("fingerprint").agg(F.min_by("node", "least").alias("head")), "copies")
+    heads = stored(nodes.groupBy("fingerprint").agg(F.min_by("node", F.struct("least", "node")).alias("head")), "copies")
     near = links(heads.select("fingerprint"), budget)
     between = near.join(heads.select(F.col("fingerprint").alias("a"), F.col("head").alias("x")), "a").join(
         heads.select(F.col("fingerprint").alias("b"), F.col("head").alias("y")), "b"
     )
     within = nodes.join(heads, "fingerprint").where("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y"))
     pairs = stored(between.select("x", "y").unionByName(within).distinct(), "copies")
-    ends = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-    wanted = nodes.join(ends, "node").select("node", F.col("least").alias("_k"))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [shingle_set(v, shingle).tobytes() for v in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "grams"])
-
-    grams = rows.join(wanted, "_k").select("node", text).mapInArrow(sets, "node long, grams binary")
-    grams = stored(grams.groupBy("node").agg(F.first("grams").alias("grams")), "copies")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = ([np.frombuffer(v, np.uint64) for v in batch.column(n).to_pylist()] for n in (2, 3))
-            near = pa.array([jaccard(*p) >= similarity for p in zip(a, b)], pa.bool_())
-            x, y = batch.column(0).filter(near), batch.column(1).filter(near)
-            yield pa.RecordBatch.from_arrays([x, y], names=["a", "b"])
-
-    both = (
-        pairs.join(grams.withColumnsRenamed({"node": "x", "grams": "gx"}), "x")
-        .join(grams.withColumnsRenamed({"node": "y", "grams": "gy"}), "y")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "gx", "gy")
-    )
-    stars = components(both.mapInArrow(compare, EDGES))
-    member = nodes.join(stars, "node", "left").select("least", F.coalesce("component", "node").alias("component"))
-    first = member.groupBy("component").agg(F.min("least").alias("_k")).select("_k").distinct()
-    kept = rows.join(first, "_k", "left_semi")
-    if prints.count() != prints.select("_k").distinct().count():
-        # Repeated keys: one row of each text that stays.
-        kept = kept.dropDuplicates(["_k", text])
-    return kept.drop("_k")
+    stars = components(_links_of(pairs, texts, text, shingle, similarity))
+    member = nodes.join(stars, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    first = member.groupBy("component").agg(F.min(F.struct("least", "node")).alias("f"))
+    first = stored(first.select(F.col("f.least").alias("_k"), "f.node"), "copies")
+    kept = _tagged(rows, text).join(first, ["_k", "node"], "left_semi")
+    if prints.count() != prints.select("_k", "node").distinct().count():
+        # Rows repeated in key and words: one of them.
+        kept = kept.dropDuplicates(["_k", "node"])
+    return kept.select(*docs.columns)

@@ -246,6 +246,16 @@ def test_first_copies_keeps_one_of_each_group(docs, nothing):
     assert simhash.first_copies(nothing).count() == 0
 
 
+def test_rows_of_one_id_are_compared_by_their_texts(spark):
+    # Null and repeated ids: near copies go, whatever else has their id.
+    texts = [prose(100 + k, 60) for k in range(6)]
+    rows = [(i, t) for i in (None, 7) for t in texts] + [(None, texts[0] + " tail"), (7, texts[1] + " tail"), (None, texts[2])]
+    rows += [(8, " \n" + texts[3]), (8, prose(300, 60)), (8, prose(300, 60))]
+    kept = simhash.first_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(r["doc_id"] for r in kept) == Counter({None: 6, 8: 1})
+    assert {r["text"].removesuffix(" tail") for r in kept} == {*texts, prose(300, 60)}
+
+
 # --- quality -------------------------------------------------------------------------
 
 
