@@ -256,6 +256,35 @@ def test_rows_of_one_id_are_compared_by_their_texts(spark):
     assert {r["text"].removesuffix(" tail") for r in kept} == {*texts, prose(300, 60)}
 
 
+@pytest.mark.parametrize("star_rounds", [0, 3])
+def test_near_copies_of_one_fingerprint_are_all_found(spark, star_rounds):
+    # A line of eleven words, repeated, decides every bit; the tails differ, two by two.
+    line = " ".join(f"w{k}" for k in range(11))
+    tails = [" ".join(f"t{k}-{i}" for i in range(40)) for k in range(8)]
+    rows = [(10 * k + i, " ".join([line] * 50) + f" {t}" + " more" * i) for k, t in enumerate(tails) for i in range(2)]
+    assert len({simhash.fingerprint(t, 2) for _, t in rows}) == 1
+    kept = simhash.first_copies(spark.createDataFrame(rows, "doc_id long, text string"), star_rounds=star_rounds)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [10 * k for k in range(8)]
+
+
+def test_near_copies_equal_brute_force(spark):
+    rng, texts = random.Random(17), []
+    for _ in range(25):
+        base = [f"v{rng.randrange(400)}" for _ in range(rng.randrange(4, 80))]
+        for _ in range(rng.randrange(1, 7)):
+            base = [f"e{rng.randrange(10**6)}" if rng.random() < 0.02 else w for w in base]
+            texts.append(" ".join(base))
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    first = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                    first[i] = first[j] = min(first[i], first[j])
+    kept = simhash.first_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(first))
+
+
 # --- quality -------------------------------------------------------------------------
 
 
