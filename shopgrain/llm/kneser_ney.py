@@ -1,25 +1,30 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark, scored from mapped arrays.
+"""Interpolated modified Kneser-Ney model, counted in Spark, scored from mapped arrays.
 
-Counting has three shuffles, each of sorted arrays and not of rows: a task counts its own
-share of the text, cuts the sorted keys into shards, and sends one packed array per shard.
+The order is any from 2 on. Counting has a shuffle for the words, one for the n-grams of
+each length and one for the continuations of each, all of sorted arrays and not of rows: a
+task counts its own share of the text, cuts the sorted keys into shards, and sends one
+packed array per shard.
 
 1. Words, by 64-bit hash. A shard is a range of hashes; the sorted shards end to end are
    the vocabulary, and the id of a word is its place in it.
-2. Bigrams, as id of the history times 2^32 plus id of the word. Shards are ranges of
-   these keys with about ``shard_tokens`` tokens each; a frequent history is cut into
-   several ranges of its followers, so no shard grows with one word.
-3. Continuations: how many different histories a word follows, per vocabulary shard.
+2. N-grams, from pairs up to the order: the id of the history times 2^b plus the id of the
+   word, where b bits hold a word and the id of a history is its word or the place of its
+   n-gram in the sorted shards of the length before. Shards are ranges of these keys with
+   about ``shard_tokens`` tokens each; a frequent history is cut into several ranges of its
+   followers, so no shard grows with one word.
+3. Continuations, from the longest n-grams down: how many different words an n-gram
+   follows, laid out as its shard. They take the place of the counts below the order.
 
 Every shard is written once as flat sorted arrays below the shared folder, and a row of
 figures about it (one per shard) goes to the driver. Workers map the arrays into memory
 and search them; a shared folder that is no mounted file system is copied to an unlinked
-file first. The arrays grow with the corpus and no count is pruned.
+file first. The arrays grow with the corpus and no count is pruned. Figures of a history
+are stored where it has more than ``FEW`` followers and else added up when asked for.
 
-The order is 2: counts of distinct trigrams would need more disk than the limits leave.
-
-P(w | v) = max(c(vw) - D(c), 0) / c(v) + g(v) P1(w), where P1 is the continuation
-distribution of w, discounted in turn and mixed with 1 / (V + 1). Discounts for counts 1,
-2 and 3+ come from the counts of counts. The start of a text is a history, its end a word.
+P(w | h) = max(c(hw) - D(c), 0) / c(h) + g(h) P'(w | h'), where P' is the distribution of
+continuations after the history without its first word, discounted in turn and in the end
+mixed with 1 / (V + 1). Discounts for counts 1, 2 and 3+ come from the counts of counts of
+each length. A text starts with as many starts as a history has words; its end is a word.
 
 Nulls: a null or empty text is its end alone. Rows of a null id are scored; whether they
 are learned from is the caller's choice of training rows. Copies count as often as they
@@ -35,7 +40,7 @@ import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +54,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from shopgrain.session import work_folder
 
 END = b""  # no word is empty, so this stands for the end of a text
-_LOW32 = np.uint64(0xFFFFFFFF)
+FEW = 8
 SHARDS = "shard int, keys binary, counts binary"
 
 
@@ -181,17 +186,36 @@ class Vocabulary:
     bounds: np.ndarray
 
 
+@dataclass(frozen=True)
+class Level:
+    """N-grams of one length: files and first place of each shard, first keys, discounts."""
+
+    keys: tuple[str | None, ...]
+    counts: tuple[str | None, ...]  # below the order: of continuations
+    histories: tuple[tuple[str, str] | None, ...]  # those of many followers, their figures
+    starts: tuple[int, ...]
+    size: int
+    bounds: np.ndarray
+    discounts: tuple[float, float, float] = (0, 0, 0)
+
+
 @dataclass(frozen=True)
 class Model:
     vocabulary: Vocabulary
     continuations: tuple[str | None, ...]  # file per vocabulary shard
-    bigrams: tuple[tuple[str, str, str, str] | None, ...]  # keys, counts, histories, their figures
-    bounds: np.ndarray
-    high: tuple[float, float, float]
+    levels: tuple[Level, ...]  # from pairs on
     low: tuple[float, float, float]
     pairs: int
     low_mass: float
 
+    @property
+    def bits(self) -> int:
+        return word_bits(self.vocabulary)
+
+
+def word_bits(vocabulary: Vocabulary) -> int:
+    return max(1, int(vocabulary.size - 1).bit_length())
+
 
 class Words:
     """Ids of words in a worker: recent words, then the mapped hashes."""
@@ -269,15 +293,58 @@ def token_ids(words: Words, texts: list[bytes | None]) -> tuple[np.ndarray, np.n
     return words.find(tokens), np.array(starts, np.int64)
 
 
-def bigram_keys(ids: np.ndarray, starts: np.ndarray, end_id: int) -> np.ndarray:
-    """History and word of each token; the start of a text has the id of the end, which is no history."""
-    history = np.concatenate([[end_id], ids[:-1]])
-    history[starts] = end_id
-    return (history.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64)
+class Keys:
+    """N-gram keys of tokens in a worker, from the mapped shards of the shorter n-grams."""
 
+    def __init__(self, vocabulary: Vocabulary, levels: tuple[Level, ...], end_id: int) -> None:
+        self.folder, self.levels, self.end_id = vocabulary.folder, levels, end_id
+        self.bits = np.uint64(word_bits(vocabulary))
+        self._maps: dict[str, np.ndarray] = {}
 
-def train(docs: DataFrame, text: str = "text", shard_tokens: int = 4_000_000) -> Model:
+    def array(self, file: str | None, dtype: str) -> np.ndarray:
+        if file is None:
+            return np.empty(0, dtype)
+        if file not in self._maps:
+            self._maps[file] = map_array(self.folder, file, dtype)
+        return self._maps[file]
+
+    def places(self, level: Level, keys: np.ndarray) -> np.ndarray:
+        """Places of sorted keys, -1 for unknown ones."""
+        out = np.full(len(keys), -1, np.int64)
+        cuts = [0, *np.searchsorted(keys, level.bounds).tolist(), len(keys)]
+        for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if a < b and len(table := self.array(level.keys[n], "u8")):
+                at = np.minimum(np.searchsorted(table, keys[a:b]), len(table) - 1)
+                out[a:b] = np.where(table[at] == keys[a:b], at + level.starts[n], -1)
+        return out
+
+    def histories(self, ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each length: id of the history of each token (-1: unknown), key (where both are known).
+
+        The history of starts alone is the id of the end in pairs, as no text goes on after
+        its end, and else the number of n-grams of the length before.
+        """
+        back = np.arange(len(ids)) - np.repeat(starts, np.diff(np.append(starts, len(ids))))
+        history = np.concatenate([[self.end_id], ids[:-1]])
+        history[back == 0] = self.end_id
+        for n in range(len(self.levels) + 1):
+            known = (history >= 0) & (ids >= 0)
+            key = np.zeros(len(ids), np.uint64)
+            key[known] = (history[known].astype(np.uint64) << self.bits) | ids[known].astype(np.uint64)
+            yield history, key
+            if n < len(self.levels):
+                level = self.levels[n]
+                place = np.full(len(ids), -1, np.int64)
+                distinct, where = np.unique(key[known], return_inverse=True)
+                place[known] = self.places(level, distinct)[where]
+                history = np.concatenate([[level.size], place[:-1]])
+                history[back == 0] = level.size
+
+
+def train(docs: DataFrame, text: str = "text", shard_tokens: int = 4_000_000, order: int = 2) -> Model:
     """The model of all rows of ``docs``; its arrays are below the shared folder."""
+    if order < 2:
+        raise ValueError("the order is 2 at least")
     spark = docs.sparkSession
     folder = work_folder(spark, "kneser-ney")
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -325,10 +392,9 @@ def train(docs: DataFrame, text: str = "text", shard_tokens: int = 4_000_000) ->
             continue
         files.append(tuple(r["files"]))
         n, t, *more = r["figures"]
-        cuts.append(size << 32)
-        for at, times in zip(more[::2], more[1::2]):
-            # A history that holds several cuts is divided by its followers.
-            cuts += [((size + at) << 32) | ((k << 32) // times) for k in range(times)]
+        cuts.append((size, 0, 1))
+        # A history that holds several cuts is divided by its followers.
+        cuts += [(size + at, k, times) for at, times in zip(more[::2], more[1::2]) for k in range(times)]
         size, tokens = size + n, tokens + t
     kept = [s for s in range(shards) if files[s][0]]
     if size >= 1 << 32:
@@ -342,86 +408,155 @@ def train(docs: DataFrame, text: str = "text", shard_tokens: int = 4_000_000) ->
         np.array([bounds[s - 1] for s in kept[1:]], np.uint64),
     )
     if not size:
-        return Model(vocabulary, (), (), np.empty(0, np.uint64), (0, 0, 0), (0, 0, 0), 0, 1.0)
+        return Model(vocabulary, (), (), (0, 0, 0), 0, 1.0)
     # A vocabulary shard's ids are one range, so word ids can be cut like hashes.
     word_cuts = np.array(vocabulary.starts[1:], np.uint64)
-    pair_cuts = np.array(sorted(set(cuts) - {0}), np.uint64)
-
-    # 2. Bigrams.
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(vocabulary)
-        (end_id,) = words.find([END])
-        held, waiting = [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            yield from shard_rows(keys, counts, pair_cuts)
-
-        for batch in batches:
-            for run in strips(batch.column(0).to_pylist()):
-                held.append(bigram_keys(*token_ids(words, run), end_id))
-                waiting += len(held[-1])
-                if waiting > 6_000_000:
-                    yield from flush()
-                    held, waiting = [], 0
-        if held:
-            yield from flush()
+    bits = word_bits(vocabulary)
+    mask = np.uint64((1 << bits) - 1)
+
+    def cut_keys(wanted: list[tuple[int, int, int]]) -> np.ndarray:
+        return np.array(sorted({(h << bits) | ((k << bits) // times) for h, k, times in wanted} - {0}), np.uint64)
+
+    # 2. N-grams, a length at a time.
+    levels: tuple[Level, ...] = ()
+    for length in range(2, order + 1):
+        shorter, bounds, longest = levels, cut_keys(cuts), length == order
+
+        def count_grams(batches: Iterator[pa.RecordBatch], shorter=shorter, bounds=bounds) -> Iterator[pa.RecordBatch]:
+            words = Words(vocabulary)
+            keys_of = Keys(vocabulary, shorter, int(words.find([END])[0]))
+            held, waiting = [], 0
+
+            def flush() -> Iterator[pa.RecordBatch]:
+                keys, counts = np.unique(np.concatenate(held), return_counts=True)
+                yield from shard_rows(keys, counts, bounds)
+
+            for batch in batches:
+                for run in strips(batch.column(0).to_pylist()):
+                    *_, (_, keys) = keys_of.histories(*token_ids(words, run))
+                    held.append(keys)
+                    waiting += len(keys)
+                    if waiting > 6_000_000:
+                        yield from flush()
+                        held, waiting = [], 0
+            if held:
+                yield from flush()
+
+        def write_grams(batches: Iterator[pa.RecordBatch], longest=longest) -> Iterator[pa.RecordBatch]:
+            for shard, keys, counts in merged(batches):
+                files, more = [write_array(folder, "grams", keys)], []
+                if longest:
+                    files += write_counts(folder, keys, counts, bits)
+                else:
+                    passed = np.cumsum(counts)
+                    at = np.searchsorted(passed, np.arange(shard_tokens, passed[-1], shard_tokens))
+                    more = np.stack(np.unique(at, return_counts=True), 1).ravel().tolist()
+                yield _figures(shard, files, [len(keys), *_times(counts), *more])
+
+        rows = by_shard(texts.mapInArrow(count_grams, SHARDS), len(bounds) + 1)
+        told = {r["shard"]: r for r in rows.mapInArrow(write_grams, FIGURES).collect()}
+        shards_of = range(len(bounds) + 1)
+        sizes = [told[n]["figures"][0] if n in told else 0 for n in shards_of]
+        first = [sum(sizes[:n]) for n in shards_of]
+        if not longest:
+            if sum(sizes) >= 1 << (64 - bits):
+                raise ValueError(f"too many {length}-grams for 64-bit keys")
+            cuts = [(first[n], 0, 1) for n in told]
+            for n, r in told.items():
+                more = r["figures"][6:]
+                cuts += [(first[n] + at, k, times) for at, times in zip(more[::2], more[1::2]) for k in range(times)]
+            cuts.append((sum(sizes), 0, 1))
+        files = [told[n]["files"] if n in told else None for n in shards_of]
+        levels += (_level([f and f[0] for f in files], [f and f[1:] for f in files], first, sum(sizes), bounds),)
+        if longest:
+            high = discounts([sum(r["figures"][k] for r in told.values()) for k in (1, 2, 3, 4)])
+            levels = (*levels[:-1], replace(levels[-1], discounts=high))
 
-    def write_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, keys, counts in merged(batches):
-            history = (keys >> np.uint64(32)).astype(np.uint32)
-            first = np.flatnonzero(np.concatenate([[True], history[1:] != history[:-1]]))
-            figures = [np.add.reduceat(x, first) for x in (counts, counts == 1, counts == 2, counts >= 3)]
-            followers, n = np.unique(keys & _LOW32, return_counts=True)
-            yield _figures(
-                shard=shard,
-                files=[
-                    write_array(folder, "pairs", keys),
-                    write_array(folder, "pair-counts", counts.astype(np.uint32)),
-                    write_array(folder, "histories", history[first]),
-                    write_array(folder, "history-figures", np.stack(figures, 1).astype(np.uint64)),
-                    write_array(folder, "followers", followers),
-                    write_array(folder, "follower-counts", n.astype(np.uint32)),
-                ],
-                figures=[len(keys), *(int((counts == k).sum()) for k in (1, 2, 3, 4))],
-            )
+    # 3. Continuations: the files of step 2 are read by name, one task per file.
+    for n in range(len(levels) - 1, -1, -1):
+        level, below = levels[n], levels[n - 1] if n else None
+        names = spark.createDataFrame([(f,) for f in level.keys if f], "keys string")
+
+        def send(batches: Iterator[pa.RecordBatch], n=n, below=below) -> Iterator[pa.RecordBatch]:
+            keys_of = Keys(vocabulary, levels, int(Words(vocabulary).find([END])[0]))
+            for batch in batches:
+                for file in batch.column(0).to_pylist():
+                    keys = np.asarray(map_array(folder, file, "u8"))
+                    if below is None:
+                        yield from shard_rows(*np.unique(keys & mask, return_counts=True), word_cuts)
+                        continue
+                    # The last words of a history: of starts alone, the start again.
+                    history, back = np.unique(keys >> np.uint64(bits), return_inverse=True)
+                    yield from shard_rows(*np.unique(last_of(keys_of, n, history)[back] << np.uint64(bits) | keys & mask, return_counts=True), below.bounds)
+
+        def write_continuations(batches: Iterator[pa.RecordBatch], below=below) -> Iterator[pa.RecordBatch]:
+            for shard, keys, counts in merged(batches):
+                if below is None:
+                    dense = np.zeros(ends[shard] - vocabulary.starts[shard], np.uint32)
+                    dense[keys.astype(np.int64) - vocabulary.starts[shard]] = counts
+                    yield _figures(shard, [write_array(folder, "continuations", dense)], _times(counts))
+                else:  # every n-gram ends a longer one, so the keys are those of the shard
+                    yield _figures(shard, write_counts(folder, keys, counts, bits), _times(counts))
+
+        ends = (*vocabulary.starts[1:], size)
+        parts = len(vocabulary.files) if below is None else len(below.bounds) + 1
+        spread = names.repartition(max(names.count(), 1)).mapInArrow(send, SHARDS)
+        told = {r["shard"]: r for r in by_shard(spread, parts).mapInArrow(write_continuations, FIGURES).collect()}
+        sums = [sum(r["figures"][k] for r in told.values()) for k in range(5)]
+        found = [told[k]["files"] if k in told else None for k in range(parts)]
+        if below is not None:
+            made = _level(list(below.keys), found, below.starts, below.size, below.bounds)
+            levels = (*levels[: n - 1], replace(made, discounts=discounts(sums[:4])), *levels[n:])
+    low = discounts(sums[:4])
+    total = levels[0].size
+    mass = (low[0] * sums[0] + low[1] * sums[1] + low[2] * sums[4]) / total
+    return Model(vocabulary, tuple(f and f[0] for f in found), levels, low, total, mass)
 
-    told = by_shard(texts.mapInArrow(count_pairs, SHARDS), len(pair_cuts) + 1).mapInArrow(write_pairs, FIGURES).collect()
-    high = discounts([sum(r["figures"][k] for r in told) for k in (1, 2, 3, 4)])
-    pairs: list = [None] * (len(pair_cuts) + 1)
-    for r in told:
-        pairs[r["shard"]] = tuple(r["files"][:4])
-    total = sum(r["figures"][0] for r in told)
 
-    # 3. Continuations: the files of step 2 are read by name, one task per file.
-    names = spark.createDataFrame([(r["files"][4], r["files"][5]) for r in told], "keys string, counts string")
+def _level(keys: list, files: list, starts, size: int, bounds: np.ndarray) -> Level:
+    """``files``: counts, histories and their figures of each shard, if it has them."""
+    counts = tuple(f[0] if f else None for f in files)
+    return Level(tuple(keys), counts, tuple(tuple(f[1:]) if f else None for f in files), tuple(starts), size, bounds)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield from shard_rows(map_array(folder, keys, "u8"), map_array(folder, counts, "u4"), word_cuts)
 
-    sizes = [b - a for a, b in zip(vocabulary.starts, (*vocabulary.starts[1:], size))]
+def _times(counts: np.ndarray) -> list[int]:
+    """How many are 1, 2, 3, 4, and 3 or more."""
+    return [int((counts == k).sum()) for k in (1, 2, 3, 4)] + [int((counts >= 3).sum())]
 
-    def write_continuations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, keys, counts in merged(batches):
-            dense = np.zeros(sizes[shard], np.uint32)
-            dense[keys.astype(np.int64) - vocabulary.starts[shard]] = counts
-            yield _figures(
-                shard=shard,
-                files=[write_array(folder, "continuations", dense)],
-                figures=[int((counts == k).sum()) for k in (1, 2, 3, 4)] + [int((counts >= 3).sum())],
-            )
 
-    spread = names.repartition(max(len(told), 1)).mapInArrow(send, SHARDS)
-    told = by_shard(spread, len(vocabulary.files)).mapInArrow(write_continuations, FIGURES).collect()
-    sums = [sum(r["figures"][k] for r in told) for k in range(5)]
-    low = discounts(sums[:4])
-    continuations: list = [None] * len(vocabulary.files)
-    for r in told:
-        continuations[r["shard"]] = r["files"][0]
-    mass = (low[0] * sums[0] + low[1] * sums[1] + low[2] * sums[4]) / total
-    return Model(vocabulary, tuple(continuations), tuple(pairs), pair_cuts, high, low, total, mass)
+def last_of(keys_of: Keys, n: int, history: np.ndarray) -> np.ndarray:
+    """Ids of sorted histories of level ``n`` (1 at least) without their first word."""
+    level = keys_of.levels[n - 1]
+    bits, mask = keys_of.bits, (np.uint64(1) << keys_of.bits) - np.uint64(1)
+    keys = np.zeros(len(history), np.uint64)
+    cuts = np.searchsorted(history, np.array([*level.starts, level.size], np.uint64))
+    for s, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        if a < b:
+            keys[a:b] = keys_of.array(level.keys[s], "u8")[history[a:b].astype(np.int64) - level.starts[s]]
+    starts_only = history == np.uint64(level.size)
+    if n == 1:
+        out = keys & mask
+        out[starts_only] = np.uint64(keys_of.end_id)
+        return out
+    first, back = np.unique(keys[~starts_only] >> bits, return_inverse=True)
+    shorter = (last_of(keys_of, n - 1, first)[back] << bits) | (keys[~starts_only] & mask)
+    distinct, back = np.unique(shorter, return_inverse=True)
+    out = np.full(len(history), keys_of.levels[n - 2].size, np.uint64)
+    out[~starts_only] = keys_of.places(keys_of.levels[n - 2], distinct)[back].astype(np.uint64)
+    return out
+
+
+def write_counts(folder: str, keys: np.ndarray, counts: np.ndarray, bits: int) -> list[str]:
+    """Files of the counts, and of the histories with more than FEW followers and their figures."""
+    history = keys >> np.uint64(bits)
+    first = np.flatnonzero(np.concatenate([[True], history[1:] != history[:-1]]))
+    many = np.diff(np.append(first, len(keys))) > FEW
+    figures = np.stack([np.add.reduceat(x, first, dtype=np.int64)[many] for x in (counts, counts == 1, counts == 2, counts >= 3)], 1)
+    return [
+        write_array(folder, "counts", counts.astype(np.uint32)),
+        write_array(folder, "histories", history[first][many]),
+        write_array(folder, "history-figures", figures.astype(np.uint64)),
+    ]
 
 
 FIGURES = "shard int, files array<string>, figures array<long>"
@@ -443,58 +578,52 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         self.m, self.words = model, Words(model.vocabulary)
         folder = model.vocabulary.folder
-        self._maps: dict[int, tuple[np.ndarray, ...]] = {}
-        self._folder = folder
         self.follows = [map_array(folder, f, "u4") if f else np.empty(0, "u4") for f in model.continuations]
         (self.end_id,) = self.words.find([END])
-
-    def _shard(self, n: int) -> tuple[np.ndarray, ...]:
-        if n not in self._maps:
-            names = self.m.bigrams[n]
-            self._maps[n] = tuple(
-                map_array(self._folder, f, t) if names else np.empty(0, t)
-                for f, t in zip(names or ("",) * 4, ("u8", "u4", "u4", "u8"))
-            )
-        return self._maps[n]
+        self.keys = Keys(model.vocabulary, model.levels[:-1], int(self.end_id))
 
     def _low(self, ids: np.ndarray) -> np.ndarray:
         m, c = self.m, self.words.pick(ids, self.follows)
         d = np.array([0.0, *m.low])[np.minimum(c, 3)]
         return (c - d) / m.pairs + m.low_mass / (m.vocabulary.size + 1)
 
-    def _counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted bigram keys."""
+    def _counts(self, level: Level, keys: np.ndarray) -> np.ndarray:
+        """Counts of sorted keys."""
+        places = self.keys.places(level, keys)
         out = np.zeros(len(keys), np.int64)
-        cuts = [0, *np.searchsorted(keys, self.m.bounds).tolist(), len(keys)]
-        for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            if a < b:
-                table, counts, *_ = self._shard(n)
-                if len(table):
-                    at = np.minimum(np.searchsorted(table, keys[a:b]), len(table) - 1)
-                    out[a:b] = np.where(table[at] == keys[a:b], counts[at], 0)
+        shard = np.searchsorted(level.bounds, keys, "right")
+        for n in np.unique(shard[places >= 0]).tolist():
+            rows = (shard == n) & (places >= 0)
+            out[rows] = self.keys.array(level.counts[n], "u4")[places[rows] - level.starts[n]]
         return out
 
-    def _histories(self, ids: np.ndarray) -> np.ndarray:
-        """Tokens and distinct followers by count 1, 2, 3+ of sorted history ids."""
+    def _histories(self, level: Level, ids: np.ndarray) -> np.ndarray:
+        """Sum of counts, and distinct followers by count 1, 2, 3+, of sorted history ids."""
         out = np.zeros((len(ids), 4), np.int64)
-        low = ids.astype(np.uint64) << np.uint64(32)
-        first = np.searchsorted(self.m.bounds, low, "right")
-        last = np.searchsorted(self.m.bounds, low | _LOW32, "right")  # several, if divided
-        for n in np.unique(np.concatenate([first, last])).tolist() if len(ids) else []:
-            self._add(out, ids, n, (first <= n) & (n <= last))
+        low = ids.astype(np.uint64) << self.keys.bits
+        high = low | ((np.uint64(1) << self.keys.bits) - np.uint64(1))
+        first = np.searchsorted(level.bounds, low, "right")
+        last = np.searchsorted(level.bounds, high, "right")  # several, if divided
+        shards = set(np.unique(np.concatenate([first, last])).tolist()) if len(ids) else set()
         for i in np.flatnonzero(last - first > 1).tolist():
-            for n in range(int(first[i]) + 1, int(last[i])):
-                if not ((first == n) | (last == n)).any():
-                    self._add(out, ids, n, np.arange(len(ids)) == i)
+            shards.update(range(int(first[i]), int(last[i]) + 1))
+        for n in shards:
+            rows = np.flatnonzero((first <= n) & (n <= last))
+            if len(rows) and level.keys[n] is not None:
+                self._add(out, level, n, rows, ids[rows].astype(np.uint64), low[rows], high[rows])
         return out
 
-    def _add(self, out: np.ndarray, ids: np.ndarray, n: int, rows: np.ndarray) -> None:
-        _, _, table, figures = self._shard(n)
-        if len(table) and rows.any():
-            wanted = ids[rows].astype(np.uint32)
-            at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
-            hit = (table[at] == wanted)[:, None]
-            out[rows] += np.where(hit, figures.reshape(-1, 4)[at].astype(np.int64), 0)
+    def _add(self, out, level: Level, n: int, rows: np.ndarray, ids, low: np.ndarray, high: np.ndarray) -> None:
+        table, counts = self.keys.array(level.keys[n], "u8"), self.keys.array(level.counts[n], "u4")
+        a, b = np.searchsorted(table, low), np.searchsorted(table, high, "right")
+        many = b - a > FEW
+        for k in range(FEW):
+            hit = ~many & (a + k < b)
+            c = counts[a[hit] + k].astype(np.int64)
+            out[rows[hit]] += np.stack([c, c == 1, c == 2, c >= 3], 1)
+        if many.any():
+            at = np.searchsorted(self.keys.array(level.histories[n][0], "u8"), ids[many])
+            out[rows[many]] += self.keys.array(level.histories[n][1], "u8").reshape(-1, 4)[at].astype(np.int64)
 
     def texts(self, texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
         """Per text: tokens, known tokens, unigram score, model score (log10)."""
@@ -507,23 +636,21 @@ class Scorer:
         return n, np.add.reduceat(counts > 0, starts, dtype=np.int64), *(np.add.reduceat(x, starts) for x in (base, chance))
 
     def _chance(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        history = np.concatenate([[self.end_id], ids[:-1]])
-        history[starts] = self.end_id
-        low = self._low(ids)
-        seen, place = np.unique(history, return_inverse=True)
-        known = seen >= 0
-        figures = np.zeros((len(seen), 4), np.int64)
-        figures[known] = self._histories(seen[known])
-        total = np.maximum(figures[:, 0], 1)
-        left = np.where(figures[:, 0] > 0, figures[:, 1:] @ np.array(self.m.high) / total, 1.0)
-        both = (history >= 0) & (ids >= 0)
-        keys, back = np.unique(
-            (history[both].astype(np.uint64) << np.uint64(32)) | ids[both].astype(np.uint64), return_inverse=True
-        )
-        c = np.zeros(len(ids), np.int64)
-        c[both] = self._counts(keys)[back]
-        d = np.array([0.0, *self.m.high])[np.minimum(c, 3)]
-        return (c - d) / total[place] + left[place] * low
+        chance = self._low(ids)
+        for level, (history, keys) in zip(self.m.levels, self.keys.histories(ids, starts)):
+            seen, place = np.unique(history, return_inverse=True)
+            known = seen >= 0
+            figures = np.zeros((len(seen), 4), np.int64)
+            figures[known] = self._histories(level, seen[known])
+            total = np.maximum(figures[:, 0], 1)
+            left = np.where(figures[:, 0] > 0, figures[:, 1:] @ np.array(level.discounts) / total, 1.0)
+            both = (history >= 0) & (ids >= 0)
+            distinct, back = np.unique(keys[both], return_inverse=True)
+            c = np.zeros(len(ids), np.int64)
+            c[both] = self._counts(level, distinct)[back]
+            d = np.array([0.0, *level.discounts])[np.minimum(c, 3)]
+            chance = (c - d) / total[place] + left[place] * chance
+        return chance
 
 
 _LOADED: dict[str, Scorer] = {}

@@ -75,7 +75,7 @@ def op9_keyword_automaton(spark: SparkSession, folder: str) -> DataFrame:
 def op10_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     held_out = toxicity.held_out(parts=5, out=1)
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    model = kneser_ney.train(docs.where(~held_out))
+    model = kneser_ney.train(docs.where(~held_out), order=3)
     scored = kneser_ney.score(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), *kneser_ney.OUT)
 

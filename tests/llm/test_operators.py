@@ -608,3 +608,38 @@ def test_model_equals_brute_force(spark, docs, nothing, shard_tokens):
 def test_probabilities_sum_to_one():
     c, _, _, p = brute_model([prose(1, 50), prose(2, 30)])
     assert sum(p(b"one", w) for w in [*c, b"unknown"]) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("order, shard_tokens", [(3, 20), (3, 4_000_000), (4, 50)])
+def test_longer_histories_equal_brute_force(spark, docs, nothing, order, shard_tokens):
+    learned = [t for i, t in AWKWARD if i is None or i < 9]
+    grams = Counter()
+    for t in learned:
+        w = [None] * (order - 1) + words(t) + [""]
+        grams.update(tuple(w[k - order + 1 : k + 1]) for k in range(order - 1, len(w)))
+    levels = [grams]
+    while len(next(iter(levels[0]))) > 1:
+        levels.insert(0, Counter(g[1:] for g in levels[0]))
+    cut = [kneser_ney.discounts([sum(x == k for x in c.values()) for k in (1, 2, 3, 4)]) for c in levels]
+    after = [{} for _ in levels]
+    for c, a in zip(levels, after):
+        for g, x in c.items():
+            a.setdefault(g[:-1], []).append(x)
+
+    def p(g):
+        n = len(g) - 1
+        shorter = p(g[1:]) if n else 1 / (len(levels[0]) + 1)
+        followers = after[n].get(g[:-1])
+        if not followers:
+            return shorter
+        d = [0, *cut[n]]
+        x = levels[n][g]
+        return (x - d[min(x, 3)]) / sum(followers) + sum(d[min(f, 3)] for f in followers) / sum(followers) * shorter
+
+    model = kneser_ney.train(docs.where("doc_id < 9 or doc_id is null"), shard_tokens=shard_tokens, order=order)
+    texts = dict(AWKWARD)
+    for r in kneser_ney.score(docs, model).collect():
+        w = [None] * (order - 1) + words(texts[r["doc_id"]]) + [""]
+        want = sum(math.log10(p(tuple(w[k - order + 1 : k + 1]))) for k in range(order - 1, len(w)))
+        assert r["score"] == pytest.approx(want)
+    assert {r["score"] for r in kneser_ney.score(docs, kneser_ney.train(nothing, order=order)).collect()} == {0.0}
