@@ -40,7 +40,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from shopgrain.llm.frequent import most_frequent
 from shopgrain.session import stored
 
 BITS = 64
@@ -352,7 +351,7 @@ def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, i
         yield key[0], *key[2:], np.concatenate(held)
 
 
-def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes with an edge but the least of each component, which names it.
 
     Large-star hangs the larger neighbours of a node on its least one, small-star the
@@ -361,7 +360,7 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     the plan does not grow and a lost executor repeats one round at most.
     """
     now = stored(edges.distinct(), "edges")
-    for _ in range(max_rounds):
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b")
@@ -380,8 +379,6 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         leaves = new.groupBy(F.col("b").alias("leaf")).agg(F.count("*").alias("n"))
         if leaves.where("n > 1").isEmpty() and new.join(leaves, F.col("a") == F.col("leaf"), "left_semi").isEmpty():
             break
-    else:
-        raise RuntimeError(f"components not found in {max_rounds} rounds")
     return now.select(F.col("b").alias("node"), F.col("a").alias("component"))
 
 
@@ -403,249 +400,38 @@ def hex_fingerprint(column: str = "fingerprint") -> F.Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-# --- near copies, with the shingles compared -----------------------------------------
+def _free(columns: list[str], name: str) -> str:
+    """``name``, with underscores added until no column is called so (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """Distinct shingle hashes in order."""
-    words = text.encode().lower().split() if text else []
-    n = max(1, len(words) - shingle + 1) if words else 0
-    hash64 = xxhash.xxh64_intdigest
-    return np.unique(np.array([hash64(b" ".join(words[i : i + shingle])) for i in range(n)], np.uint64))
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
-
-
-def _tagged(rows: DataFrame, text: str, shingle: int | None = None) -> DataFrame:
-    """``rows`` with ``node``, a hash of the word sequence, and with ``shingle`` the fingerprint."""
-    at = rows.columns.index(text)
-    fields = [StructField("node", LongType()), *([StructField("fingerprint", LongType())] if shingle else [])]
-    schema = StructType([*rows.schema.fields, *fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column(at).to_pylist()
-            node = [_signed(xxhash.xxh64_intdigest(b" ".join((v or "").encode().lower().split()), 7)) for v in values]
-            made = [pa.array(node, pa.int64())]
-            if shingle:
-                made.append(pa.array([_signed(fingerprint(v, shingle)) for v in values], pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
-
-    return rows.mapInArrow(run, schema)
-
-
-def _links_of(pairs: DataFrame, texts: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (x, y) of nodes whose shingle sets are similar enough, as edges."""
-    ends = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [shingle_set(v, shingle).tobytes() for v in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "grams"])
-
-    grams = texts.join(ends, "node", "left_semi").select("node", text).mapInArrow(sets, "node long, grams binary")
-    grams = stored(grams, "copies")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = ([np.frombuffer(v, np.uint64) for v in batch.column(n).to_pylist()] for n in (2, 3))
-            near = pa.array([jaccard(*p) >= similarity for p in zip(a, b)], pa.bool_())
-            x, y = batch.column(0).filter(near), batch.column(1).filter(near)
-            yield pa.RecordBatch.from_arrays([x, y], names=["a", "b"])
-
-    both = (
-        pairs.join(grams.withColumnsRenamed({"node": "x", "grams": "gx"}), "x")
-        .join(grams.withColumnsRenamed({"node": "y", "grams": "gy"}), "y")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "gx", "gy")
-    )
-    return both.mapInArrow(compare, EDGES)
-
-
-def _needed(n: int, share: float) -> int:
-    """The least whole number from ``share * n`` on; rounding never makes it larger."""
-    return int(np.ceil(share * n - 1e-9))
-
-
-PREFIXES = "gram long, node long, n int, at int, short boolean"
-
-
-def _prefixes(texts: DataFrame, text: str, shingle: int, similarity: float, common: dict[int, int]) -> DataFrame:
-    """The rarest shingles of each text, as many as any text similar enough must share one of.
+def first_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, budget: int = 4) -> DataFrame:
+    """``docs`` with one row of each class of ``classes``: the one with the least key.
 
-    Shingles stand in one order for all texts: by ``common`` (times seen in a sample, 0 if
-    absent), then by hash. The order only decides how many pairs meet, not which links are
-    found. ``at`` is the place in that order, ``n`` the number of shingles; rows that are
-    ``short`` are enough of a text against those with as many shingles or more.
+    A null key comes first; among rows of one key the least hash of the whole row decides,
+    so null and repeated keys are told apart by what they hold. Of rows that are equal in
+    every column one stays. A null text is an empty one, and all empty texts are one class.
+    Extra columns stay as they are, whatever their names; an empty table gives an empty one.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(
-        (np.array(sorted(common), np.uint64), np.array([common[g] for g in sorted(common)], np.int64))
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, times = shared.value
-
-        def made(parts: list[tuple]) -> pa.RecordBatch:
-            columns = [np.concatenate(c) for c in zip(*parts)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "node", "n", "at", "short"])
-
-        for batch in batches:
-            held, rows = [], 0
-            for node, value in zip(*(c.to_pylist() for c in batch.columns)):
-                grams = shingle_set(value, shingle)
-                n = len(grams)
-                if not n:
-                    continue
-                seen = np.zeros(n, np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-                    seen = np.where(known[at] == grams, times[at], 0)
-                take = n - _needed(n, similarity) + 1
-                first = n - _needed(n, 2 * similarity / (1 + similarity)) + 1
-                best = grams[np.lexsort((grams, seen))[:take]].view(np.int64)
-                places = np.arange(take, dtype=np.int32)
-                held.append((best, np.full(take, node, np.int64), np.full(take, n, np.int32), places, places < first))
-                rows += take
-                if rows > 200_000:
-                    yield made(held)
-                    held, rows = [], 0
-            if held:
-                yield made(held)
-
-    return texts.select("node", text).mapInArrow(run, PREFIXES)
-
-
-def _shared(prefixes: DataFrame) -> DataFrame:
-    """The prefix rows, each once, whose shingle is in the prefix of another text too."""
-    names = prefixes.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, linked = None, False  # the row that waits for the next one
-        for batch in batches:
-            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if last is not None:
-                rows = [np.concatenate(c) for c in zip(last, rows)]
-            if not len(rows[0]):
-                continue
-            again = (rows[0][1:] == rows[0][:-1]) & (rows[1][1:] == rows[1][:-1])
-            rows = [c[np.concatenate([[True], ~again])] for c in rows]
-            same = rows[0][1:] == rows[0][:-1]
-            before = np.concatenate([[linked], same])
-            keep = before[:-1] | same
-            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep]) for c in rows], names=names)
-            last, linked = [c[-1:] for c in rows], bool(before[-1])
-        if linked:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in last], names=names)
-
-    return prefixes.repartition("gram").sortWithinPartitions("gram", "node").mapInArrow(run, PREFIXES)
-
-
-def _common(rows: DataFrame, text: str, shingle: int, part: int, least: int, most: int = 100_000) -> dict[int, int]:
-    """Shingles of at least ``least`` rows of a sample (one of ``part``), the most frequent ones."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column(0).to_pylist()
-            for i in range(0, len(values), 256):
-                sets = np.concatenate([shingle_set(v, shingle) for v in values[i : i + 256]])
-                yield pa.RecordBatch.from_arrays([pa.array(sets.view(np.int64))], names=["gram"])
-
-    sample = rows.where(F.pmod(F.xxhash64(text), F.lit(part)) == 0).select(text).mapInArrow(run, "gram long")
-    counted = sample.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return {r["gram"] % (1 << 64): r["n"] for r in most_frequent(counted, "gram", most)}
-
-
-def _star_pairs(classed: DataFrame) -> DataFrame:
-    """Pairs (x, y): texts with the first text of a shingle, where their classes differ."""
-    head = classed.groupBy("gram").agg(F.min(F.struct("node", "c")).alias("h"))
-    head = head.select("gram", F.col("h.node").alias("x"), F.col("h.c").alias("cx"))
-    met = classed.join(head, "gram").where("c <> cx")
-    return met.select(F.least("x", "node").alias("x"), F.greatest("x", "node").alias("y")).distinct()
-
-
-def _all_pairs(classed: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (x, y) of all texts of different classes that may be similar enough.
-
-    Of two such texts, the first shingle that both have is in the short prefix of the
-    smaller one and in the prefix of the larger one, and enough shingles follow it.
-    """
-    sides = [classed.select("gram", "short", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "at", "c"))) for s in "ab"]
-    left = "least(n_a - at_a, n_b - at_b)"
-    met = sides[0].where("short").drop("short").join(sides[1].drop("short"), "gram").where(
-        F.expr("c_a <> c_b and (n_a < n_b or n_a = n_b and node_a < node_b)")
-        & (F.col("n_a") >= similarity * F.col("n_b") - 1e-9)
-        & (F.expr(left) >= similarity / (1 + similarity) * F.expr("n_a + n_b") - 1e-9)
-    )
-    return met.select(F.least("node_a", "node_b").alias("x"), F.greatest("node_a", "node_b").alias("y")).distinct()
-
-
-def first_copies(
-    docs: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    shingle: int = 5,
-    similarity: float = 0.8,
-    print_shingle: int = 2,
-    budget: int = 8,
-    star_rounds: int = 3,
-) -> DataFrame:
-    """``docs`` with one row of each group of copies: the one with the least key.
-
-    Two texts are linked when the Jaccard similarity of their sets of ``shingle``-word
-    shingles is ``similarity`` or more, and a group is all that links connect. Only
-    compared pairs join groups. Three passes find the links:
-
-    1. SimHash candidates: fingerprints of ``print_shingle`` words within ``budget`` bits,
-       of which the closest that would join all are compared, and texts of one fingerprint
-       with the first of them. This joins most near copies, and need not find all.
-    2. Texts that share a rare shingle with the first text of that shingle, if still in
-       different groups; again while that joins groups, ``star_rounds`` times at most.
-    3. All pairs of texts that are still in different groups and whose rarest shingles,
-       sizes and places allow the similarity (a prefix filter, without loss). So a group
-       of many copies never becomes all its pairs, and no link is left out.
-
-    Rows are told apart by key and text, so null and repeated keys are copies of each
-    other only where their texts are. Of rows with one key, the least text hash is first.
-    """
-    rows = docs.withColumn("_k", F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))))
-    prints = stored(_tagged(rows.select("_k", text), text, print_shingle).drop(text), "copies")
-    nodes = stored(prints.groupBy("fingerprint", "node").agg(F.min("_k").alias("least")), "copies")
-    # Only texts that share a shingle of their prefixes can have a link.
-    worded = _tagged(rows.select(text), text)
-    common = _common(rows, text, shingle, max(1, nodes.count() // 20_000), 8)
-    prefixes = stored(_shared(_prefixes(worded, text, shingle, similarity, common)), "copies")
-    live = stored(prefixes.select("node").distinct(), "copies")
-    texts = worded.join(live, "node", "left_semi").groupBy("node").agg(F.first(text).alias(text))
-    texts = stored(texts, "copies")  # one row of each text
-    able = nodes.join(live, "node", "left_semi")
-    heads = stored(able.groupBy("fingerprint").agg(F.min_by("node", F.struct("least", "node")).alias("head")), "copies")
-    near = links(heads.select("fingerprint"), budget)
-    between = near.join(heads.select(F.col("fingerprint").alias("a"), F.col("head").alias("x")), "a").join(
-        heads.select(F.col("fingerprint").alias("b"), F.col("head").alias("y")), "b"
+    mark = _free(docs.columns, "row_hash")
+    rows = docs.withColumn(mark, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    plain = rows.select(F.col(key).alias("key"), F.col(mark).alias("mark"), F.col(text).alias("text"))
+    prints = stored(fingerprints(plain, shingle), "simhash")
+    nodes = prints.groupBy("fingerprint").agg(F.min(F.struct(F.col("key").isNotNull(), "key", "mark")).alias("least"))
+    nodes = stored(nodes, "simhash")
+    stars = components(links(nodes.select("fingerprint"), budget))
+    member = nodes.join(stars, F.col("fingerprint") == F.col("node"), "left").select(
+        "least", F.coalesce("component", "fingerprint").alias("component")
     )
-    within = able.join(heads, "fingerprint").where("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y"))
-    pairs = stored(between.select("x", "y").unionByName(within).distinct(), "copies")
-    edges = stored(_links_of(pairs, texts, text, shingle, similarity), "copies")
-    stars = components(edges)
-    for turn in range(star_rounds + 1):
-        classed = prefixes.join(stars, "node", "left").withColumn("c", F.coalesce("component", "node"))
-        classed = stored(classed.drop("component"), "copies")
-        if turn < star_rounds:
-            found = stored(_links_of(stored(_star_pairs(classed), "copies"), texts, text, shingle, similarity), "copies")
-            if not found.isEmpty():
-                edges = edges.unionByName(found)
-                stars = components(edges)
-                continue
-        found = _links_of(stored(_all_pairs(classed, similarity), "copies"), texts, text, shingle, similarity)
-        stars = components(edges.unionByName(found))
-        break
-    member = nodes.join(stars, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    first = member.groupBy("component").agg(F.min(F.struct("least", "node")).alias("f"))
-    first = stored(first.select(F.col("f.least").alias("_k"), "f.node"), "copies")
-    kept = _tagged(rows, text).join(first, ["_k", "node"], "left_semi")
-    if prints.count() != prints.select("_k", "node").distinct().count():
-        # Rows repeated in key and words: one of them.
-        kept = kept.dropDuplicates(["_k", "node"])
-    return kept.select(*docs.columns)
+    first = member.groupBy("component").agg(F.min("least").alias("least")).select("least.key", "least.mark")
+    first = stored(first.withColumnsRenamed({"key": "first_key", "mark": "first_mark"}), "simhash")
+    same = rows[mark].eqNullSafe(first["first_mark"]) & rows[key].eqNullSafe(first["first_key"])
+    kept = rows.join(first, same, "left_semi")
+    # Rows that are equal in all columns: only where there are any is one of them chosen.
+    again = prints.join(first, F.col("mark").eqNullSafe(F.col("first_mark")) & F.col("key").eqNullSafe(F.col("first_key")), "left_semi")
+    if again.count() > first.count():
+        kept = kept.dropDuplicates([key, mark])
+    return kept.drop(mark)

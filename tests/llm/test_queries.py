@@ -6,11 +6,13 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from checks import compare
-from shopgrain.llm import queries, secrets, simhash, toxicity
+from shopgrain.llm import queries, secrets, toxicity
 from tests.conftest import SF
+from tests.llm.test_operators import brute_classes, brute_print
 
 
 def test_all_queries_are_registered():
@@ -37,22 +39,10 @@ def test_pipeline(spark):
     docs = queries.table(spark, SF, "documents")
     model = toxicity.learn(docs, queries.table(spark, SF, "labels"))
     scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
-    texts = {r["doc_id"]: r["text"] for r in docs.collect() if scores[r["doc_id"]] < 0.5}
-    # Near copies: any pair of five-word shingle sets of 0.8 or more.
-    sets = {i: simhash.shingle_set(t, 5) for i, t in texts.items()}
-    up = {i: i for i in texts}
-
-    def root(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    for i in texts:
-        for j in texts:
-            if i < j and simhash.jaccard(sets[i], sets[j]) >= 0.8:
-                a, b = root(i), root(j)
-                up[max(a, b)] = min(a, b)
-    texts = {i: t for i, t in texts.items() if root(i) == i}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect() if scores[r["doc_id"]] < 0.3}
+    ids = sorted(texts)
+    classes = brute_classes([brute_print(texts[i]) for i in ids], 4)
+    texts = {i: texts[i] for n, i in enumerate(ids) if classes[n] == n}
 
     def split(t):
         return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower() if t.isascii() else "".join(c.lower() if c.isascii() else c for c in t))
@@ -73,4 +63,27 @@ def test_pipeline(spark):
     assert set(got) == set(want)
     for i, t in want.items():
         assert got[i]["round_trip"] and got[i]["n_chars"] == len(t) and len(got[i]["ids"]) == got[i]["n_tokens"]
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_copies", "decontamination", "secrets", "tokens"]
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_copies", "decontamination", "secrets", "tokens"]
+
+
+def test_stages_leave_extra_columns_alone(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = queries.table(spark, SF, "documents").limit(60)
+    names = ["node", "_k", "_score", "score", "spans", "items", "hits", "n_hit", "n_words", "fingerprint", "row_hash", "decoded", "ids", "rest"]
+    docs = docs.withColumns({n: F.concat(F.lit(n), "doc_id") for n in names}).cache()
+    want = {r["doc_id"]: r.asDict() for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns, name
+        rows = [r.asDict() for r in kept.collect()]
+        assert rows, name
+        for r in rows:
+            assert {n: r[n] for n in names} == {n: want[r["doc_id"]][n] for n in names}, name
+    assert corpus_pipeline.tokens(spark, docs, SF).count() == 60
+
+
+def test_stages_of_an_empty_table(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = queries.table(spark, SF, "documents").limit(0)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs, SF).count() == 0
