@@ -17,7 +17,37 @@ def _words(column: str) -> str:
     return rf"regexp_extract_all({low}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
+# DuckDB has no CRC-32: the table of the bytes, and the words byte by byte.
+_CRC32 = """
+polynomial AS (SELECT [list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)
+  FOR b IN range(256)] AS crc),
+hashed AS (SELECT w, xor(4294967295, list_reduce(
+    [('0x' || substr(hex(w), 2 * i + 1, 2))::BIGINT FOR i IN range(strlen(w))],
+    lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8), 4294967295)) % 10000 AS bucket
+  FROM (SELECT DISTINCT w FROM words), polynomial)"""
+
+
 ORACLE: dict[str, str] = {
+    "op11_importance_resampling": f"""
+WITH lists AS (SELECT 'd' AS side, doc_id, {_words("text")} AS ws FROM documents
+  UNION ALL SELECT 'b', NULL, {_words("text")} FROM benchmark),
+words AS (SELECT side, doc_id, unnest(ws) AS w FROM lists),
+{_CRC32},
+counted AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t
+  FROM words JOIN hashed USING (w) GROUP BY bucket),
+totals AS (SELECT coalesce(sum(s), 0)::BIGINT AS ss, coalesce(sum(t), 0)::BIGINT AS tt FROM counted),
+gained AS (SELECT bucket, floor(1000 * ln(((t + 1) * (ss + 10000))::DOUBLE / ((s + 1) * (tt + 10000))::DOUBLE))::BIGINT AS gain
+  FROM counted, totals),
+weighed AS (SELECT doc_id, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+  FROM words JOIN hashed USING (w) JOIN gained USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+scored AS (SELECT doc_id, coalesce(len(ws), 0)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || doc_id), 8))::BIGINT + 0.5::DOUBLE)
+      / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM lists LEFT JOIN weighed USING (doc_id) WHERE side = 'd'),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n
+  FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+FROM scored LEFT JOIN placed USING (doc_id)""",
     "op2_seekable_bundles": f"""
 SELECT page_id, strlen(p) AS payload_bytes, d AS payload_digest,
   CASE WHEN page_id = min(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,

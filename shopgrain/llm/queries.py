@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopgrain.llm import bpe, decontaminate, kneser_ney, quality, secrets, sharding, simhash, suffix_dedup, toxicity, warc
+from shopgrain.llm import (
+    bpe,
+    decontaminate,
+    importance,
+    jaccard,
+    kneser_ney,
+    quality,
+    secrets,
+    sharding,
+    simhash,
+    suffix_dedup,
+    toxicity,
+    warc,
+    whitening,
+)
 from shopgrain.llm.oracle import ORACLE
 from shopgrain.session import stored
 
@@ -80,9 +94,27 @@ def op10_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), *kneser_ney.OUT)
 
 
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    docs, target = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return importance.resample(docs, target, percent=10, min_words=20, buckets=10_000)
+
+
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    found = whitening.whiten(table(spark, folder, "embeddings"), components=4)
+    # Null where it does not fit, which takes some hundred million vectors.
+    return found.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def op13_token_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.classes(table(spark, folder, "documents"), shingle=4, percent=85)
+
+
 QUERIES: dict[str, Query] = {
     "op1_radix_suffixes": op1_radix_suffixes,
     "op10_kneser_ney": op10_kneser_ney,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_token_groups": op13_token_groups,
     "op2_seekable_bundles": op2_seekable_bundles,
     "op3_trie_join": op3_trie_join,
     "op4_distribution_divergence": op4_distribution_divergence,
