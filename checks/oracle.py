@@ -232,7 +232,25 @@ _cte(
 )
 
 
-def sql(body: str, *needs: str) -> str:
+# Tables with events, and their keys: every seventh row by key may stand twice.
+KEYED = {
+    "website_sessions": "website_session_id",
+    "website_pageviews": "website_pageview_id",
+    "web_orders": "order_id",
+    "store_orders": "order_id",
+    "order_items": "order_item_id",
+    "order_item_refunds": "order_item_refund_id",
+}
+
+
+def _rows(name: str, copies: bool) -> str:
+    body = CTES[name][1]
+    if not copies or name not in KEYED:
+        return body
+    return f"SELECT * FROM ({body}) UNION ALL SELECT * FROM ({body}) WHERE {KEYED[name]} % 7 = 0"
+
+
+def sql(body: str, *needs: str, copies: bool = False) -> str:
     """The statement with the table expressions it needs, in dependency order."""
     order: list[str] = []
 
@@ -245,7 +263,7 @@ def sql(body: str, *needs: str) -> str:
 
     for need in needs:
         visit(need)
-    head = ",\n".join(f"{name} AS ({CTES[name][1]}\n)" for name in order)
+    head = ",\n".join(f"{name} AS ({_rows(name, copies)}\n)" for name in order)
     body = body.strip()
     if not head:
         return body
@@ -290,7 +308,11 @@ THANKS = "'/thank-you-for-your-order'"
 ORACLE: dict[str, str] = {}
 
 
+_PARTS: dict[str, tuple] = {}
+
+
 def _put(name: str, body: str, *needs: str) -> None:
+    _PARTS[name] = (body, *needs)
     ORACLE[name] = sql(body, *needs)
 
 
@@ -1260,3 +1282,24 @@ _put(
 # told apart by DISTINCT ids.
 for _name in ("b5_channel_split", "e1_conversion_rate", "k1_master_kpis", "d2_funnel_rates", "l6_repeat_buyers"):
     ORACLE[f"s2_{_name}"] = ORACLE[_name]
+
+# The stored load leaves one row of each key, so figures are those of the clean tables; of
+# lines with one key the least by all other columns stays.
+_put("s2_stored_sessions", "SELECT * FROM website_sessions", "website_sessions")
+_put("s2_stored_orders_by_id", f"SELECT * REPLACE ({dbl('price_usd')} AS price_usd, {dbl('cogs_usd')} AS cogs_usd) FROM web_orders", "web_orders")
+_put(
+    "s2_stored_order_items",
+    f"""SELECT * REPLACE ({dbl('price_usd')} AS price_usd, {dbl('cogs_usd')} AS cogs_usd) FROM order_items
+        QUALIFY row_number() OVER (PARTITION BY order_item_id ORDER BY created_at, order_id,
+          product_id, is_primary_item, price_usd, cogs_usd) = 1""",
+    "order_items",
+)
+for _name in ("b5_channel_split", "d2_funnel_rates"):
+    ORACLE[f"s2_stored_{_name}"] = ORACLE[_name]
+
+# The same statements, with their DISTINCT counts, on tables that keep their copies.
+for _name in ("b1_quarterly_growth", "e1_conversion_rate", "e3_revenue_per_session", "k1_master_kpis",
+              "p5_month_by_product", "p8_monthly_refunds", "p10_lifetime_summary"):
+    ORACLE[f"g3_copies_{_name}"] = sql(*_PARTS[_name], copies=True)
+for _name in ("b5_channel_split", "d2_funnel_rates"):
+    ORACLE[f"g4_copies_{_name}"] = sql(*_PARTS[_name], copies=True)

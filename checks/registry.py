@@ -24,9 +24,9 @@ from shopgrain.plans import (
     product,
     sizing,
 )
-from shopgrain.schemas import MONEY
+from shopgrain.schemas import KEYS, MONEY
 from shopgrain.session import work_folder
-from shopgrain.sources import tables, testbed
+from shopgrain.sources import loaded, tables, testbed
 from shopgrain.sources.tables import Shop
 from shopgrain.streaming.intake import REASONS, run_intake
 
@@ -65,6 +65,26 @@ def _repeated(fn: Callable[[Shop], DataFrame], make: Callable = testbed.web_shop
     return lambda spark, folder: plain(fn(testbed.loaded_with_copies(make(spark, folder))))
 
 
+def _with_copies(fn: Callable[[Shop], DataFrame], make: Callable = testbed.web_shop) -> Query:
+    """The analysis on tables in which some rows stand twice, as they are."""
+    return lambda spark, folder: plain(fn(testbed.with_copies(make(spark, folder))))
+
+
+def _stored(fn: Callable[[Shop], DataFrame], *names: str) -> Query:
+    """The analysis on tables with copies after the stored load, in two overlapping deliveries."""
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        base = work_folder(spark, "shop")
+        given = testbed.with_copies(testbed.web_shop(spark, folder))
+        key = {name: F.col(KEYS[name]) for name in names}
+        early = Shop(lambda name: given.named()[name].where(key[name] % 2 == 0) if name in key else given.named()[name])
+        loaded.load(early, base, buckets=8, tables=names)
+        loaded.load(given, base, tables=names)
+        return plain(fn(tables.read_shop(spark, base)))
+
+    return query
+
+
 def _raw(name: str, fn: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, folder: plain(fn(testbed.read_given(spark, folder, name)))
 
@@ -413,6 +433,48 @@ REPEATED: dict[str, Query] = {
     "s2_l6_repeat_buyers": _repeated(lambda s: customer.repeat_buyers(s.orders), testbed.store),
 }
 
+STORED: dict[str, Query] = {
+    "s2_stored_sessions": _stored(lambda s: s.sessions, "website_sessions"),
+    "s2_stored_order_items": _stored(lambda s: s.order_items, "order_items"),
+    "s2_stored_orders_by_id": _stored(lambda s: s.orders_by_id, "orders"),
+    "s2_stored_b5_channel_split": _stored(
+        lambda s: growth.channel_split(s.sessions, s.orders), "website_sessions", "orders"
+    ),
+    "s2_stored_d2_funnel_rates": _stored(
+        lambda s: funnel.rates(s.sessions, s.pageviews, DETAIL), "website_sessions", "website_pageviews"
+    ),
+}
+
+WITH_COPIES: dict[str, Query] = {
+    "g3_copies_b1_quarterly_growth": _with_copies(
+        lambda s: growth.quarterly_growth(s.sessions, s.orders, repeats=True)
+    ),
+    "g4_copies_b5_channel_split": _with_copies(
+        lambda s: growth.channel_split(s.sessions, s.orders, repeats=True)
+    ),
+    "g3_copies_e1_conversion_rate": _with_copies(
+        lambda s: growth.conversion_rate(s.sessions, s.orders, repeats=True)
+    ),
+    "g3_copies_e3_revenue_per_session": _with_copies(
+        lambda s: growth.revenue_per_session(s.sessions, s.orders, repeats=True)
+    ),
+    "g3_copies_k1_master_kpis": _with_copies(
+        lambda s: growth.master_kpis(s.sessions, s.orders, s.order_items, repeats=True)
+    ),
+    "g4_copies_d2_funnel_rates": _with_copies(
+        lambda s: funnel.rates(s.sessions, s.pageviews, DETAIL, repeats=True)
+    ),
+    "g3_copies_p5_month_by_product": _with_copies(
+        lambda s: product.monthly_by_product(s.orders, s.order_items, s.products, repeats=True), testbed.store
+    ),
+    "g3_copies_p8_monthly_refunds": _with_copies(
+        lambda s: product.monthly_refunds(s.orders, s.order_items, s.refunds, s.products, repeats=True), testbed.store
+    ),
+    "g3_copies_p10_lifetime_summary": _with_copies(
+        lambda s: product.lifetime_summary(s.orders, s.order_items, s.refunds, s.products, repeats=True), testbed.store
+    ),
+}
+
 QUERIES: dict[str, Query] = {
     **AUDIT,
     **GROWTH,
@@ -424,4 +486,6 @@ QUERIES: dict[str, Query] = {
     **SIZING,
     **VALIDATION,
     **REPEATED,
+    **STORED,
+    **WITH_COPIES,
 }

@@ -39,9 +39,25 @@ def known_or_no_product(orphan: int = ORPHAN_PRODUCT) -> Column:
     return F.col("product_id").isNull() | (F.col("product_id") != orphan)
 
 
-def orders_per_session(orders: DataFrame) -> DataFrame:
-    """(session, n_orders, order_revenue) over priced orders."""
-    return priced(orders).groupBy(SESSION).agg(
+def session_rows(sessions: DataFrame, *keys: Column) -> DataFrame:
+    """One row per session and ``keys``, with ``n_rows``, for tables that hold a session twice.
+
+    Counting its rows counts distinct sessions, without a set per group and without
+    ``Expand``; ``n_rows`` times a figure of the session is what its joined rows add up to.
+    """
+    return sessions.groupBy(SESSION, *keys).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def orders_per_session(orders: DataFrame, repeats: bool = False) -> DataFrame:
+    """(session, n_orders, order_revenue) over priced orders.
+
+    With ``repeats`` an order may have several rows: it counts once, its money as often as
+    it is there. A session's rows are brought to one per order first, and then counted.
+    """
+    orders = priced(orders)
+    if repeats:
+        orders = orders.groupBy(SESSION, "order_id").agg(F.sum("price_usd").alias("price_usd"))
+    return orders.groupBy(SESSION).agg(
         F.count("order_id").alias("n_orders"),
         F.sum("price_usd").alias("order_revenue"),
     )
@@ -69,44 +85,51 @@ def margin(keep: Column) -> Column:
 
 
 def baskets_per_session(
-    orders: DataFrame, items: DataFrame, orphan: int = ORPHAN_PRODUCT
+    orders: DataFrame, items: DataFrame, orphan: int = ORPHAN_PRODUCT, repeats: bool = False
 ) -> DataFrame:
     """Orders and their lines, one row per session that has a priced order.
 
     Columns: ``n_priced`` (all priced orders), ``n_orders`` (those that keep at
     least one line or never had one), ``n_items`` and ``item_revenue`` over the
-    kept lines. A session with ``n_orders = 0`` had nothing but orphan lines.
+    kept lines. A session with ``n_orders = 0`` had nothing but orphan lines. With
+    ``repeats`` an order of several rows counts once and its lines for each of them.
     """
     lines = lines_per_order(items, known_or_no_product(orphan))
     survives = F.col("n_lines").isNull() | (F.col("n_kept") > 0)
+    rows, n_items, revenue = priced(orders).select(SESSION, "order_id"), F.col("n_kept"), F.col("item_revenue")
+    if repeats:
+        rows = session_rows(rows, F.col("order_id"))
+        n_items, revenue = n_items * F.col("n_rows"), revenue * F.col("n_rows")
     return (
-        priced(orders)
-        .select(SESSION, "order_id")
-        .join(lines, "order_id", "left")
+        rows.join(lines, "order_id", "left")
         .groupBy(SESSION)
         .agg(
             F.count("order_id").alias("n_priced"),
             F.count(F.when(survives, F.lit(1))).alias("n_orders"),
-            F.sum("n_kept").alias("n_items"),
-            F.sum("item_revenue").alias("item_revenue"),
+            F.sum(n_items).alias("n_items"),
+            F.sum(revenue).alias("item_revenue"),
         )
     )
 
 
-def with_orders(sessions: DataFrame, orders: DataFrame) -> DataFrame:
+def with_orders(sessions: DataFrame, orders: DataFrame, repeats: bool = False) -> DataFrame:
     """Every session with its order count and order revenue (NULL without orders)."""
-    return sessions.join(orders_per_session(orders), SESSION, "left")
+    return sessions.join(orders_per_session(orders, repeats), SESSION, "left")
 
 
 def with_baskets(
-    sessions: DataFrame, orders: DataFrame, items: DataFrame, orphan: int = ORPHAN_PRODUCT
+    sessions: DataFrame,
+    orders: DataFrame,
+    items: DataFrame,
+    orphan: int = ORPHAN_PRODUCT,
+    repeats: bool = False,
 ) -> DataFrame:
     """Sessions with line-level revenue.
 
     The orphan rule is applied *after* the left join: sessions whose only lines
     are orphans leave the report, sessions without orders stay.
     """
-    joined = sessions.join(baskets_per_session(orders, items, orphan), SESSION, "left")
+    joined = sessions.join(baskets_per_session(orders, items, orphan, repeats), SESSION, "left")
     return joined.where(F.col("n_priced").isNull() | (F.col("n_orders") > 0))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from shopgrain.functions.channel import MAIN_SOURCE, NONBRAND, device_is, in_scope, paid
 from shopgrain.functions.metrics import pct, total
 from shopgrain.functions.timebucket import Span, bucket
-from shopgrain.operators.grain import SESSION, page_flags
+from shopgrain.operators.grain import SESSION, page_flags, session_rows
 
 # The site's paths outside the product pages.
 PRODUCT_LIST = ("/products",)
@@ -83,10 +83,16 @@ def counts(
     detail_pages: Sequence[str],
     where: Column | None = None,
     lander: str = LANDER,
+    repeats: bool = False,
 ) -> DataFrame:
-    """One row: sessions at the lander and at each of the six steps."""
+    """One row: sessions at the lander and at each of the six steps.
+
+    With ``repeats`` the sessions may have several rows each and count once.
+    """
     pages = steps(detail_pages)
     scope = entry_scope(Span("2012-08-05")) if where is None else where
+    if repeats:
+        sessions, scope = session_rows(sessions.where(scope)), F.lit(True)
     return entered(sessions, pageviews, pages, scope, lander).agg(
         F.count(F.lit(1)).alias("sessions_at_lander"),
         *_counts(list(pages), None, "sessions_at_"),
@@ -99,10 +105,11 @@ def rates(
     detail_pages: Sequence[str],
     where: Column | None = None,
     lander: str = LANDER,
+    repeats: bool = False,
 ) -> DataFrame:
     """The funnel counts with the six step-to-step rates."""
     names = ["lander", *steps(detail_pages)]
-    base = counts(sessions, pageviews, detail_pages, where, lander)
+    base = counts(sessions, pageviews, detail_pages, where, lander, repeats)
     return base.select("*", *_rates(names, "sessions_at_"))
 
 

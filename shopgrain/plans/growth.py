@@ -1,4 +1,8 @@
-"""Sessions, orders and revenue over time."""
+"""Sessions, orders and revenue over time.
+
+Tables keep the load rule, so rows are counted. With ``repeats`` they may hold rows twice:
+sessions and orders count once by their ids, and money adds up over the joined rows.
+"""
 
 from __future__ import annotations
 
@@ -11,14 +15,24 @@ from shopgrain.functions.channel import MAIN_SOURCE, NONBRAND, campaign_is, in_s
 from shopgrain.functions.channel import BRAND, device_is, paid, source_is
 from shopgrain.functions.metrics import money, pct, ratio, total
 from shopgrain.functions.timebucket import ALWAYS, BUCKETS, Span, bucket
-from shopgrain.operators.grain import ORPHAN_PRODUCT, with_baskets, with_orders
+from shopgrain.operators.grain import (
+    ORPHAN_PRODUCT,
+    SESSION,
+    session_rows,
+    with_baskets,
+    with_orders,
+)
 
 # Quarters the data covers only in part.
 PARTIAL_QUARTERS = ((2012, 1), (2015, 1))
 
 
 def order_kpis(
-    sessions: DataFrame, orders: DataFrame, by: str = "quarter", where: Column | None = None
+    sessions: DataFrame,
+    orders: DataFrame,
+    by: str = "quarter",
+    where: Column | None = None,
+    repeats: bool = False,
 ) -> DataFrame:
     """All order-level figures per time bucket; reports select from it.
 
@@ -27,13 +41,17 @@ def order_kpis(
     """
     scope = sessions if where is None else sessions.where(where)
     keys = BUCKETS[by]
+    buckets, revenue = bucket(by), F.col("order_revenue")
+    if repeats:
+        scope, buckets = session_rows(scope, *buckets), keys
+        revenue = revenue * F.col("n_rows")
     return (
-        with_orders(scope, orders)
-        .groupBy(*bucket(by))
+        with_orders(scope, orders, repeats)
+        .groupBy(*buckets)
         .agg(
             F.count(F.lit(1)).alias("sessions"),
             total("n_orders").alias("orders"),
-            F.sum("order_revenue").alias("_revenue"),
+            F.sum(revenue).alias("_revenue"),
         )
         .select(
             *keys,
@@ -54,14 +72,20 @@ def basket_kpis(
     keys: Sequence[Column],
     where: Column | None = None,
     orphan: int = ORPHAN_PRODUCT,
+    repeats: bool = False,
 ) -> DataFrame:
     """All line-level figures per group of sessions; reports select from it."""
     scope = sessions if where is None else sessions.where(where)
-    grouped = with_baskets(scope, orders, items, orphan).groupBy(*keys).agg(
+    n_items, revenue = "n_items", F.col("item_revenue")
+    if repeats:
+        scope = session_rows(scope, *keys)
+        keys = [F.col(f"`{c}`") for c in scope.columns if c not in (SESSION, "n_rows")]
+        n_items, revenue = F.col("n_items") * F.col("n_rows"), revenue * F.col("n_rows")
+    grouped = with_baskets(scope, orders, items, orphan, repeats).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("sessions"),
         total("n_orders").alias("orders"),
-        total("n_items").alias("_items"),
-        F.sum("item_revenue").alias("_revenue"),
+        total(n_items).alias("_items"),
+        F.sum(revenue).alias("_revenue"),
     )
     names = [c for c in grouped.columns if c not in ("sessions", "orders", "_items", "_revenue")]
     return grouped.select(
@@ -82,6 +106,7 @@ def split_counts(
     groups: Mapping[str, Column],
     by: str = "month",
     where: Column | None = None,
+    repeats: bool = False,
 ) -> DataFrame:
     """``<group>_sessions`` and ``<group>_orders`` side by side per bucket.
 
@@ -89,12 +114,19 @@ def split_counts(
     rows are not expanded once per group.
     """
     scope = sessions if where is None else sessions.where(where)
+    buckets = bucket(by)
+    if repeats:
+        # Per session and bucket, whether any of its rows is in the group.
+        buckets = BUCKETS[by]
+        seen = [F.max(F.when(rule, 1).otherwise(0)).alias(f"_in_{i}") for i, rule in enumerate(groups.values())]
+        scope = scope.groupBy(SESSION, *bucket(by)).agg(*seen)
+        groups = {name: F.col(f"_in_{i}") == 1 for i, name in enumerate(groups)}
     columns = []
     for name, rule in groups.items():
         columns.append(F.count(F.when(rule, F.lit(1))).alias(f"{name}_sessions"))
         columns.append(total("n_orders", rule).alias(f"{name}_orders"))
     return (
-        with_orders(scope, orders).groupBy(*bucket(by)).agg(*columns).orderBy(*BUCKETS[by])
+        with_orders(scope, orders, repeats).groupBy(*buckets).agg(*columns).orderBy(*BUCKETS[by])
     )
 
 
@@ -103,13 +135,14 @@ def quarterly_growth(
     orders: DataFrame,
     partial: Sequence[tuple[int, int]] = PARTIAL_QUARTERS,
     where: Column | None = None,
+    repeats: bool = False,
 ) -> DataFrame:
     """Sessions and orders per quarter, with a label for partly covered quarters."""
     edge = F.lit(False)
     for year, quarter in partial:
         edge = edge | ((F.col("yr") == year) & (F.col("qtr") == quarter))
     return (
-        order_kpis(sessions, orders, "quarter", where)
+        order_kpis(sessions, orders, "quarter", where, repeats)
         .select(
             "yr",
             "qtr",
@@ -122,21 +155,27 @@ def quarterly_growth(
 
 
 def channel_growth(
-    sessions: DataFrame, orders: DataFrame, source: str = MAIN_SOURCE, campaign: str = NONBRAND
+    sessions: DataFrame,
+    orders: DataFrame,
+    source: str = MAIN_SOURCE,
+    campaign: str = NONBRAND,
+    repeats: bool = False,
 ) -> DataFrame:
     """Monthly sessions and orders of one channel."""
     return (
-        order_kpis(sessions, orders, "month", paid(source, campaign))
+        order_kpis(sessions, orders, "month", paid(source, campaign), repeats)
         .select("yr", "mo", "sessions", "orders")
         .orderBy("yr", "mo")
     )
 
 
-def campaign_split(sessions: DataFrame, orders: DataFrame, source: str = MAIN_SOURCE) -> DataFrame:
+def campaign_split(
+    sessions: DataFrame, orders: DataFrame, source: str = MAIN_SOURCE, repeats: bool = False
+) -> DataFrame:
     """Monthly nonbrand against brand traffic of one source."""
     groups = {NONBRAND: campaign_is(NONBRAND), BRAND: campaign_is(BRAND)}
     scope = source_is(source) & campaign_is(NONBRAND, BRAND)
-    return split_counts(sessions, orders, groups, "month", scope)
+    return split_counts(sessions, orders, groups, "month", scope, repeats)
 
 
 def device_split(
@@ -145,41 +184,51 @@ def device_split(
     source: str = MAIN_SOURCE,
     campaign: str = NONBRAND,
     devices: Sequence[str] = ("desktop", "mobile"),
+    repeats: bool = False,
 ) -> DataFrame:
     """Monthly traffic of one channel by device."""
     groups = {name: device_is(name) for name in devices}
-    return split_counts(sessions, orders, groups, "month", paid(source, campaign))
+    return split_counts(sessions, orders, groups, "month", paid(source, campaign), repeats)
 
 
 def channel_split(
-    sessions: DataFrame, orders: DataFrame, channels: Mapping[str, Column] | None = None
+    sessions: DataFrame,
+    orders: DataFrame,
+    channels: Mapping[str, Column] | None = None,
+    repeats: bool = False,
 ) -> DataFrame:
     """Monthly sessions and orders of every channel side by side."""
-    return split_counts(sessions, orders, channels or six_channels(), "month")
+    return split_counts(sessions, orders, channels or six_channels(), "month", repeats=repeats)
 
 
-def conversion_rate(sessions: DataFrame, orders: DataFrame, by: str = "quarter") -> DataFrame:
+def conversion_rate(
+    sessions: DataFrame, orders: DataFrame, by: str = "quarter", repeats: bool = False
+) -> DataFrame:
     keys = BUCKETS[by]
     return (
-        order_kpis(sessions, orders, by)
+        order_kpis(sessions, orders, by, repeats=repeats)
         .select(*keys, "sessions", "orders", "conv_rate_pct")
         .orderBy(*keys)
     )
 
 
-def average_order_value(sessions: DataFrame, orders: DataFrame, by: str = "quarter") -> DataFrame:
+def average_order_value(
+    sessions: DataFrame, orders: DataFrame, by: str = "quarter", repeats: bool = False
+) -> DataFrame:
     keys = BUCKETS[by]
     return (
-        order_kpis(sessions, orders, by)
+        order_kpis(sessions, orders, by, repeats=repeats)
         .select(*keys, "orders", "total_revenue", "avg_order_value")
         .orderBy(*keys)
     )
 
 
-def revenue_per_session(sessions: DataFrame, orders: DataFrame, by: str = "quarter") -> DataFrame:
+def revenue_per_session(
+    sessions: DataFrame, orders: DataFrame, by: str = "quarter", repeats: bool = False
+) -> DataFrame:
     keys = BUCKETS[by]
     return (
-        order_kpis(sessions, orders, by)
+        order_kpis(sessions, orders, by, repeats=repeats)
         .select(*keys, "sessions", "total_revenue", "rev_per_session")
         .orderBy(*keys)
     )
@@ -192,11 +241,12 @@ def master_kpis(
     by: str = "quarter",
     span: Span = ALWAYS,
     orphan: int = ORPHAN_PRODUCT,
+    repeats: bool = False,
 ) -> DataFrame:
     """Line-level KPI table per quarter, or per month of a window as a baseline."""
     keys = BUCKETS[by]
     return (
-        basket_kpis(sessions, orders, items, bucket(by), in_scope() & span.holds(), orphan)
+        basket_kpis(sessions, orders, items, bucket(by), in_scope() & span.holds(), orphan, repeats)
         .select(
             *keys,
             "sessions",

@@ -13,7 +13,6 @@ from shopgrain.operators.grain import (
     ORPHAN_PRODUCT,
     known_product,
     lines_per_order,
-    margin,
     priced,
     refunds_per_item,
 )
@@ -114,11 +113,31 @@ def launch_impact(
     )
 
 
-def _product_lines(items: DataFrame, orphan: int) -> DataFrame:
-    """(order, product) with line sums; the pre-aggregation of product reports."""
-    return items.where(known_product(orphan)).groupBy("order_id", "product_id").agg(
-        F.sum("price_usd").alias("revenue"), margin(F.lit(True)).alias("margin")
-    )
+def _scope(orders: DataFrame, repeats: bool, *keys: Column) -> tuple[DataFrame, Column | None]:
+    """Priced orders with ``keys``, a row each, and how often an order's lines count."""
+    if not repeats:
+        return priced(orders).select("order_id", *keys), None
+    rows = priced(orders).groupBy("order_id", *keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    return rows, F.col("n_rows")
+
+
+def _sums(value: Column, cost: Column, times: Column | None) -> tuple[Column, Column]:
+    """Revenue and margin over lines, of which each counts ``times``.
+
+    A short decimal is summed as a long; only what counts more than once is multiplied.
+    """
+    revenue, gain = F.sum(value), _margin(value, cost)
+    if times is not None:
+        more = times - 1
+        often = more > 0
+        revenue = revenue + F.coalesce(F.sum(F.when(often, value * more)), F.lit(0))
+        gain = gain + F.coalesce(F.sum(F.when(often, (value - cost) * more)), F.lit(0))
+    return revenue, gain
+
+
+def _margin(value: Column, cost: Column) -> Column:
+    both = value.isNotNull() & cost.isNotNull()
+    return F.sum(F.when(both, value)) - F.sum(F.when(both, cost))
 
 
 def monthly_by_product(
@@ -127,16 +146,22 @@ def monthly_by_product(
     products: DataFrame,
     span: Span = ALWAYS,
     orphan: int = ORPHAN_PRODUCT,
+    repeats: bool = False,
 ) -> DataFrame:
     """Orders, revenue and margin per month and product.
 
-    The product name is joined to the finished groups, so the product key of
-    the lines is never a join key.
+    Lines meet their order first, so one exchange of them by order serves the join and the
+    grouping by (order, product) after it. The product name is joined to the finished
+    groups, so the product key of the lines is never a join key.
     """
-    scope = priced(orders).where(span.holds()).select("order_id", "created_at")
+    scope, times = _scope(orders.where(span.holds()), repeats, *bucket("month"))
+    revenue, gain = _sums(F.col("price_usd"), F.col("cogs_usd"), times)
     return (
-        scope.join(_product_lines(items, orphan), "order_id")
-        .groupBy(*bucket("month"), "product_id")
+        items.where(known_product(orphan))
+        .join(scope, "order_id")
+        .groupBy("order_id", "product_id", "yr", "mo")
+        .agg(revenue.alias("revenue"), gain.alias("margin"))
+        .groupBy("yr", "mo", "product_id")
         .agg(
             F.count(F.lit(1)).alias("orders"),
             F.sum("revenue").alias("_revenue"),
@@ -158,38 +183,30 @@ def monthly_by_product(
 
 
 def sold_lines(
-    items: DataFrame,
-    refunds: DataFrame,
-    grain_safe: bool = False,
-    orphan: int = ORPHAN_PRODUCT,
-    where: Column | None = None,
+    items: DataFrame, refunds: DataFrame, grain_safe: bool = False, orphan: int = ORPHAN_PRODUCT, where: Column | None = None
 ) -> DataFrame:
-    """(order, product) with lines sold, refunds, revenue and margin.
+    """Lines with ``n_sold`` and ``n_refunded``.
 
     As the reports were written, a line counts once per matching refund, in the
     money too; ``grain_safe`` counts a line once and a refunded line once.
     """
     rule = known_product(orphan) if where is None else known_product(orphan) & where
-    joined = items.where(rule).join(refunds_per_item(refunds), "order_item_id", "left")
     matches = F.coalesce(F.col("n_refunds"), F.lit(0))
-    revenue, gain = F.sum("price_usd"), margin(F.lit(True))
+    sold, refunded = F.greatest(matches, F.lit(1)), matches
     if grain_safe:
         sold, refunded = F.lit(1), F.when(matches > 0, 1).otherwise(0)
-    else:
-        sold, refunded = F.greatest(matches, F.lit(1)), matches
-        # The copies beyond the first exist for few lines; only those multiply.
-        price, cost = F.col("price_usd"), F.col("cogs_usd")
-        more = matches - 1
-        revenue = revenue + F.coalesce(F.sum(F.when(more > 0, price * more)), F.lit(0))
-        gain = gain + F.coalesce(F.sum(F.when(more > 0, (price - cost) * more)), F.lit(0))
-    return joined.groupBy("order_id", "product_id").agg(
-        F.sum(sold).alias("n_sold"),
-        F.sum(refunded).alias("n_refunded"),
-        revenue.alias("revenue"),
-        gain.alias("margin"),
+    return (
+        items.where(rule)
+        .join(refunds_per_item(refunds), "order_item_id", "left")
+        .select("order_id", "product_id", "price_usd", "cogs_usd", sold.alias("n_sold"), refunded.alias("n_refunded"))
     )
 
 
+def _sold_totals(times: Column | None) -> list[Column]:
+    n = F.lit(1) if times is None else times
+    return [F.sum(F.col("n_sold") * n).alias("items_sold"), F.sum(F.col("n_refunded") * n).alias("items_refunded")]
+
+
 def monthly_refunds(
     orders: DataFrame,
     items: DataFrame,
@@ -198,16 +215,15 @@ def monthly_refunds(
     span: Span = ALWAYS,
     grain_safe: bool = False,
     orphan: int = ORPHAN_PRODUCT,
+    repeats: bool = False,
 ) -> DataFrame:
     """Refund rate per month and product."""
-    scope = priced(orders).where(span.holds()).select("order_id", "created_at")
+    scope, times = _scope(orders.where(span.holds()), repeats, *bucket("month"))
     return (
-        scope.join(sold_lines(items, refunds, grain_safe, orphan), "order_id")
-        .groupBy(*bucket("month"), "product_id")
-        .agg(
-            F.sum("n_sold").alias("items_sold"),
-            F.sum("n_refunded").alias("items_refunded"),
-        )
+        sold_lines(items, refunds, grain_safe, orphan)
+        .join(scope, "order_id")
+        .groupBy("yr", "mo", "product_id")
+        .agg(*_sold_totals(times))
         .join(products.select("product_id", "product_name"), "product_id")
         .select(
             "yr",
@@ -230,6 +246,7 @@ def refund_periods(
     periods: Mapping[str, Span] | None = None,
     grain_safe: bool = False,
     orphan: int = ORPHAN_PRODUCT,
+    repeats: bool = False,
 ) -> DataFrame:
     """Refund rate of one product in named periods, as around a supplier change."""
     periods = periods or {
@@ -237,19 +254,12 @@ def refund_periods(
         "B_transition_sep2014": Span("2014-09-01", "2014-10-01"),
         "C_after_new_supplier": Span("2014-10-01", "2015-01-01"),
     }
-    scope = (
-        priced(orders)
-        .select("order_id", period(dict(periods)).alias("period"))
-        .where(F.col("period").isNotNull())
-    )
+    scope, times = _scope(orders, repeats, period(dict(periods)).alias("period"))
     lines = sold_lines(items, refunds, grain_safe, orphan, F.col("product_id") == product)
     return (
-        scope.join(lines, "order_id")
+        lines.join(scope.where(F.col("period").isNotNull()), "order_id")
         .groupBy("period")
-        .agg(
-            F.sum("n_sold").alias("items_sold"),
-            F.sum("n_refunded").alias("items_refunded"),
-        )
+        .agg(*_sold_totals(times))
         .withColumn("refund_rate_pct", pct("items_refunded", "items_sold"))
         .orderBy("period")
     )
@@ -262,19 +272,28 @@ def lifetime_summary(
     products: DataFrame,
     grain_safe: bool = False,
     orphan: int = ORPHAN_PRODUCT,
+    repeats: bool = False,
 ) -> DataFrame:
-    """Orders, revenue, margin and refund rate per product over all time."""
+    """Orders, revenue, margin and refund rate per product over all time.
+
+    As in :func:`monthly_by_product`, (order, product) is grouped where the lines meet
+    their order.
+    """
+    scope, copies = _scope(orders, repeats)
+    times = F.col("n_sold") if copies is None else F.col("n_sold") * copies
+    revenue, gain = _sums(F.col("price_usd"), F.col("cogs_usd"), times)
     return (
-        priced(orders)
-        .select("order_id")
-        .join(sold_lines(items, refunds, grain_safe, orphan), "order_id")
+        sold_lines(items, refunds, grain_safe, orphan)
+        .join(scope, "order_id")
+        .groupBy("order_id", "product_id")
+        .agg(revenue.alias("revenue"), gain.alias("margin"), *_sold_totals(copies))
         .groupBy("product_id")
         .agg(
             F.count(F.lit(1)).alias("lifetime_orders"),
             F.sum("revenue").alias("_revenue"),
             F.sum("margin").alias("_margin"),
-            F.sum("n_sold").alias("_sold"),
-            F.sum("n_refunded").alias("_refunded"),
+            F.sum("items_sold").alias("_sold"),
+            F.sum("items_refunded").alias("_refunded"),
         )
         .join(products.select("product_id", "product_name"), "product_id")
         .select(

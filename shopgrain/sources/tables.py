@@ -71,8 +71,14 @@ def read_table(spark: SparkSession, folder: str, name: str, fmt: str = "parquet"
 def read_shop(spark: SparkSession, folder: str, fmt: str = "parquet", unique: bool = False) -> Shop:
     """All six tables below one folder; a row whose key is already there is skipped.
 
-    ``unique`` leaves that step out, for stored tables that went through it before.
+    A folder that ``shopgrain.sources.loaded.load`` has written went through the load rule
+    once and is read as it lies. For any other folder the rule is applied in each query,
+    which moves every table; ``unique`` leaves it out where the keys are known to be.
     """
+    from shopgrain.sources import loaded
+
+    if loaded.is_loaded(spark, folder):
+        return loaded.open_shop(spark, folder)
 
     def load(name: str) -> DataFrame:
         df = read_table(spark, folder, name, fmt)
