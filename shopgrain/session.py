@@ -15,6 +15,9 @@ DEFAULTS = {
     # Splits a hot join partition at run time: a session, order or product may
     # hold a large part of the rows of the many side.
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Also where a grouping after the join would have used its partitioning: a hot order is
+    # split, and its parts meet again in one more exchange, after a map-side combine.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.ansi.enabled": "true",
     # Page views and orders are pruned by a filter of the sessions in scope also where
     # those are more than the default of 10 MB; beyond that the filter loses precision,

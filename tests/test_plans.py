@@ -159,6 +159,64 @@ def test_hot_keys_are_combined_before_the_shuffle(spark):
     assert first.count() == 1 and "Window" not in text(first)
 
 
+LINE_FACT = ("p5_month_by_product", "p10_lifetime_summary", "p8_monthly_refunds")
+
+
+@pytest.mark.parametrize("key", LINE_FACT)
+def test_one_exchange_of_lines_by_order(spark, key):
+    """It serves the join with the orders and the grouping by (order, product)."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    dealt = re.findall(r"Exchange hashpartitioning\((\w+)#\d+L?, ", plan)
+    # Lines and orders by order; lines and refunds by item where there are refunds.
+    assert dealt.count("order_id") == 2
+    assert dealt.count("order_item_id") == (0 if key.startswith("p5") else 2)
+    assert not re.findall(r"hashpartitioning\(order_id#\d+L?, product_id", plan)
+
+
+def test_hot_order_is_split_before_it_is_grouped(spark):
+    """An order with a third of all lines: its lines are joined in several tasks."""
+    from shopgrain.plans import product
+
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        n = 60000
+        order = F.when(F.col("id") < n // 3, 7).otherwise(F.col("id")).cast("long")
+        money = F.lit(2).cast("decimal(18,2)")
+        items = spark.range(0, n, 1, 8).select(
+            F.col("id").alias("order_item_id"), order.alias("order_id"), (F.col("id") % 3).alias("product_id"),
+            # Spread values, so that the parts do not shrink to nothing when compressed.
+            (F.abs(F.xxhash64("id")) % 100000).cast("decimal(18,2)").alias("price_usd"), money.alias("cogs_usd"),
+        )
+        orders = spark.range(n).select(
+            F.col("id").alias("order_id"), F.lit("2014-03-01").cast("timestamp_ntz").alias("created_at"), money.alias("price_usd")
+        )
+        products = spark.range(3).select(F.col("id").alias("product_id"), F.col("id").cast("string").alias("product_name"))
+        report = product.monthly_by_product(orders, items, products)
+        got = {r["product_id"]: (r["orders"], r["revenue"]) for r in report.collect()}
+        sums = {r["product_id"]: r["s"] for r in items.groupBy("product_id").agg(F.sum("price_usd").alias("s")).collect()}
+        assert got == {p: (sum(i % 3 == p for i in range(n // 3, n)) + 1, sums[p]) for p in range(3)}
+        plan = report._jdf.queryExecution().executedPlan().toString()
+        assert "isSkew" in plan or "skew=true" in plan
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_testbed_shape(spark):
     s = testbed.web_shop(spark, SF)
     assert s.pageviews.count() == 1000
