@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from shopgrain import schemas
 from shopgrain.operators.keys import first_per_key, repeated_keys
-from shopgrain.session import stored
+from shopgrain.session import exists, stored
 from shopgrain.sources.tables import Shop
 
 # Stored table -> (logical table, column of its buckets).
@@ -57,9 +57,7 @@ class LoadedShop(Shop):
 
 def is_loaded(spark: SparkSession, folder: str) -> bool:
     """Whether ``load`` has written to this folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{_SPEC}")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    return exists(spark, f"{folder.rstrip('/')}/{_SPEC}")
 
 
 def _name(folder: str, table: str) -> str:

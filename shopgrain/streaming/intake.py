@@ -1,16 +1,25 @@
-"""Ingestion gate on a stream: tags normalised, rejects logged with their reason."""
+"""Ingestion gate on a stream: tags normalised, rejects logged with their reason.
+
+Two queries, one after the other. The first looks at a batch alone: prices, rows that are
+late against the clock so far, and copies inside the batch, which an aggregation combines
+before the shuffle, so a hot key reaches the next step as one row. The second remembers
+keys in the state store, one small entry per accepted key, and tells rows whose key came
+in an earlier batch. Neither reads what earlier batches wrote (of the clock, the last
+value), so a batch costs what its own rows cost, however long the stream has run.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shopgrain.plans.audit import cleaned_tags
-from shopgrain.session import work_folder
+from shopgrain.session import make_folder, work_folder
 
 REASONS = ("bad_price", "late", "key_exists")
 
@@ -18,60 +27,74 @@ REASONS = ("bad_price", "late", "key_exists")
 @dataclass(frozen=True)
 class IntakeRun:
     """Folders written so far. ``accepted`` and ``rejected`` hold every row of the input
-    once; ``progress`` has one row per batch (its latest event time and numbers of rows)."""
+    once; ``progress`` has one row per batch (the latest event time so far, number of rows)."""
 
     accepted: str
     rejected: str
     progress: str
 
 
-def _known(spark: SparkSession, path: str, schema: str, before: int) -> DataFrame | None:
-    """What earlier batches wrote, or None if nothing is there yet."""
-    try:
-        rows = spark.read.schema(f"{schema}, batch long").parquet(path)
-    except Exception as error:  # only a folder that does not exist yet
-        if "PATH_NOT_FOUND" in str(error):
-            return None
-        raise
-    return rows.where(F.col("batch") < before)
-
-
-def _gate(run: IntakeRun, staging: str, keys: Sequence[str], price: str, event_time: str, delay: str):
-    """The work on one batch. Each folder of a batch is replaced as a whole, so a batch
-    that is run again after a failure neither loses nor repeats rows."""
+def _alone(run: IntakeRun, base: str, keys: Sequence[str], price: str, event_time: str, delay: str):
+    """The work on one batch by itself. Each folder of a batch is replaced as a whole, so a
+    batch that is run again after a failure neither loses nor repeats rows."""
 
     def load(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        stage = f"{staging}/batch={number}"
+        stage = f"{base}/_staged/batch={number}"
         cleaned_tags(batch).withColumn("_row", F.monotonically_increasing_id()).write.mode("overwrite").parquet(stage)
         rows = spark.read.parquet(stage)
-        before = _known(spark, run.progress, "latest timestamp_ntz", number)
-        latest = before.agg(F.max("latest")).first()[0] if before is not None else None
+        latest = None
+        if number:
+            latest = spark.read.schema("latest timestamp_ntz").parquet(f"{run.progress}/batch={number - 1}").first()[0]
         late = F.lit(False)
         if latest is not None:
             late = F.col(event_time) < F.lit(latest).cast("timestamp_ntz") - F.expr(f"interval {delay}")
         reason = F.when(F.col(price) <= 0, "bad_price").when(late, "late")
         good = rows.where(reason.isNull())
-        taken = _known(spark, run.accepted, _ddl(batch, keys), number)
-        if taken is not None:
-            marks = taken.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
-            same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
-            good = good.join(marks, same, "left_anti")
-        # The earliest row of each key: copies are combined before the shuffle.
         first = good.groupBy(*keys).agg(F.min(F.struct(event_time, "_row")).alias("first"))
-        accepted = f"{run.accepted}/batch={number}"
-        good.join(first.select("first._row"), "_row", "left_semi").write.mode("overwrite").parquet(accepted)
-        done = spark.read.parquet(accepted).select("_row")
-        rejected = rows.join(done, "_row", "left_anti").withColumn("reason", F.coalesce(reason, F.lit("key_exists")))
-        rejected.write.mode("overwrite").parquet(f"{run.rejected}/batch={number}")
-        figures = rows.agg(F.max(event_time).cast("timestamp_ntz").alias("latest"), F.count(F.lit(1)).alias("n_rows"))
+        ahead = f"{base}/_first/batch={number}"
+        good.join(first.select("first._row"), "_row", "left_semi").write.mode("overwrite").parquet(ahead)
+        rest = rows.join(spark.read.parquet(ahead).select("_row"), "_row", "left_anti")
+        rest = rest.withColumn("reason", F.coalesce(reason, F.lit("key_exists")))
+        rest.write.mode("overwrite").parquet(f"{run.rejected}/step=1/batch={number}")
+        so_far = F.greatest(F.max(event_time).cast("timestamp_ntz"), F.lit(latest).cast("timestamp_ntz"))
+        figures = rows.agg(so_far.alias("latest"), F.count(F.lit(1)).alias("n_rows"))
         figures.write.mode("overwrite").parquet(f"{run.progress}/batch={number}")
 
     return load
 
 
-def _ddl(df: DataFrame, columns: Sequence[str]) -> str:
-    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+_SEEN = "_batch long, _row long, fresh boolean"
+
+
+def _remember(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Verdicts on the rows of one key: the first one ever is fresh, one row per batch."""
+    rows = pd.concat(list(parts)).sort_values(["_batch", "_row"])
+    fresh = [not state.exists] + [False] * (len(rows) - 1)
+    state.update((True,))
+    yield pd.DataFrame({"_batch": rows["_batch"], "_row": rows["_row"], "fresh": fresh})
+
+
+def _judged(run: IntakeRun, base: str):
+    """Accepted rows and those whose key had come before, from the verdicts of one batch."""
+
+    def load(verdicts: DataFrame, number: int) -> None:
+        spark = verdicts.sparkSession
+        kept = f"{base}/_verdicts/batch={number}"
+        verdicts.write.mode("overwrite").parquet(kept)
+        said = spark.read.schema(_SEEN).parquet(kept)
+        # The batches of the first query since the last run.
+        new = [r[0] for r in said.select("_batch").distinct().collect()]
+        if not new:
+            return
+        rows = spark.read.option("basePath", f"{base}/_first").parquet(*(f"{base}/_first/batch={n}" for n in sorted(new)))
+        rows = rows.withColumnRenamed("batch", "_batch").withColumn("_batch", F.col("_batch").cast("long"))
+        joined = rows.join(said, ["_batch", "_row"])
+        joined.where("fresh").drop("fresh", "_batch").write.mode("overwrite").parquet(f"{run.accepted}/batch={number}")
+        again = joined.where("not fresh").drop("fresh", "_batch").withColumn("reason", F.lit("key_exists"))
+        again.write.mode("overwrite").parquet(f"{run.rejected}/step=2/batch={number}")
+
+    return load
 
 
 def run_intake(
@@ -87,15 +110,21 @@ def run_intake(
 
     A row is rejected for a price that is not positive, as late if its event time is more
     than ``delay`` before the latest one of earlier batches, or because its key was
-    accepted before. A missing price or time passes. Tags are normalised first.
+    accepted before. A missing price or time passes. Null keys are one key. Tags are
+    normalised first.
     """
     base = folder or work_folder(spark, "intake")
     run = IntakeRun(f"{base}/accepted", f"{base}/rejected", f"{base}/progress")
-    query = (
-        rows.writeStream.foreachBatch(_gate(run, f"{base}/_staged", keys, price, event_time, delay))
-        .option("checkpointLocation", f"{base}/_state")
-        .trigger(availableNow=True)
-        .start()
+    alone = rows.writeStream.foreachBatch(_alone(run, base, keys, price, event_time, delay))
+    alone.option("checkpointLocation", f"{base}/_state").trigger(availableNow=True).start().awaitTermination()
+    make_folder(spark, f"{base}/_first")  # nothing may have come yet
+    schema = cleaned_tags(rows).schema.add("_row", "long").add("batch", "long")
+    ahead = spark.readStream.schema(schema).parquet(f"{base}/_first").withColumnRenamed("batch", "_batch")
+    verdicts = (
+        ahead.select(*keys, "_batch", "_row")
+        .groupBy(*keys)
+        .applyInPandasWithState(_remember, _SEEN, "seen boolean", "append", GroupStateTimeout.NoTimeout)
     )
-    query.awaitTermination()
+    judged = verdicts.writeStream.foreachBatch(_judged(run, base)).outputMode("append")
+    judged.option("checkpointLocation", f"{base}/_keys").trigger(availableNow=True).start().awaitTermination()
     return run

@@ -82,6 +82,16 @@ def test_work_folder_follows_the_session():
     assert work_folder(Session(**shared), "x").startswith("hdfs:///house/x-")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         work_folder(Session(), "x")
+    own = {"spark.sql.warehouse.dir": "file:/home/driver/spark-warehouse"}
+    assert work_folder(Session(**own, **{"spark.master": "local[4]"}), "x").startswith("file:/home")
+    with pytest.raises(ValueError, match="not shared"):
+        work_folder(Session(**own, **{"spark.master": "yarn"}), "x")
+
+
+def test_stream_of_nothing(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    run = run_intake(spark, spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), ["id"], folder=str(tmp_path / "run"))
+    assert run.progress.endswith("/progress")
 
 
 SCHEMA = "id bigint, created_at timestamp_ntz, price_usd decimal(18,2), utm_source string"
@@ -118,3 +128,22 @@ def test_stream_logs_every_reject_with_its_reason(spark, tmp_path):
         ("bad_price", 2, 1), ("bad_price", 4, 1), ("late", 5, 1), ("key_exists", 1, 3000), ("key_exists", None, 1),
     }
     assert sum(r["n_rows"] for r in rows(spark.read.parquet(last.progress))) == len(accepted) + 3004
+
+
+def test_stream_remembers_keys_without_its_outputs(spark, tmp_path):
+    """Earlier outputs may be moved away: what was accepted is known from the state."""
+    src, base = str(tmp_path / "in"), str(tmp_path / "run")
+    seen = []
+    for n in range(4):
+        _batch(spark, src, [(n, f"2024-01-0{n + 1} 10:00:00", "5"), (None if n else 50, f"2024-01-0{n + 1} 10:00:00", "1"), (0, f"2024-01-0{n + 1} 11:00:00", "2")])
+        stream = spark.readStream.schema(SCHEMA).parquet(src)
+        run = run_intake(spark, stream, ["id"], folder=base)
+        accepted, rejected = rows(spark.read.parquet(run.accepted)), rows(spark.read.parquet(run.rejected))
+        seen += [r["id"] for r in accepted]
+        assert {(r["reason"], r["id"]) for r in rejected} <= {("key_exists", 0), ("key_exists", None)}
+        assert len(accepted) + len(rejected) == 3
+        for part in ("accepted", "rejected"):
+            (tmp_path / "run" / part).rename(tmp_path / f"{part}-{n}")
+    assert sorted(i for i in seen if i is not None) == [0, 1, 2, 3, 50] and seen.count(None) == 1
+    # Of the first query's clock, only the last value is read.
+    assert [r["n_rows"] for r in rows(spark.read.parquet(run.progress))] == [3] * 4
