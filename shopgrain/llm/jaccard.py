@@ -15,12 +15,14 @@ once. Results are exact up to collisions of the hashes.
    parts of bounded size. All sets of a group are compared in one task, which goes on only
    for pairs that are not yet connected. What was cut is grouped once more by another hash,
    so a large group of near copies is connected without all its pairs.
-3. The classes so far, cut into parts of bounded size, become the groups of the matrix (single
-   nodes keep the groups of step 2). The matrix has a row for each token and group that has
-   it in the prefix of a member, and for each group the union of the tokens of its members.
-   A node queries the groups of larger classes: a token in common names a group; the overlap
-   of its set with the group's union bounds the overlap with any member; and only a group
-   whose bound is large enough is opened and its members compared.
+3. The classes so far, cut into parts of bounded size and of sets of about one size, become
+   the groups of the matrix (single nodes keep the groups of step 2). The matrix has a row for
+   each token and group that has it in the prefix of a member, and for each group the union
+   of the tokens of its members. A node queries the groups of larger classes: first the tokens
+   that its prefix shares with the group's rows are counted, and a group goes on if a member
+   of its sizes could be similar with so many (prefixes longer by l share l tokens more); then
+   the overlap of the whole set with the group's union bounds the overlap with any member;
+   and only a group whose bound is large enough is opened and its members compared.
 
 So every pair of nodes is in one class already, or compared, or excluded by a bound. Groups
 have bounded sizes, queries of a hot group are dealt over several tasks, and only links that
@@ -34,13 +36,14 @@ are members of one class. An empty table gives an empty result. Extra columns ar
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +54,7 @@ from shopgrain.session import stored
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SEEN = 1 << 20  # texts of which a task remembers that it saw them
 _WINDOW = 1 << 20  # tokens of a counting window
+_BAND = 1.06  # the largest set of a group of the matrix by the smallest, about
 
 
 def token_set(text: bytes | None, shingle: int) -> np.ndarray:
@@ -230,39 +234,52 @@ def _prefixes(docs: DataFrame, text: str, shingle: int, percent: int, frequent:
     return made.repartition("token", apart).sortWithinPartitions("token", "node").mapInArrow(again, _PREFIX)
 
 
+_TEXTS = "node long, part long, body binary"
+
+
 def _texts(docs: DataFrame, text: str, shingle: int, live: DataFrame) -> DataFrame:
-    """node and body of the live nodes: one text of each."""
+    """node, part and body of the ``live`` nodes (node, part): one text of each, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            nodes = [_node(token_set(v.as_py(), shingle)) for v in batch.column(0)]
-            fresh = []
-            for node in nodes:
-                fresh.append(node not in seen)
+            nodes, bodies = [], []
+            for value in batch.column(0):
+                body = value.as_py()
+                node = _node(token_set(body, shingle))
+                if node not in seen:
+                    nodes.append(node)
+                    bodies.append(pack(body))
                 if len(seen) >= _SEEN:
                     seen.clear()
                 seen.add(node)
-            rows = pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(0)], names=["node", "body"])
-            yield rows.filter(pa.array(fresh, pa.bool_()))
+            columns = [pa.array(nodes, pa.int64()), pa.nulls(len(nodes), pa.int64()), pa.array(bodies, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "part", "body"])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each node that is marked live (an empty body, which comes first) the first text."""
-        marked = done = None
+        """The first text of each node that is marked live: the mark has a part and comes before."""
+        marked = part = done = None
         for batch in batches:
-            keep = []
-            for node, size in zip(batch.column(0).to_pylist(), pc.binary_length(batch.column(1)).to_pylist()):
-                keep.append(bool(size) and node == marked and node != done)
-                if not size:
-                    marked = node
-                elif keep[-1]:
+            keep, parts = [], []
+            for node, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if own is not None:
+                    marked, part = node, own
+                keep.append(own is None and node == marked and node != done)
+                parts.append(part)
+                if keep[-1]:
                     done = node
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            columns = [batch.column(0), pa.array(parts, pa.int64()), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "part", "body"]).filter(pa.array(keep, pa.bool_()))
+
+    made = _body(docs, text).where(F.length("body") > 0).mapInArrow(run, _TEXTS)
+    marks = live.select("node", "part", F.lit(None).cast("binary").alias("body"))
+    order = ["node", F.col("part").isNull()]
+    return made.unionByName(marks).repartition("node").sortWithinPartitions(*order).mapInArrow(first, _TEXTS)
 
-    made = _body(docs, text).mapInArrow(run, "node long, body binary").where(F.length("body") > 0)
-    marks = live.select("node", F.lit(b"").alias("body"))
-    order = ["node", F.length("body") > 0]
-    return made.unionByName(marks).repartition("node").sortWithinPartitions(*order).mapInArrow(first, "node long, body binary")
+
+def _unpacked_set(body: bytes, shingle: int) -> np.ndarray:
+    return token_set(zstandard.decompress(body), shingle)
 
 
 def _cut(rows: DataFrame, by: str, salt: int, most: int, tokens: int) -> DataFrame:
@@ -291,22 +308,21 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple,
         yield key, run
 
 
-def _join_groups(grouped: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links within the groups (``part``) of nodes."""
+def _join_groups(grouped: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links within the groups (``part``) of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _runs(batches, 1):
             nodes, sets = [], []
             for _, node, body in rows:
                 nodes.append(node)
-                sets.append(token_set(body, shingle))
+                sets.append(_unpacked_set(body, shingle))
             if len(nodes) > 1:
                 found = links_within(sets, percent)
                 if found:
                     yield _edges([(nodes[i], nodes[j]) for i, j in found])
 
-    together = grouped.select("part", "node").join(texts, "node").select("part", "node", "body")
-    return together.repartition("part").sortWithinPartitions("part").mapInArrow(run, _EDGES)
+    return grouped.select("part", "node", "body").repartition("part").sortWithinPartitions("part").mapInArrow(run, _EDGES)
 
 
 def _unions(members: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -314,7 +330,7 @@ def _unions(members: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (group,), rows in _runs(batches, 1):
-            sets = [token_set(body, shingle) for _, body in rows]
+            sets = [_unpacked_set(body, shingle) for _, body in rows]
             union, sizes = np.unique(np.concatenate(sets)), [len(s) for s in sets]
             columns = [[group], [min(sizes)], [max(sizes)], [union.tobytes()]]
             yield pa.RecordBatch.from_arrays(
@@ -344,6 +360,17 @@ def _meet(held: DataFrame, queries: DataFrame, work: Callable, schema: str, most
     return met.mapInArrow(lambda batches: work(_runs(batches, 2)), schema)
 
 
+def _least_shared(n: str, size: str, percent: int) -> str:
+    """SQL: how many prefix tokens two similar sets of ``n`` and ``size`` share at least, and one less.
+
+    Similar sets share o = percent (n + size) / (100 + percent) tokens. A prefix has what is
+    beyond percent n of a set, and one; so it is longer than these sets need by o - percent n,
+    and prefixes that are longer by l share l tokens more. One less, for the rounding.
+    """
+    share = f"ceil({percent}D * ({n} + {size}) / {100 + percent})"
+    return f"{share} - ceil({percent}D * greatest({n}, {size}) / 100)"
+
+
 def _candidates(placed: DataFrame, prefixes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """The matrix (a row per token and group), and the queries (node, part) that it names.
 
@@ -356,11 +383,15 @@ def _candidates(placed: DataFrame, prefixes: DataFrame, percent: int) -> tuple[D
         rows.groupBy("token", "part", "owner", "size").agg(F.min("n").alias("least"), F.max("n").alias("most")), "matrix"
     )
     theirs = matrix.withColumnsRenamed({"part": "group", "owner": "other", "size": "larger"})
-    met = rows.join(theirs, "token").where(
-        F.expr("owner <> other and (size < larger or size = larger and owner < other)")
-        & F.expr(f"{percent}L * least <= 100L * n and {percent}L * n <= 100L * most")
+    met = rows.join(theirs, "token").where("owner <> other and (size < larger or size = larger and owner < other)")
+    counted = met.groupBy("node", "n", "group").agg(
+        F.count("*").alias("shared"), F.min("least").alias("least"), F.max("most").alias("most")
     )
-    return matrix, met.select("node", F.col("group").alias("part")).distinct()
+    # Sizes of members with such a token that could be similar; the bound is least at an end.
+    low, high = f"greatest(least, ceil({percent}D * n / 100))", f"least(most, floor(n * 100D / {percent}))"
+    bound = f"least({_least_shared('n', 'low', percent)}, {_least_shared('n', 'high', percent)})"
+    able = counted.withColumns({"low": F.expr(low), "high": F.expr(high)}).where(f"low <= high and shared >= {bound}")
+    return matrix, able.select("node", F.col("group").alias("part"))
 
 
 def links(
@@ -379,30 +410,35 @@ def links(
     # Rare tokens first, so that frequent ones group only what shares nothing else.
     rank = F.min(F.when(F.col("hot"), F.lit(1 << 61)).otherwise(F.lit(0)) + F.shiftrightunsigned(F.xxhash64("token"), 3))
     live = prefixes.groupBy("node").agg(F.first("n").alias("n"), rank.alias("least"))
-    live = stored(live, "nodes")
-    texts = stored(_texts(docs, text, shingle, live), "texts")
-    grouped = stored(_cut(live, "least", 0, group_sets, group_tokens), "groups")
-    near = stored(_join_groups(grouped.where("together > 1"), texts, shingle, percent), "edges")
-    split = _cut(grouped.where("cuts > 1").select("least", "node", "n"), "least", 1, group_sets, group_tokens)
-    near = near.unionByName(stored(_join_groups(split, texts, shingle, percent), "edges"))
+    grouped = stored(_cut(stored(live, "nodes"), "least", 0, group_sets, group_tokens), "groups")
+    texts = stored(_texts(docs, text, shingle, grouped), "texts")
+    pairs = grouped.where("together > 1").select("part").distinct()
+    near = stored(_join_groups(texts.join(pairs, "part", "left_semi"), shingle, percent), "edges")
+    again = grouped.where("cuts > 1").select("least", "node", "n")
+    if not again.isEmpty():
+        split = _cut(again, "least", 1, group_sets, group_tokens).select("node", "part")
+        near = near.unionByName(
+            stored(_join_groups(texts.drop("part").join(split, "node"), shingle, percent), "edges")
+        )
 
     # The groups of the matrix: classes cut into parts, and what is still single.
     stars = components(near)
     classed = grouped.select("node", "n", F.col("part").alias("single")).join(stars, "node", "left")
     classed = classed.withColumn("class", F.coalesce("component", "node")).drop("component")
     cut = _cut(classed, "class", 2, group_sets, group_tokens)
-    alone = F.col("together") == 1
+    alone, band = F.col("together") == 1, F.floor(F.log("n") / math.log(_BAND))
     placed = stored(
         cut.select(
             "node",
             "n",
             F.col("together").alias("size"),
             F.when(alone, F.col("single")).otherwise(F.col("class")).alias("owner"),
-            F.when(alone, F.col("single")).otherwise(F.col("part")).alias("part"),
+            F.xxhash64(F.when(alone, F.col("single")).otherwise(F.col("part")), band).alias("part"),
             "class",
         ),
         "placed",
     )
+    texts = texts.drop("part")
     _, asked = _candidates(placed, prefixes, percent)
     asked = stored(asked, "queries")
     if asked.isEmpty():
@@ -412,7 +448,7 @@ def links(
     unions = stored(_unions(members.select("node", "part"), texts, shingle), "unions")
     bodies = unions.select("part", F.lit(None).cast("long").alias("node"), F.col("least").cast("long").alias("owner"), F.col("tokens").alias("body"))
 
-    def bound(groups: Iterator) -> Iterator[pa.RecordBatch]:
+    def bounded(groups: Iterator) -> Iterator[pa.RecordBatch]:
         """Queries whose overlap with the union allows a link with some member."""
         for (part, _), rows in groups:
             union, least, open_ = None, 0, []
@@ -420,7 +456,7 @@ def links(
                 if not query:
                     union, least = np.frombuffer(body, np.uint64), owner
                     continue
-                tokens = token_set(body, shingle)
+                tokens = _unpacked_set(body, shingle)
                 n = len(tokens)
                 at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
                 overlap = int((union[at] == tokens).sum())
@@ -431,7 +467,7 @@ def links(
                 columns = [pa.array(open_, pa.int64()), pa.array([part] * len(open_), pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["node", "part"])
 
-    opened = stored(_meet(bodies, asked.join(texts, "node"), bound, "node long, part long", group_queries), "opened")
+    opened = stored(_meet(bodies, asked.join(texts, "node"), bounded, "node long, part long", group_queries), "opened")
 
     def compare(groups: Iterator) -> Iterator[pa.RecordBatch]:
         """A link of each query with each class of an opened group."""
@@ -441,10 +477,10 @@ def links(
                 if not query:
                     nodes.append(node)
                     owners.append(owner)
-                    sets.append(token_set(body, shingle))
+                    sets.append(_unpacked_set(body, shingle))
                     continue
                 index = index or Index(sets)
-                tokens = token_set(body, shingle)
+                tokens = _unpacked_set(body, shingle)
                 near_ = np.flatnonzero(similar(index.overlaps(tokens), len(tokens), index.sizes, percent))
                 _, first = np.unique(np.array(owners)[near_], return_index=True)
                 found += [(node, nodes[i]) for i in near_[first].tolist()]
