@@ -1303,3 +1303,26 @@ for _name in ("b1_quarterly_growth", "e1_conversion_rate", "e3_revenue_per_sessi
     ORACLE[f"g3_copies_{_name}"] = sql(*_PARTS[_name], copies=True)
 for _name in ("b5_channel_split", "d2_funnel_rates"):
     ORACLE[f"g4_copies_{_name}"] = sql(*_PARTS[_name], copies=True)
+
+_put(
+    "v3_stored_baseline",
+    f"""WITH faulty AS (SELECT CAST(created_at AS DATE) AS day,
+            CASE WHEN CAST(created_at AS DATE) <> DATE '1999-05-20' THEN price_usd END AS price,
+            unnest(range(CASE WHEN CAST(created_at AS DATE) = DATE '1999-03-10' THEN 6 ELSE 1 END)) AS copy
+          FROM store_orders),
+        days AS (SELECT day, CAST(isodow(day) - 1 AS INTEGER) AS weekday, CAST(count(*) AS DOUBLE) AS n_rows,
+            {pct('count(*) - count(price)', 'count(*)', 4)} AS null_price_pct,
+            {ratio('sum(price)', 'count(price)', 4)} AS avg_price,
+            {dbl('min(price)')} AS min_price, {dbl('max(price)')} AS max_price FROM faulty GROUP BY day),
+        tall AS (
+          SELECT day, weekday, 'n_rows' AS metric, n_rows AS value FROM days
+          UNION ALL SELECT day, weekday, 'null_price_pct', null_price_pct FROM days
+          UNION ALL SELECT day, weekday, 'avg_price', avg_price FROM days
+          UNION ALL SELECT day, weekday, 'min_price', min_price FROM days
+          UNION ALL SELECT day, weekday, 'max_price', max_price FROM days),
+        usual AS (SELECT *, {ratio('sum(value) OVER w', 'count(value) OVER w', 4)} AS baseline, count(value) OVER w AS n_days FROM tall
+          WINDOW w AS (PARTITION BY weekday, metric ORDER BY day ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING))
+       SELECT *, n_days >= 4 AND coalesce(abs(value - baseline) > abs(baseline) * 1.5::DOUBLE, true) AS flagged
+       FROM usual WHERE day BETWEEN DATE '1999-01-01' AND DATE '1999-12-31'""",
+    "store_orders",
+)

@@ -15,6 +15,7 @@ from pyspark.sql.types import DecimalType
 from shopgrain.functions.timebucket import Span
 from shopgrain.plans import (
     audit,
+    baseline,
     basket,
     channels,
     customer,
@@ -163,6 +164,16 @@ def _profiles(s: Shop) -> DataFrame:
     )
 
 
+def _stored_baseline(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders arrive year by year; the days of 1999 are held against the weekdays before them."""
+    base = work_folder(spark, "baseline")
+    orders = testbed.faulty_store_orders(spark, folder)
+    for year in range(1995, 2002):
+        baseline.update(orders.where(F.year("created_at") == year), base, str(year))
+    in_1999 = F.col("day").between("1999-01-01", "1999-12-31")
+    return baseline.compare(baseline.daily(spark, base), weeks=8, least=4, tolerance_pct=150.0, where=in_1999)
+
+
 AUDIT: dict[str, Query] = {
     "a1_rows_website_sessions": _web(lambda s: audit.row_count(s.sessions)),
     "a1_rows_website_pageviews": _web(lambda s: audit.row_count(s.pageviews)),
@@ -423,6 +434,7 @@ VALIDATION: dict[str, Query] = {
         ),
     ),
     "v3_deviations": _web(_profiles),
+    "v3_stored_baseline": _stored_baseline,
 }
 
 REPEATED: dict[str, Query] = {

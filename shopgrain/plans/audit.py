@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopgrain.functions.metrics import pct, ratio, tally
@@ -149,45 +149,104 @@ def untrimmed_count(
     return df.agg(tally(untrimmed(*columns)).alias(name))
 
 
-def exclusion_summary(shop: Shop, session_keys: Sequence[str] = ("website_session_id",)) -> DataFrame:
-    """What the audit found: issue, records, share of all rows, action."""
-    extra = repeated_keys(shop.sessions, session_keys).agg(
-        F.coalesce(F.sum(F.col("cnt") - 1), F.lit(0)).alias("records")
+def _visit_figures(sessions: DataFrame, pageviews: DataFrame, key: str) -> DataFrame:
+    """Figures of sessions and page views, each read once: one row.
+
+    Sessions are brought to (key, time), which leaves one row of most keys, and meet the
+    views there. Early views count for each session row they are early for; all views of
+    a key count once, however many times the key has.
+    """
+    n = F.count(F.lit(1))
+    visits = sessions.groupBy(key, F.col("created_at").alias("started")).agg(
+        n.alias("n"), tally(untrimmed(*TAGS)).alias("tags"), tally(untrimmed("http_referer")).alias("referers")
+    )
+    views = pageviews.select(F.col(key).alias("_of"), F.col("created_at").alias("_seen"))
+    met = visits.join(views, F.col(key) == F.col("_of"), "full_outer").withColumn(
+        "_is_view", F.col("_of").isNotNull() | F.col("n").isNull()
+    )
+    per_time = met.groupBy(key, "started").agg(
+        F.max("n").alias("n"),
+        F.max("tags").alias("tags"),
+        F.max("referers").alias("referers"),
+        tally(F.col("_is_view")).alias("views"),
+        tally(F.col("_seen") < F.col("started")).alias("early"),
+    )
+    # Views without a session have no key here, as sessions without one.
+    per_key = per_time.groupBy(key).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("sessions"),
+        F.max("views").alias("views"),
+        F.sum(F.col("early") * F.coalesce("n", F.lit(0))).alias("early"),
+        F.sum("tags").alias("tags"),
+        F.sum("referers").alias("referers"),
+    )
+    extra = F.greatest(F.col("sessions") - 1, F.lit(0))
+    return per_key.agg(
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("sessions", "views", "early", "tags", "referers")),
+        F.coalesce(F.sum(extra), F.lit(0)).alias("extra"),
+    )
+
+
+def _line_figures(items: DataFrame, products: DataFrame) -> DataFrame:
+    """Figures of order lines and products, each read once: one row."""
+    lines = items.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
+    known = products.groupBy(F.col("product_id").alias("_known")).agg(F.count(F.lit(1)).alias("n_products"))
+    orphan = F.when(F.col("n_products").isNull(), F.col("n"))
+    met = lines.join(known, F.col("product_id") == F.col("_known"), "full_outer")
+    return met.agg(
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "n_products")),
+        F.coalesce(F.sum(orphan), F.lit(0)).alias("orphans"),
     )
-    found = [
-        ("duplicate sessions", extra, "excluded at load"),
-        ("bad price orders", bad_price_count(shop.orders, "records"), "excluded from revenue"),
-        (
-            "early page views",
-            row_count(before_parent(shop.pageviews, shop.sessions, "website_session_id"), "records"),
-            "excluded from funnels",
+
+
+def _listed(figures: DataFrame, rows: Column, *found: tuple[str, Column, str]) -> DataFrame:
+    """(issue, records, action, rows) from one row of figures; ``rows`` stands in the first."""
+    lines = [
+        F.struct(
+            F.lit(issue).alias("issue"),
+            records.cast("long").alias("records"),
+            F.lit(action).alias("action"),
+            (rows if not i else F.lit(0)).cast("long").alias("rows"),
+        )
+        for i, (issue, records, action) in enumerate(found)
+    ]
+    return figures.select(F.inline(F.array(*lines)))
+
+
+def exclusion_summary(shop: Shop, session_key: str = "website_session_id") -> DataFrame:
+    """What the audit found: issue, records, share of all rows, action.
+
+    Every table is read once, and its number of rows comes with its figures.
+    """
+    c = F.col
+    n = F.count(F.lit(1)).alias("n")
+    parts = [
+        _listed(
+            _visit_figures(shop.sessions, shop.pageviews, session_key),
+            c("sessions") + c("views"),
+            ("duplicate sessions", c("extra"), "excluded at load"),
+            ("early page views", c("early"), "excluded from funnels"),
+            ("untrimmed tags", c("tags"), "corrected when read"),
+            ("untrimmed referers", c("referers"), "corrected when read"),
+        ),
+        _listed(
+            shop.orders.agg(n, tally(bad_price()).alias("bad")),
+            c("n"),
+            ("bad price orders", c("bad"), "excluded from revenue"),
         ),
-        (
-            "orphan order items",
-            orphan_count(shop.order_items, shop.products, "product_id").withColumnRenamed(
-                "orphan_rows", "records"
-            ),
-            "excluded from product reports",
+        _listed(
+            _line_figures(shop.order_items, shop.products),
+            c("n") + c("n_products"),
+            ("orphan order items", c("orphans"), "excluded from product reports"),
+        ),
+        shop.refunds.agg(n).select(
+            F.lit(None).cast("string").alias("issue"), F.lit(0).cast("long").alias("records"),
+            F.lit(None).cast("string").alias("action"), c("n").alias("rows"),
         ),
     ]
-    # Both text checks in one pass over the sessions.
-    texts = shop.sessions.agg(
-        tally(untrimmed(*TAGS)).alias("untrimmed tags"),
-        tally(untrimmed("http_referer")).alias("untrimmed referers"),
-    ).unpivot([], ["untrimmed tags", "untrimmed referers"], "issue", "records")
-    listed = _union(
-        [
-            df.select(F.lit(issue).alias("issue"), "records", F.lit(action).alias("action"))
-            for issue, df, action in found
-        ]
-        + [texts.withColumn("action", F.lit("corrected when read"))]
-    )
-    all_rows = table_counts(shop.named()).agg(F.sum("row_count"))
-    return listed.select(
-        "issue",
-        "records",
-        pct(F.col("records"), all_rows.scalar(), 4).alias("share_pct"),
-        "action",
+    # Seven rows; their sum is the number of rows of all tables.
+    listed = _union(parts).withColumn("_all", F.sum("rows").over(Window.partitionBy(F.lit(1))))
+    return listed.where(c("issue").isNotNull()).select(
+        "issue", "records", pct(c("records"), c("_all"), 4).alias("share_pct"), "action"
     )
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopgrain.functions import channel as ch
 from shopgrain.functions.metrics import pct, ratio, tally, total
 from shopgrain.functions.timebucket import Span
 from shopgrain.operators.grain import priced, with_orders
-from shopgrain.operators.keys import first_per_key
 
 
 def _session_type():
@@ -40,23 +39,23 @@ def visit_buckets(sessions: DataFrame, span: Span = Span.of_year(2014)) -> DataF
 def days_to_return(sessions: DataFrame, span: Span = Span.of_year(2014)) -> DataFrame:
     """Calendar days from the first to the second session of a user.
 
-    Only dates matter, so sessions are first counted per (user, date). The
-    window then sees at most one row per day of the span for a user, however
-    many sessions the user has.
+    Only dates matter, so sessions are first counted per (user, date). A user then
+    brings at most one entry per day of the span, however many sessions there are, and
+    the two least are looked at.
     """
     days = (
         sessions.where(span.holds())
         .groupBy("user_id", F.to_date("created_at").alias("day"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    order = Window.partitionBy("user_id").orderBy("day")
-    second = F.when(F.col("n") > 1, F.col("day")).otherwise(F.lead("day").over(order))
+    least = F.slice(F.sort_array(F.collect_list(F.struct("day", "n"))), 1, 2)
+    first, next_ = F.get("least", F.lit(0)), F.get("least", F.lit(1))
+    gap = F.when(first["n"] > 1, 0).otherwise(F.datediff(next_["day"], first["day"]))
     gaps = (
-        days.select(
-            "day", F.row_number().over(order).alias("_rank"), second.alias("second_day")
-        )
-        .where((F.col("_rank") == 1) & F.col("second_day").isNotNull())
-        .select(F.datediff("second_day", "day").alias("gap"))
+        days.where(F.col("day").isNotNull())
+        .groupBy("user_id")
+        .agg(least.alias("least"))
+        .select(gap.alias("gap"))
     )
     return gaps.agg(
         F.min("gap").alias("min_days_to_return"),
@@ -130,16 +129,20 @@ def value_per_user(
 def repeat_buyers(orders: DataFrame) -> DataFrame:
     """Users with more than one priced order: orders, margin, first and last order.
 
-    An order counts once, however often its row is there.
+    An order counts once, however often its row is there: rows come down to one per
+    user and order in fixed-width buffers, then to one per user.
     """
+    gain = F.col("price_usd") - F.col("cogs_usd")
     return (
-        first_per_key(priced(orders), ["order_id"])
+        priced(orders)
+        .groupBy("user_id", "order_id")
+        .agg(F.min(gain).alias("gain"), F.min("created_at").alias("first"), F.max("created_at").alias("last"))
         .groupBy("user_id")
         .agg(
             F.count("order_id").alias("total_orders"),
-            F.sum(F.col("price_usd") - F.col("cogs_usd")).alias("lifetime_margin"),
-            F.min("created_at").alias("first_order"),
-            F.max("created_at").alias("last_order"),
+            F.sum("gain").alias("lifetime_margin"),
+            F.min("first").alias("first_order"),
+            F.max("last").alias("last_order"),
         )
         .where(F.col("total_orders") > 1)
     )

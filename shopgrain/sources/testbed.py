@@ -348,6 +348,20 @@ def store(spark: SparkSession, folder: str) -> Shop:
     return Shop(lambda name: tables[name](spark, folder))
 
 
+# Days of the store on which something goes wrong, by a planted rule.
+FLOOD_DAY, PRICELESS_DAY = "1999-03-10", "1999-05-20"
+
+
+def faulty_store_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Store orders with two planted faults: a day whose orders come six times, and one
+    whose orders have no price."""
+    orders = store_orders(spark, folder).withColumn(
+        "price_usd", F.expr(f"if(to_date(created_at) = date'{PRICELESS_DAY}', null, price_usd)")
+    )
+    again = orders.where(F.expr(f"to_date(created_at) = date'{FLOOD_DAY}'"))
+    return orders.unionByName(again.withColumn("_", F.explode(F.sequence(F.lit(1), F.lit(5)))).drop("_"))
+
+
 def with_copies(shop: Shop) -> Shop:
     """The shop with every seventh row by key standing twice, in all tables with events."""
 

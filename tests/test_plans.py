@@ -18,7 +18,7 @@ def text(df) -> str:
     )
 
 
-EXPANDS = {"v3_deviations": 2, "a22_exclusion_summary": 1}
+EXPANDS = {"v3_deviations": 2}
 
 
 @pytest.mark.parametrize("key", list(QUERIES))
@@ -159,6 +159,44 @@ def test_hot_keys_are_combined_before_the_shuffle(spark):
     assert first.count() == 1 and "Window" not in text(first)
 
 
+def test_audit_reads_each_table_once(spark, tmp_path, shop):
+    from shopgrain.sources.tables import read_shop
+
+    for name, df in shop.named().items():
+        df.write.parquet(str(tmp_path / name))
+    found = audit.exclusion_summary(read_shop(spark, str(tmp_path), unique=True))
+    plan = text(found)
+    for name in shop.named():
+        assert len(re.findall(rf"Location: .*/{name}\]", plan)) == 1, name
+    want = {r["issue"]: r["records"] for r in audit.exclusion_summary(shop).collect()}
+    assert {r["issue"]: r["records"] for r in found.collect()} == want and sum(want.values()) > 5
+
+
+def test_audit_of_repeated_and_missing_keys(spark, shop):
+    """Figures of the summary where sessions repeat with other times, and views have none."""
+    from shopgrain.sources.tables import Shop
+
+    later = shop.sessions.where("website_session_id in (3, 13)").withColumn("created_at", F.lit("2015-01-01").cast("timestamp_ntz"))
+    lost = shop.pageviews.limit(3).withColumn("website_session_id", F.expr("if(website_pageview_id % 2 = 0, 999, null)"))
+    frames = {**shop.named(), "website_sessions": shop.sessions.unionByName(later).unionByName(shop.sessions.limit(2))}
+    frames["website_pageviews"] = shop.pageviews.unionByName(lost)
+    other = Shop(frames.__getitem__)
+    got = {r["issue"]: r["records"] for r in audit.exclusion_summary(other).collect()}
+    assert got["duplicate sessions"] == 4
+    early = audit.early_child_count(other.pageviews, other.sessions, "website_session_id").first()[0]
+    assert got["early page views"] == early > 1
+    assert got["untrimmed tags"] == audit.untrimmed_count(other.sessions).first()[0]
+    bad = {r["issue"]: r["share_pct"] for r in audit.exclusion_summary(other).collect()}["bad price orders"]
+    n_rows = sum(df.count() for df in other.named().values())
+    assert bad == pytest.approx(100 * got["bad price orders"] / n_rows, abs=1e-4)
+
+
+def test_repeat_buyers_and_days_to_return_hash(spark):
+    assert "SortAggregate" not in text(QUERIES["l6_repeat_buyers"](spark, SF))
+    sessions = spark.read.schema("created_at timestamp_ntz, user_id long").parquet(f"{SF}/events.parquet")
+    assert "Window" not in text(customer.days_to_return(sessions))
+
+
 LINE_FACT = ("p5_month_by_product", "p10_lifetime_summary", "p8_monthly_refunds")
 
 
