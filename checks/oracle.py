@@ -1326,3 +1326,8 @@ _put(
        FROM usual WHERE day BETWEEN DATE '1999-01-01' AND DATE '1999-12-31'""",
     "store_orders",
 )
+
+# Reports from stored session facts are those from the tables.
+for _key, _name in (("k1", "k1_master_kpis"), ("k2", "k2_quarterly_channels"), ("k3", "k3_site_funnel"),
+                    ("k5", "k5_monthly_baseline"), ("k6", "k6_monthly_funnel")):
+    ORACLE[f"{_key}_from_facts"] = ORACLE[_name]

@@ -20,6 +20,7 @@ from shopgrain.plans import (
     channels,
     customer,
     experiment,
+    facts,
     funnel,
     growth,
     product,
@@ -174,6 +175,19 @@ def _stored_baseline(spark: SparkSession, folder: str) -> DataFrame:
     return baseline.compare(baseline.daily(spark, base), weeks=8, least=4, tolerance_pct=150.0, where=in_1999)
 
 
+def _from_facts(fn: Callable[[DataFrame], DataFrame]) -> Query:
+    """The report from stored session facts: all months, then some of them once more."""
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        base = work_folder(spark, "facts")
+        shop = testbed.web_shop(spark, folder)
+        facts.refresh(shop, base, DETAIL)
+        facts.refresh(shop, base, DETAIL, [(2014, 2), (2014, 11)])
+        return plain(fn(facts.open_facts(spark, base)))
+
+    return query
+
+
 AUDIT: dict[str, Query] = {
     "a1_rows_website_sessions": _web(lambda s: audit.row_count(s.sessions)),
     "a1_rows_website_pageviews": _web(lambda s: audit.row_count(s.pageviews)),
@@ -445,6 +459,14 @@ REPEATED: dict[str, Query] = {
     "s2_l6_repeat_buyers": _repeated(lambda s: customer.repeat_buyers(s.orders), testbed.store),
 }
 
+FACTS: dict[str, Query] = {
+    "k1_from_facts": _from_facts(lambda f: facts.master_kpis(f)),
+    "k2_from_facts": _from_facts(lambda f: facts.quarterly_channels(f)),
+    "k3_from_facts": _from_facts(lambda f: facts.site_funnel(f, DETAIL)),
+    "k5_from_facts": _from_facts(lambda f: facts.master_kpis(f, "month", Q4_2014)),
+    "k6_from_facts": _from_facts(lambda f: facts.site_funnel(f, DETAIL, Q4_2014, by="month")),
+}
+
 STORED: dict[str, Query] = {
     "s2_stored_sessions": _stored(lambda s: s.sessions, "website_sessions"),
     "s2_stored_order_items": _stored(lambda s: s.order_items, "order_items"),
@@ -499,5 +521,6 @@ QUERIES: dict[str, Query] = {
     **VALIDATION,
     **REPEATED,
     **STORED,
+    **FACTS,
     **WITH_COPIES,
 }

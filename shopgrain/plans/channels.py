@@ -114,9 +114,13 @@ def quarterly_channels(
 ) -> DataFrame:
     """Sessions, orders and revenue, one row per quarter and channel."""
     scope = sessions.where(ch.in_scope() & span.holds())
+    return channel_figures(with_baskets(scope, orders, items, orphan))
+
+
+def channel_figures(visits: DataFrame) -> DataFrame:
+    """The figures of :func:`quarterly_channels` from sessions with their baskets."""
     return (
-        with_baskets(scope, orders, items, orphan)
-        .groupBy(*bucket("quarter"), ch.label().alias("channel"))
+        visits.groupBy(*bucket("quarter"), ch.label().alias("channel"))
         .agg(
             F.count(F.lit(1)).alias("sessions"),
             total("n_orders").alias("orders"),

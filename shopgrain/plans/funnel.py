@@ -178,11 +178,16 @@ def site_funnel(
     joined = sessions.where(span.holds() & in_scope()).join(
         page_flags(pageviews, pages), SESSION, "left"
     )
+    return reached(joined, list(pages), by)
+
+
+def reached(visits: DataFrame, names: Sequence[str], by: str | None = None) -> DataFrame:
+    """The figures of :func:`site_funnel` from sessions with their step flags."""
     figures = [F.count(F.lit(1)).alias("total_sessions")] + [
-        total(f"hit_{name}").alias(f"reached_{name}") for name in pages
+        total(f"hit_{name}").alias(f"reached_{name}") for name in names
     ]
     if by is None:
-        return joined.agg(*figures)
+        return visits.agg(*figures)
     keys = bucket(by)
-    out = joined.groupBy(*keys).agg(*figures)
+    out = visits.groupBy(*keys).agg(*figures)
     return out.orderBy(*out.columns[: len(keys)])

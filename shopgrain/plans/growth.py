@@ -81,7 +81,14 @@ def basket_kpis(
         scope = session_rows(scope, *keys)
         keys = [F.col(f"`{c}`") for c in scope.columns if c not in (SESSION, "n_rows")]
         n_items, revenue = F.col("n_items") * F.col("n_rows"), revenue * F.col("n_rows")
-    grouped = with_baskets(scope, orders, items, orphan, repeats).groupBy(*keys).agg(
+    return line_figures(with_baskets(scope, orders, items, orphan, repeats), keys, n_items, revenue)
+
+
+def line_figures(
+    visits: DataFrame, keys: Sequence[Column], n_items: str | Column = "n_items", revenue: str | Column = "item_revenue"
+) -> DataFrame:
+    """The figures of :func:`basket_kpis` from sessions with their baskets."""
+    grouped = visits.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("sessions"),
         total("n_orders").alias("orders"),
         total(n_items).alias("_items"),
@@ -244,20 +251,16 @@ def master_kpis(
     repeats: bool = False,
 ) -> DataFrame:
     """Line-level KPI table per quarter, or per month of a window as a baseline."""
+    scope = in_scope() & span.holds()
+    return kpi_table(basket_kpis(sessions, orders, items, bucket(by), scope, orphan, repeats), by)
+
+
+def kpi_table(figures: DataFrame, by: str) -> DataFrame:
+    """The columns of the master table, in its order."""
     keys = BUCKETS[by]
-    return (
-        basket_kpis(sessions, orders, items, bucket(by), in_scope() & span.holds(), orphan, repeats)
-        .select(
-            *keys,
-            "sessions",
-            "orders",
-            "conv_rate_pct",
-            "avg_order_value",
-            "rev_per_session",
-            "total_revenue",
-        )
-        .orderBy(*keys)
-    )
+    return figures.select(
+        *keys, "sessions", "orders", "conv_rate_pct", "avg_order_value", "rev_per_session", "total_revenue"
+    ).orderBy(*keys)
 
 
 def overall_order_value(sessions: DataFrame, orders: DataFrame, span: Span = ALWAYS) -> DataFrame:
