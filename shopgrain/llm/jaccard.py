@@ -11,8 +11,8 @@ once. Results are exact up to collisions of the hashes.
    task counts windows of a bounded number of tokens and reports what it saw twice or more,
    so a token in more texts than there are windows is never missed. Frequencies only decide
    how many groups are met, not which links are found.
-2. Similar nodes are put into groups: nodes with the same least shared token, cut by hash into
-   parts of bounded size. All sets of a group are compared in one task, which goes on only
+2. Similar nodes are put into groups: nodes with the same least token hash of their whole set,
+   as most similar sets have, cut by hash into parts of bounded size. All sets of a group are compared in one task, which goes on only
    for pairs that are not yet connected. What was cut is grouped once more by another hash,
    so a large group of near copies is connected without all its pairs.
 3. The classes so far, cut into parts of bounded size and of sets of about one size, become
@@ -176,11 +176,14 @@ def frequent_tokens(docs: DataFrame, text: str, shingle: int, limit: int, least:
     return {r["token"] % (1 << 64): r["n"] for r in most_frequent(found.where(F.col("n") >= least), "token", limit)}
 
 
-_PREFIX = "token long, node long, n int, hot boolean"
+_PREFIX = "token long, node long, n int, least long, hot boolean"
 
 
 def _prefixes(docs: DataFrame, text: str, shingle: int, percent: int, frequent: dict[int, int]) -> DataFrame:
-    """Prefix rows (token, node, n, hot), each once, of tokens that another node may have too."""
+    """Prefix rows (token, node, n, least, hot), each once, of tokens that another node may have too.
+
+    ``least`` is the least token of the whole set.
+    """
     known = np.array(sorted(frequent), np.uint64)
     times = np.array([frequent[t] for t in sorted(frequent)], np.int64)
     shared = docs.sparkSession.sparkContext.broadcast((known, times))  # bounded by ``frequent``
@@ -200,7 +203,8 @@ def _prefixes(docs: DataFrame, text: str, shingle: int, percent: int, frequent:
                 seen.add(node)
                 best, hot = prefix(tokens, *shared.value, percent)
                 n = len(best)
-                parts.append((best.view(np.int64), np.full(n, node, np.int64), np.full(n, len(tokens), np.int32), hot))
+                sizes, least = np.full(n, len(tokens), np.int32), np.repeat(tokens[:1].view(np.int64), n)
+                parts.append((best.view(np.int64), np.full(n, node, np.int64), sizes, least, hot))
                 rows += n
                 if rows > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=names)
@@ -221,10 +225,10 @@ def _prefixes(docs: DataFrame, text: str, shingle: int, percent: int, frequent:
             rows = [c[np.append(True, ~same)] for c in rows]
             met = rows[0][1:] == rows[0][:-1]
             before = np.append(linked, met)
-            keep = before[:-1] | met | rows[3][:-1]
+            keep = before[:-1] | met | rows[4][:-1]
             yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep]) for c in rows], names=names)
             last, linked = [c[-1:] for c in rows], bool(before[-1])
-        if last is not None and (linked or last[3][0]):
+        if last is not None and (linked or last[4][0]):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in last], names=names)
 
     made = _body(docs, text).mapInArrow(run, _PREFIX)
@@ -383,7 +387,10 @@ def _candidates(placed: DataFrame, prefixes: DataFrame, percent: int) -> tuple[D
         rows.groupBy("token", "part", "owner", "size").agg(F.min("n").alias("least"), F.max("n").alias("most")), "matrix"
     )
     theirs = matrix.withColumnsRenamed({"part": "group", "owner": "other", "size": "larger"})
-    met = rows.join(theirs, "token").where("owner <> other and (size < larger or size = larger and owner < other)")
+    met = rows.join(theirs, "token").where(
+        F.expr("owner <> other and (size < larger or size = larger and owner < other)")
+        & F.expr(f"{percent}L * least <= 100L * n and {percent}L * n <= 100L * most")
+    )
     counted = met.groupBy("node", "n", "group").agg(
         F.count("*").alias("shared"), F.min("least").alias("least"), F.max("most").alias("most")
     )
@@ -407,9 +414,7 @@ def links(
     """Edges (a, b) between nodes that connect all that the links connect."""
     known = frequent_tokens(docs, text, shingle, frequent)
     prefixes = stored(_prefixes(docs, text, shingle, percent, known), "prefixes")
-    # Rare tokens first, so that frequent ones group only what shares nothing else.
-    rank = F.min(F.when(F.col("hot"), F.lit(1 << 61)).otherwise(F.lit(0)) + F.shiftrightunsigned(F.xxhash64("token"), 3))
-    live = prefixes.groupBy("node").agg(F.first("n").alias("n"), rank.alias("least"))
+    live = prefixes.groupBy("node").agg(F.first("n").alias("n"), F.first("least").alias("least"))
     grouped = stored(_cut(stored(live, "nodes"), "least", 0, group_sets, group_tokens), "groups")
     texts = stored(_texts(docs, text, shingle, grouped), "texts")
     pairs = grouped.where("together > 1").select("part").distinct()
