@@ -41,6 +41,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -73,12 +74,12 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    return zstandard.compress(counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return zstandard.compress(counts.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
 def unpack_counts(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint64).ravel().astype(np.int64)
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,6 +162,33 @@ def map_array(folder: str, file: str, dtype: str) -> np.ndarray:
         return np.frombuffer(mmap.mmap(local.fileno(), 0, access=mmap.ACCESS_READ), dtype)
 
 
+class Counts:
+    """Mapped counts: a byte each, and those from 255 on in a list of places and 64-bit values."""
+
+    MOST = 255
+
+    def __init__(self, folder: str, files: tuple[str, str] | None) -> None:
+        small, large = files or ("", "")
+        self.small = map_array(folder, small, "u1") if small else np.empty(0, "u1")
+        self.places, self.values = (map_array(folder, large, "i8") if large else np.empty(0, "i8")).reshape(2, -1)
+
+    def __len__(self) -> int:
+        return len(self.small)
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        found = self.small[places].astype(np.int64)
+        full = found == self.MOST
+        if full.any():
+            found[full] = self.values[np.searchsorted(self.places, places[full])]
+        return found
+
+    @classmethod
+    def write(cls, folder: str, name: str, counts: np.ndarray) -> list[str]:
+        large = np.flatnonzero(counts >= cls.MOST)
+        small = write_array(folder, name, np.minimum(counts, cls.MOST).astype(np.uint8))
+        return [small, write_array(folder, f"{name}-large", np.stack([large, counts[large]]).astype(np.int64)) if len(large) else ""]
+
+
 # --- the model -----------------------------------------------------------------------
 
 
@@ -179,7 +207,7 @@ class Vocabulary:
     """Shards of the sorted word hashes: files, first id and first hash of each."""
 
     folder: str
-    files: tuple[tuple[str, str], ...]  # hashes, counts
+    files: tuple[tuple[str, str, str], ...]  # hashes, counts, large counts
     starts: tuple[int, ...]
     size: int
     tokens: int
@@ -191,7 +219,7 @@ class Level:
     """N-grams of one length: files and first place of each shard, first keys, discounts."""
 
     keys: tuple[str | None, ...]
-    counts: tuple[str | None, ...]  # below the order: of continuations
+    counts: tuple[tuple[str, str] | None, ...]  # with the large ones; below the order: of continuations
     histories: tuple[tuple[str, str] | None, ...]  # those of many followers, their figures
     starts: tuple[int, ...]
     size: int
@@ -222,8 +250,8 @@ class Words:
 
     def __init__(self, vocabulary: Vocabulary, memory: int = 400_000) -> None:
         self.v, self.memory = vocabulary, memory
-        self.hashes = [map_array(vocabulary.folder, h, "u8") for h, _ in vocabulary.files]
-        self._counts: list[np.ndarray] | None = None
+        self.hashes = [map_array(vocabulary.folder, f[0], "u8") for f in vocabulary.files]
+        self._counts: list[Counts] | None = None
         self._recent: dict[bytes, int] = {}
 
     def find(self, words: list[bytes]) -> np.ndarray:
@@ -231,7 +259,7 @@ class Words:
         if len(self._recent) > self.memory:
             self._recent.clear()
         get = self._recent.get
-        ids = np.array([get(w, -2) for w in words], np.int64)
+        ids = np.fromiter(map(get, words, repeat(-2)), np.int64, len(words))
         missing = np.flatnonzero(ids == -2)
         if len(missing):
             new = list({words[i] for i in missing.tolist()})
@@ -248,19 +276,20 @@ class Words:
             ids[missing] = [self._recent[words[i]] for i in missing.tolist()]
         return ids
 
-    def pick(self, ids: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    def pick(self, ids: np.ndarray, tables: list) -> np.ndarray:
         """Values by id (-1: 0) from arrays that are laid out as the vocabulary shards."""
         out = np.zeros(len(ids), np.int64)
         shard = np.searchsorted(self.v.starts, ids, "right") - 1
         for s in np.unique(shard[ids >= 0]).tolist():
             rows = (shard == s) & (ids >= 0)
-            if len(tables[s]):
-                out[rows] = tables[s][ids[rows] - self.v.starts[s]]
+            if len(table := tables[s]):
+                at = ids[rows] - self.v.starts[s]
+                out[rows] = table.at(at) if isinstance(table, Counts) else table[at]
         return out
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
         if self._counts is None:
-            self._counts = [map_array(self.v.folder, c, "u4") for _, c in self.v.files]
+            self._counts = [Counts(self.v.folder, f[1:]) for f in self.v.files]
         return self.pick(ids, self._counts)
 
 
@@ -300,6 +329,12 @@ class Keys:
         self.folder, self.levels, self.end_id = vocabulary.folder, levels, end_id
         self.bits = np.uint64(word_bits(vocabulary))
         self._maps: dict[str, np.ndarray] = {}
+        self._counts: dict[tuple[str, str] | None, Counts] = {}
+
+    def counts(self, files: tuple[str, str] | None) -> Counts:
+        if files not in self._counts:
+            self._counts[files] = Counts(self.folder, files)
+        return self._counts[files]
 
     def array(self, file: str | None, dtype: str) -> np.ndarray:
         if file is None:
@@ -377,7 +412,7 @@ def train(docs: DataFrame, text: str = "text", shard_tokens: int = 4_000_000, or
             at, times = np.unique(cuts, return_counts=True)
             yield _figures(
                 shard=shard,
-                files=[write_array(folder, "words", keys), write_array(folder, "counts", counts.astype(np.uint32))],
+                files=[write_array(folder, "words", keys), *Counts.write(folder, "counts", counts)],
                 figures=[len(keys), int(counts.sum()), *np.stack([at, times], 1).ravel().tolist()],
             )
 
@@ -388,7 +423,7 @@ def train(docs: DataFrame, text: str = "text", shard_tokens: int = 4_000_000, or
         starts.append(size)
         r = by_number.get(s)
         if r is None:
-            files.append(("", ""))
+            files.append(("", "", ""))
             continue
         files.append(tuple(r["files"]))
         n, t, *more = r["figures"]
@@ -457,7 +492,7 @@ def train(docs: DataFrame, text: str = "text", shard_tokens: int = 4_000_000, or
         told = {r["shard"]: r for r in rows.mapInArrow(write_grams, FIGURES).collect()}
         shards_of = range(len(bounds) + 1)
         sizes = [told[n]["figures"][0] if n in told else 0 for n in shards_of]
-        first = [sum(sizes[:n]) for n in shards_of]
+        first = [0, *np.cumsum(sizes).tolist()][: len(sizes)]
         if not longest:
             if sum(sizes) >= 1 << (64 - bits):
                 raise ValueError(f"too many {length}-grams for 64-bit keys")
@@ -515,8 +550,8 @@ def train(docs: DataFrame, text: str = "text", shard_tokens: int = 4_000_000, or
 
 def _level(keys: list, files: list, starts, size: int, bounds: np.ndarray) -> Level:
     """``files``: counts, histories and their figures of each shard, if it has them."""
-    counts = tuple(f[0] if f else None for f in files)
-    return Level(tuple(keys), counts, tuple(tuple(f[1:]) if f else None for f in files), tuple(starts), size, bounds)
+    counts = tuple(tuple(f[:2]) if f else None for f in files)
+    return Level(tuple(keys), counts, tuple(tuple(f[2:]) if f else None for f in files), tuple(starts), size, bounds)
 
 
 def _times(counts: np.ndarray) -> list[int]:
@@ -553,7 +588,7 @@ def write_counts(folder: str, keys: np.ndarray, counts: np.ndarray, bits: int) -
     many = np.diff(np.append(first, len(keys))) > FEW
     figures = np.stack([np.add.reduceat(x, first, dtype=np.int64)[many] for x in (counts, counts == 1, counts == 2, counts >= 3)], 1)
     return [
-        write_array(folder, "counts", counts.astype(np.uint32)),
+        *Counts.write(folder, "counts", counts),
         write_array(folder, "histories", history[first][many]),
         write_array(folder, "history-figures", figures.astype(np.uint64)),
     ]
@@ -587,14 +622,13 @@ class Scorer:
         d = np.array([0.0, *m.low])[np.minimum(c, 3)]
         return (c - d) / m.pairs + m.low_mass / (m.vocabulary.size + 1)
 
-    def _counts(self, level: Level, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted keys."""
-        places = self.keys.places(level, keys)
+    def _counts(self, level: Level, keys: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Counts of sorted keys that are at these places (-1: nowhere)."""
         out = np.zeros(len(keys), np.int64)
         shard = np.searchsorted(level.bounds, keys, "right")
         for n in np.unique(shard[places >= 0]).tolist():
             rows = (shard == n) & (places >= 0)
-            out[rows] = self.keys.array(level.counts[n], "u4")[places[rows] - level.starts[n]]
+            out[rows] = self.keys.counts(level.counts[n]).at(places[rows] - level.starts[n])
         return out
 
     def _histories(self, level: Level, ids: np.ndarray) -> np.ndarray:
@@ -614,12 +648,12 @@ class Scorer:
         return out
 
     def _add(self, out, level: Level, n: int, rows: np.ndarray, ids, low: np.ndarray, high: np.ndarray) -> None:
-        table, counts = self.keys.array(level.keys[n], "u8"), self.keys.array(level.counts[n], "u4")
+        table, counts = self.keys.array(level.keys[n], "u8"), self.keys.counts(level.counts[n])
         a, b = np.searchsorted(table, low), np.searchsorted(table, high, "right")
         many = b - a > FEW
         for k in range(FEW):
             hit = ~many & (a + k < b)
-            c = counts[a[hit] + k].astype(np.int64)
+            c = counts.at(a[hit] + k)
             out[rows[hit]] += np.stack([c, c == 1, c == 2, c >= 3], 1)
         if many.any():
             at = np.searchsorted(self.keys.array(level.histories[n][0], "u8"), ids[many])
@@ -636,20 +670,36 @@ class Scorer:
         return n, np.add.reduceat(counts > 0, starts, dtype=np.int64), *(np.add.reduceat(x, starts) for x in (base, chance))
 
     def _chance(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        chance = self._low(ids)
-        for level, (history, keys) in zip(self.m.levels, self.keys.histories(ids, starts)):
-            seen, place = np.unique(history, return_inverse=True)
+        """Chance of each token, level by level. Distinct n-grams are searched once: their
+        places are their counts' and, for the next level, the histories."""
+        chance, bits = self._low(ids), self.keys.bits
+        before = np.concatenate([[self.end_id], ids[:-1]])
+        before[starts] = self.end_id
+        seen, place = np.unique(before, return_inverse=True)  # histories, -1 for unknown ones
+        for n, level in enumerate(self.m.levels):
             known = seen >= 0
             figures = np.zeros((len(seen), 4), np.int64)
             figures[known] = self._histories(level, seen[known])
             total = np.maximum(figures[:, 0], 1)
             left = np.where(figures[:, 0] > 0, figures[:, 1:] @ np.array(level.discounts) / total, 1.0)
+            history = seen[place]
             both = (history >= 0) & (ids >= 0)
-            distinct, back = np.unique(keys[both], return_inverse=True)
+            keys = (history[both].astype(np.uint64) << bits) | ids[both].astype(np.uint64)
+            distinct, back = np.unique(keys, return_inverse=True)
+            found = self.keys.places(level, distinct)
             c = np.zeros(len(ids), np.int64)
-            c[both] = self._counts(level, distinct)[back]
+            c[both] = self._counts(level, distinct, found)[back]
             d = np.array([0.0, *level.discounts])[np.minimum(c, 3)]
             chance = (c - d) / total[place] + left[place] * chance
+            if n + 1 < len(self.m.levels):
+                # Places grow with their keys, so they are in order already.
+                there = found >= 0
+                seen = np.concatenate([[-1], found[there], [level.size]])
+                rank = np.where(there, np.cumsum(there), 0)
+                own = np.zeros(len(ids), np.int64)
+                own[both] = rank[back]
+                place = np.concatenate([[len(seen) - 1], own[:-1]])
+                place[starts] = len(seen) - 1
         return chance
 
 

@@ -631,3 +631,16 @@ def test_longer_histories_equal_brute_force(spark, docs, nothing, order, shard_t
         want = sum(math.log10(p(tuple(w[k - order + 1 : k + 1]))) for k in range(order - 1, len(w)))
         assert r["score"] == pytest.approx(want)
     assert {r["score"] for r in kneser_ney.score(docs, kneser_ney.train(nothing, order=order)).collect()} == {0.0}
+
+
+def test_counts_beyond_32_bits(tmp_path):
+    folder = (tmp_path / "model").as_uri()
+    counts = np.array([1, 254, 255, 256, 7, 2**32 + 5, 2**40, 0], np.int64)
+    for given in (counts, counts[:2], counts[:0]):
+        held = kneser_ney.Counts(folder, tuple(kneser_ney.Counts.write(folder, "c", given)))
+        assert len(held) == len(given) and held.at(np.arange(len(given))).tolist() == given.tolist()
+    assert kneser_ney.Counts(folder, None).at(np.empty(0, np.int64)).tolist() == []
+    keys = np.arange(8, dtype=np.uint64)
+    rows = [b for _ in range(2) for b in kneser_ney.shard_rows(keys, counts, np.empty(0, np.uint64))]
+    ((shard, k, c),) = kneser_ney.merged(iter(rows))
+    assert shard == 0 and k.tolist() == keys.tolist() and c.tolist() == (2 * counts).tolist()
