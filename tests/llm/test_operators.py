@@ -11,6 +11,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -452,6 +453,36 @@ def test_shards_are_near_equal_and_gapless(spark, fanout):
     assert all(r["text_crc32"] == zlib.crc32((b"hot")) for r in out if r["doc_id"] == 5)
 
 
+def test_cuts_equal_brute_force(spark):
+    """Every cut is the border of rows nearest to its target, or within the tolerance."""
+    rng = random.Random(11)
+    for keys in ([rng.getrandbits(64) - 2**63 for _ in range(3000)], [rng.randrange(40) for _ in range(500)], [-(2**63), 2**63 - 1, 0]):
+        sizes = [rng.randint(1, 50) for _ in keys]
+        rows = spark.createDataFrame([(k, i, s) for i, (k, s) in enumerate(zip(keys, sizes))], "_major long, _minor long, size long").cache()
+        for cuts in (1, 7, 100):
+            got = sharding.splitters(rows, cuts, tolerance=0.0)
+            order = sorted(zip(keys, range(len(keys)), sizes))
+            borders = np.concatenate([[0], np.cumsum([s for *_, s in order])])
+            for i, c in enumerate(got):
+                target = borders[-1] * (i + 1) / (cuts + 1)
+                below = sum(s for k, m, s in order if (k, m) < (c.major, c.minor))
+                assert abs(below - target) == pytest.approx(np.abs(borders - target).min()), (cuts, i)
+
+
+def test_many_cuts_of_wide_keys(spark):
+    """Two thousand cuts over random 64-bit keys; the plan has no branch for each."""
+    rows = spark.range(0, 50_000, 1, 8).select(
+        F.xxhash64("id").alias("_major"), F.col("id").alias("_minor"), (F.col("id") % 90 + 10).alias("size")
+    ).cache()
+    total = rows.agg(F.sum("size")).first()[0]
+    started = time.time()
+    cuts = sharding.splitters(rows, 2000)
+    assert time.time() - started < 60  # some ten seconds on an idle machine
+    placed = rows.withColumn("cell", sharding._passed(cuts)).groupBy("cell").agg(F.sum("size").alias("n")).collect()
+    assert len(cuts) == 2000 and len(placed) == 2001
+    assert max(abs(r["n"] - total / 2001) for r in placed) <= 100
+
+
 def test_shards_of_awkward_rows(docs, nothing):
     out = sharding.shard(docs).collect()
     assert len(out) == len(AWKWARD)
