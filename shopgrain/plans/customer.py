@@ -19,6 +19,7 @@ def _session_type():
 def visit_buckets(sessions: DataFrame, span: Span = Span.of_year(2014)) -> DataFrame:
     """Users by their number of sessions: 1, 2, 3, 4 or more."""
     n = F.col("total_sessions")
+    # Names of the groups.
     name = (
         F.when(n == 1, "1 session")
         .when(n == 2, "2 sessions")
@@ -112,6 +113,7 @@ def value_per_user(
             F.coalesce(F.sum("order_revenue"), F.lit(0)).alias("revenue"),
         )
     )
+    # Names of the groups.
     kind = F.when(F.col("n_sessions") == 1, "Single visit").otherwise("Returned at least once")
     n = F.count(F.lit(1))
     return (

@@ -249,6 +249,7 @@ def refund_periods(
     repeats: bool = False,
 ) -> DataFrame:
     """Refund rate of one product in named periods, as around a supplier change."""
+    # Names and dates of the periods around the supplier change.
     periods = periods or {
         "A_before_new_supplier": Span("2014-06-01", "2014-09-01"),
         "B_transition_sep2014": Span("2014-09-01", "2014-10-01"),

@@ -333,6 +333,7 @@ def test_repeat_buyers(shop):
 
 
 def test_leak_value_does_not_round_in_between(spark):
+    # The published inputs and results of this estimate.
     funnel_row = spark.createDataFrame([(12079, 43.4)], "sessions_at_product_detail bigint, detail_to_cart_pct double")
     aov = spark.createDataFrame([(63.79,)], "avg_order_value double")
     assert one(sizing.leak_value(funnel_row, aov)) == {
@@ -345,6 +346,7 @@ def test_leak_value_does_not_round_in_between(spark):
 
 
 def test_budget_sizing(spark):
+    # The published inputs and results of these estimates.
     averages = spark.createDataFrame(
         [(24016.0, 1893.67, 63.88, 0.0787, 5.03, 11878.0, 5398.0, 0.451, 0.352)],
         "sessions double, orders double, order_value double, conversion double, "
