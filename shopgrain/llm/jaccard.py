@@ -14,7 +14,8 @@ once. Results are exact up to collisions of the hashes.
 2. Similar nodes are put into groups: nodes with the same least token hash of their whole set,
    as most similar sets have, cut by hash into parts of bounded size. All sets of a group are compared in one task, which goes on only
    for pairs that are not yet connected. What was cut is grouped once more by another hash,
-   so a large group of near copies is connected without all its pairs.
+   so a large group of near copies is connected without all its pairs. Nodes that still meet
+   other classes under a second or third hash of their tokens are grouped by it as well.
 3. The classes so far, cut into parts of bounded size and of sets of about one size, become
    the groups of the matrix (single nodes keep the groups of step 2). The matrix has a row for
    each token and group that has it in the prefix of a member, and for each group the union
@@ -238,46 +239,63 @@ def _prefixes(docs: DataFrame, text: str, shingle: int, percent: int, frequent:
     return made.repartition("token", apart).sortWithinPartitions("token", "node").mapInArrow(again, _PREFIX)
 
 
-_TEXTS = "node long, part long, body binary"
+_TEXTS = "node long, n int, part long, again long, hash1 long, hash2 long, body binary"
+_BROADCAST = 2_000_000  # rows of one or two numbers that each task may hold
+
+
+def _checked(rows: DataFrame) -> DataFrame:
+    """``rows`` (a written table) marked for a broadcast if they are few enough to be held."""
+    return F.broadcast(rows) if rows.count() <= _BROADCAST else rows
+
+
+def _least(tokens: np.ndarray, seed: int) -> int:
+    """The least of the tokens in another order, which similar sets mostly have in common."""
+    mixed = (tokens ^ np.uint64(seed * 0x5851F42D4C957F2D % (1 << 64))) * _MIX
+    return int((mixed ^ (mixed >> np.uint64(31))).min().view(np.int64))
 
 
 def _texts(docs: DataFrame, text: str, shingle: int, live: DataFrame) -> DataFrame:
-    """node, part and body of the ``live`` nodes (node, part): one text of each, compressed."""
+    """One text of each of the ``live`` nodes (node, n, part, again), compressed."""
+    names = [c.split()[0] for c in _TEXTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            nodes, bodies = [], []
+            rows = []
             for value in batch.column(0):
                 body = value.as_py()
-                node = _node(token_set(body, shingle))
-                if node not in seen:
-                    nodes.append(node)
-                    bodies.append(pack(body))
+                tokens = token_set(body, shingle)
+                node = _node(tokens)
+                if node not in seen and len(tokens):
+                    rows.append((node, len(tokens), None, None, _least(tokens, 1), _least(tokens, 2), pack(body)))
                 if len(seen) >= _SEEN:
                     seen.clear()
                 seen.add(node)
-            columns = [pa.array(nodes, pa.int64()), pa.nulls(len(nodes), pa.int64()), pa.array(bodies, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "part", "body"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(names), types)], names=names
+            )
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The first text of each node that is marked live: the mark has a part and comes before."""
-        marked = part = done = None
+        marked = part = again = done = None
         for batch in batches:
-            keep, parts = [], []
-            for node, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            keep, parts, agains = [], [], []
+            for node, own, more in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
                 if own is not None:
-                    marked, part = node, own
+                    marked, part, again = node, own, more
                 keep.append(own is None and node == marked and node != done)
                 parts.append(part)
+                agains.append(again)
                 if keep[-1]:
                     done = node
-            columns = [batch.column(0), pa.array(parts, pa.int64()), batch.column(2)]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "part", "body"]).filter(pa.array(keep, pa.bool_()))
+            columns = [*batch.columns[:2], pa.array(parts, pa.int64()), pa.array(agains, pa.int64()), *batch.columns[4:]]
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
+    types = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]] for c in _TEXTS.split(", ")]
     made = _body(docs, text).where(F.length("body") > 0).mapInArrow(run, _TEXTS)
-    marks = live.select("node", "part", F.lit(None).cast("binary").alias("body"))
+    none = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in _TEXTS.split(", ")[4:]]
+    marks = live.select("node", "n", "part", "again", *none)
     order = ["node", F.col("part").isNull()]
     return made.unionByName(marks).repartition("node").sortWithinPartitions(*order).mapInArrow(first, _TEXTS)
 
@@ -416,18 +434,27 @@ def links(
     prefixes = stored(_prefixes(docs, text, shingle, percent, known), "prefixes")
     live = prefixes.groupBy("node").agg(F.first("n").alias("n"), F.first("least").alias("least"))
     grouped = stored(_cut(stored(live, "nodes"), "least", 0, group_sets, group_tokens), "groups")
-    texts = stored(_texts(docs, text, shingle, grouped), "texts")
-    pairs = grouped.where("together > 1").select("part").distinct()
-    near = stored(_join_groups(texts.join(pairs, "part", "left_semi"), shingle, percent), "edges")
-    again = grouped.where("cuts > 1").select("least", "node", "n")
-    if not again.isEmpty():
-        split = _cut(again, "least", 1, group_sets, group_tokens).select("node", "part")
-        near = near.unionByName(
-            stored(_join_groups(texts.drop("part").join(split, "node"), shingle, percent), "edges")
-        )
+    cut_again = F.xxhash64("least", F.pmod(F.xxhash64("node", F.lit(1)), "cuts"), F.lit(1))
+    # A part for what is alone in its group as well, which marks it as live.
+    live = grouped.withColumn("again", F.when(F.col("cuts") > 1, cut_again))
+    texts = stored(_texts(docs, text, shingle, live), "texts")
+    together = grouped.groupBy("part").agg(F.count("*").alias("sets")).where("sets > 1").select("part")
+    near = stored(_join_groups(texts.join(_checked(stored(together, "parts")), "part", "left_semi"), shingle, percent), "edges")
+    again = texts.where("again is not null").drop("part").withColumnRenamed("again", "part")
+    near = near.unionByName(stored(_join_groups(again, shingle, percent), "edges"))
+    stars = components(near)
+    for turn in (1, 2):
+        hashed = texts.select("node", "n", F.col(f"hash{turn}").alias("least")).join(stars, "node", "left")
+        hashed = hashed.withColumn("class", F.coalesce("component", "node"))
+        several = hashed.groupBy("least").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
+        mixed = hashed.join(several.select("least"), "least", "left_semi").select("node", "n", "least")
+        parts = stored(_cut(mixed, "least", 2 + turn, group_sets, group_tokens).select("node", "part"), "parts")
+        if not parts.isEmpty():
+            found = _join_groups(texts.drop("part").join(_checked(parts), "node"), shingle, percent)
+            near = near.unionByName(stored(found, "edges"))
+            stars = components(near)
 
     # The groups of the matrix: classes cut into parts, and what is still single.
-    stars = components(near)
     classed = grouped.select("node", "n", F.col("part").alias("single")).join(stars, "node", "left")
     classed = classed.withColumn("class", F.coalesce("component", "node")).drop("component")
     cut = _cut(classed, "class", 2, group_sets, group_tokens)
@@ -443,13 +470,14 @@ def links(
         ),
         "placed",
     )
-    texts = texts.drop("part")
     _, asked = _candidates(placed, prefixes, percent)
     asked = stored(asked, "queries")
     if asked.isEmpty():
         return near
     wanted = asked.select("part").distinct()
     members = stored(placed.select("node", "part", F.col("class").alias("owner")).join(wanted, "part", "left_semi"), "members")
+    needed_nodes = stored(asked.select("node").unionByName(members.select("node")).distinct(), "needed")
+    texts = stored(texts.select("node", "body").join(_checked(needed_nodes), "node", "left_semi"), "texts")
     unions = stored(_unions(members.select("node", "part"), texts, shingle), "unions")
     bodies = unions.select("part", F.lit(None).cast("long").alias("node"), F.col("least").cast("long").alias("owner"), F.col("tokens").alias("body"))
 
