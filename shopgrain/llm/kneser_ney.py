@@ -34,6 +34,7 @@ a text scores 0 per token (log10 of 1 / (V + 1)).
 
 from __future__ import annotations
 
+import gc
 import mmap
 import os
 import tempfile
@@ -48,7 +49,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
@@ -130,6 +131,15 @@ def merged(batches: Iterator[pa.RecordBatch], room: int = 1 << 22) -> Iterator[t
         yield now, *add_up()
 
 
+def let_go(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more.
+
+    It does so after a collection in the driver, which may be long in coming there.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def by_shard(rows: DataFrame, shards: int) -> DataFrame:
     """One shard to a task."""
     return rows.repartitionById(max(shards, 1), "shard")
@@ -490,6 +500,8 @@ def train(docs: DataFrame, text: str = "text", shard_tokens: int = 4_000_000, or
 
         rows = by_shard(texts.mapInArrow(count_grams, SHARDS), len(bounds) + 1)
         told = {r["shard"]: r for r in rows.mapInArrow(write_grams, FIGURES).collect()}
+        del rows
+        let_go(spark)
         shards_of = range(len(bounds) + 1)
         sizes = [told[n]["figures"][0] if n in told else 0 for n in shards_of]
         first = [0, *np.cumsum(sizes).tolist()][: len(sizes)]
@@ -537,6 +549,8 @@ def train(docs: DataFrame, text: str = "text", shard_tokens: int = 4_000_000, or
         parts = len(vocabulary.files) if below is None else len(below.bounds) + 1
         spread = names.repartition(max(names.count(), 1)).mapInArrow(send, SHARDS)
         told = {r["shard"]: r for r in by_shard(spread, parts).mapInArrow(write_continuations, FIGURES).collect()}
+        del spread
+        let_go(spark)
         sums = [sum(r["figures"][k] for r in told.values()) for k in range(5)]
         found = [told[k]["files"] if k in told else None for k in range(parts)]
         if below is not None:
