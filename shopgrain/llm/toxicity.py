@@ -4,16 +4,21 @@ Five small transducers read a text as a sequence of symbols: an insult, a threat
 target (you, they, ...), a negation, a reporting verb, a clause end, or any other word.
 Each keeps what it has seen: a negation is open for a few words, a reporting verb until
 the clause ends, a target stays near for a few words, and so on. They are composed into
-one automaton, so that an insult or threat is emitted as one of the match kinds
-"targeted or not, negated or not, reported or not". Words are never scored alone: a
-document's features are the weights of its matched clauses by kind, and the weight of a
-kind is learned.
+one automaton, read from left to right; a target that comes after the word is found by
+the same transducer read from right to left. So an insult or threat is emitted as one of
+the match kinds "targeted or not, negated or not, reported or not", and the matches of a
+kind in one clause are one matched clause. Clauses are what is scored: a document's
+features are the weights of its matched clauses by kind, and the largest, number and rate
+of them by stance (addressed, open, negated, reported). No feature adds up across
+stances; the weights of all are learned.
 
 Learning uses at most ``max_rows`` labelled training rows (the labels with the smallest
-hash of their id, a documented bound on the model's training set): insults are the words
+hash of their id, a documented bound on the model's training set): the terms are the words
 and word stems whose presence tells toxic rows from others (log-odds), at most
-``max_terms`` of them, and the weights of the kinds come from a logistic regression. What
-is scored is every row, and a score sees the text alone.
+``max_terms`` of them. A term that stands before its target in more toxic rows than after
+it ("... you") is a threat, any other an insult; the threats listed here count as such
+from the start, with weight 1 where nothing was learned. The weights of the features come
+from a logistic regression. What is scored is every row, and a score sees the text alone.
 
 Nulls: a null text is empty; an empty text has the score of a text without matches. Rows
 whose label is null or missing, or whose id is null, are not learned from. A repeated
@@ -94,8 +99,17 @@ def compose(machines: list[Machine]) -> Machine:
 
 
 # Bits of a match kind: insult, threat, targeted, negated, reported.
-GRAMMAR = compose([emitter(INSULT), emitter(THREAT), memory(TARGET, 4), memory(NEGATION, 3), memory(REPORT, None)])
+NEAR = 4
+GRAMMAR = compose([emitter(INSULT), emitter(THREAT), memory(TARGET, NEAR), memory(NEGATION, 3), memory(REPORT, None)])
+AHEAD = memory(TARGET, NEAR)  # read from right to left
 KINDS = [i + (t << 2) + (n << 3) + (r << 4) for i, t, n, r in product((1, 2), (0, 1), (0, 1), (0, 1))]
+ADDRESSED, OPEN, NEGATED, REPORTED = range(4)
+FEATURES = len(KINDS) + 3 * 4
+
+
+def stance(kind: int) -> int:
+    """Who stands behind a match: reported and negated matches are groups of their own."""
+    return REPORTED if kind & 16 else NEGATED if kind & 8 else ADDRESSED if kind & 4 else OPEN
 
 
 def terms_of(word: str) -> list[str]:
@@ -103,11 +117,26 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in _STEMS if n < len(word))]
 
 
+def beside_target(tokens: list[str]) -> set[str]:
+    """The words that come within two symbols after a target, in its clause."""
+    state, found = 0, set()
+    for token in tokens:
+        symbol = TARGET if token in TARGETS else OTHER if token[0].isalpha() else STOP
+        state, mark = _BESIDE.table[state][symbol]
+        if mark:
+            found.add(token)
+    return found
+
+
+_BESIDE = memory(TARGET, 2, marks=(OTHER,))
+
+
 @dataclass
 class Grammar:
-    """The composed automaton with learned insults: texts to features."""
+    """The composed automaton with learned insults and threats: texts to features."""
 
     insults: Mapping[str, float]
+    threats: Mapping[str, float] = field(default_factory=dict)
     memory: int = 200_000
     _recent: dict[str, tuple] = field(default_factory=dict)
 
@@ -115,9 +144,13 @@ class Grammar:
         fixed = {THREAT: THREATS, TARGET: TARGETS, NEGATION: NEGATIONS, REPORT: REPORTS}
         out = []
         for token in _TOKEN.findall(chunk.lower()):
-            weight = max((self.insults.get(t, 0.0) for t in terms_of(token)), default=0.0)
-            if weight > 0:
-                out.append((INSULT, weight))
+            terms = terms_of(token)
+            insult = max((self.insults.get(t, 0.0) for t in terms), default=0.0)
+            threat = max((self.threats.get(t, 0.0) for t in terms), default=0.0)
+            if threat > insult or token in THREATS and insult > 0:
+                out.append((THREAT, max(threat, insult)))
+            elif insult > 0:
+                out.append((INSULT, insult))
             elif not token[0].isalpha():
                 out.append((STOP, 0.0))
             else:
@@ -128,7 +161,7 @@ class Grammar:
         return made
 
     def matches(self, text: str) -> list[tuple[int, float]]:
-        """(kind, weight) of every match, in order."""
+        """(kind, weight) of every matched clause, in order; a clause counts once a kind."""
         recent, symbols = self._recent, self._symbols
         row = []
         for line in text.split("\n"):
@@ -137,22 +170,36 @@ class Grammar:
         flat = [s for part in row for s in part]
         if not any(s[0] <= THREAT for s in flat):
             return []
-        table, state, found = GRAMMAR.table, 0, []
-        for symbol, weight in flat:
+        table, state, found, clause = GRAMMAR.table, 0, [], {}
+        for at, (symbol, weight) in enumerate(flat):
             state, mark = table[state][symbol]
             if mark:
-                found.append((mark, weight))
+                mark |= self._ahead(flat[at : at + NEAR + 1]) << 2
+                clause[mark] = clause.get(mark, 0.0) + weight
+            elif symbol == STOP and clause:
+                found += clause.items()
+                clause = {}
         return found
 
+    @staticmethod
+    def _ahead(symbols: list[tuple[int, float]]) -> int:
+        """Whether a target follows the first symbol, near and in its clause."""
+        state = mark = 0
+        for symbol, _ in reversed(symbols):
+            state, mark = AHEAD.table[state][symbol]
+        return mark
+
     def features(self, text: str) -> list[float]:
-        found = self.matches(text)
-        by_kind = dict.fromkeys(KINDS, 0.0)
-        for kind, weight in found:
+        by_kind, stances = dict.fromkeys(KINDS, 0.0), [[] for _ in range(4)]
+        for kind, weight in self.matches(text):
             by_kind[kind] += weight
-        weights = [w for _, w in found]
-        # Matches per word: one chance match of a stem means less in a long text.
-        rate = sum(weights) * 100 / (len(text) / 6 + 20)
-        return [*map(math.log1p, by_kind.values()), max(weights, default=0.0), math.log1p(len(weights)), math.log1p(rate)]
+            stances[stance(kind)].append(weight)
+        # Clauses per word: one chance match of a stem means less in a long text.
+        part = 100 / (len(text) / 6 + 20)
+        row = [*map(math.log1p, by_kind.values())]
+        for weights in stances:
+            row += [max(weights, default=0.0), math.log1p(len(weights)), math.log1p(sum(weights) * part)]
+        return row
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
@@ -173,6 +220,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
 @dataclass(frozen=True)
 class Model:
     insults: dict[str, float]
+    threats: dict[str, float]
     weights: tuple[float, ...]
 
 
@@ -192,7 +240,7 @@ def learn(
     min_rows: int = 4,
     min_odds: float = 2.5,
 ) -> Model:
-    """Insults and weights from the training rows."""
+    """Insults, threats and weights from the training rows."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key))
     known = known.groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("_toxic"))
     sample = known.orderBy(F.xxhash64("_key"), "_key").limit(max_rows)
@@ -202,30 +250,28 @@ def learn(
     ).select("text", "_toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        n = [0, 0]
+        # Rows with the term, by label; toxic rows where it stands before, after a target.
+        seen = [Counter() for _ in range(4)]
         for batch in batches:
             for value, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = {w for w in _TOKEN.findall(value.lower()) if w[0].isalpha()}
-                seen[toxic].update({t for w in words for t in terms_of(w)})
-                n[toxic] += 1
-        terms = [*(seen[0] | seen[1]), ""]
-        seen[0][""], seen[1][""] = n
-        yield pa.RecordBatch.from_pydict(
-            {
-                "term": pa.array(terms, pa.string()),
-                "clean": pa.array([seen[0][t] for t in terms], pa.int64()),
-                "toxic": pa.array([seen[1][t] for t in terms], pa.int64()),
-            }
-        )
-
-    counted = rows.mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(
-        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")
-    )
+                tokens = _TOKEN.findall(value.lower())
+                groups = [(toxic, {w for w in tokens if w[0].isalpha()})]
+                if toxic:
+                    groups += [(2, beside_target(tokens[::-1])), (3, beside_target(tokens))]
+                for k, words in groups:
+                    seen[k].update({t for w in words for t in terms_of(w)})
+                seen[toxic][""] += 1
+        terms = [*(seen[0] | seen[1])]
+        columns = [pa.array(terms, pa.string()), *(pa.array([s[t] for t in terms], pa.int64()) for s in seen)]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = ["term", "clean", "toxic", "before", "after"]
+    counted = rows.mapInArrow(count, "term string, clean long, toxic long, before long, after long")
+    counted = counted.groupBy("term").agg(*(F.sum(n).alias(n) for n in names[1:]))
     total = counted.where("term = ''").first()
     clean, toxic = (total["clean"], total["toxic"]) if total else (0, 0)
     base = math.log((toxic + 0.5) / (clean + 0.5))
-    flat = Model({}, (base, *[0.0] * (len(KINDS) + 3)))
+    flat = Model({}, {}, (base, *[0.0] * FEATURES))
     if not clean or not toxic:
         return flat
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
@@ -237,13 +283,14 @@ def learn(
         .limit(max_terms)
         .collect()
     )
-    insults = {r["term"]: r["odds"] for r in best}
-    if not insults:
+    if not best:
         return flat
-    shared = docs.sparkSession.sparkContext.broadcast(insults)
+    threats = {r["term"]: r["odds"] for r in best if r["before"] > r["after"]}
+    insults = {r["term"]: r["odds"] for r in best if r["before"] <= r["after"]}
+    shared = docs.sparkSession.sparkContext.broadcast((insults, threats))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grammar = Grammar(shared.value)
+        grammar = Grammar(*shared.value)
         for batch in batches:
             x = [grammar.features(v) for v in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
@@ -251,7 +298,7 @@ def learn(
     fitted = rows.mapInArrow(featured, "x array<double>, y int").collect()  # max_rows at most
     fitted.sort()
     w = fit_logistic(np.array([r["x"] for r in fitted]), np.array([r["y"] for r in fitted], float))
-    return Model(insults, tuple(w.tolist()))
+    return Model(insults, threats, tuple(w.tolist()))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
@@ -262,7 +309,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     schema = StructType([*kept.schema.fields, StructField(out, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grammar, (base, *weights) = Grammar(shared.value.insults), shared.value.weights
+        model = shared.value
+        grammar, (base, *weights) = Grammar(model.insults, model.threats), model.weights
         for batch in batches:
             z = [base + sum(map(float.__mul__, weights, grammar.features(v or ""))) for v in batch.column(at).to_pylist()]
             p = 1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30)))

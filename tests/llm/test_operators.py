@@ -397,10 +397,54 @@ def test_grammar_marks_clauses():
     assert kinds("you idiot, morons") == [insult + targeted, insult]
     assert kinds("you are not an idiot") == [insult + targeted + negated]
     assert kinds("he said idiot. idiot") == [insult + targeted + reported, insult]
-    assert kinds("we will kill you") == [threat]
+    assert kinds("we will kill you") == [threat + targeted] and kinds("kill. you") == [threat]
+    assert kinds("idiot idiot you") == [insult + targeted] and kinds("idiot a b c d you") == [insult]
     assert kinds("nothing here") == [] and kinds("") == []
 
 
+def test_grammar_against_a_plain_reading():
+    """Kinds and weights by looking at the words around each match, without automata."""
+    rng = random.Random(11)
+    grammar = toxicity.Grammar({"idiot": 3.0, "mor*": 2.0}, {"maul": 1.5})
+    weights = {"idiot": (1, 3.0), "moron": (1, 2.0), "maul": (2, 1.5), "kill": (2, 1.0)}
+    pool = [*weights, "you", "not", "said", "tree", "stone", ",", ".", "\n"]
+    for _ in range(400):
+        words = [rng.choice(pool) for _ in range(rng.randint(0, 30))]
+        want, clause = [], []
+        for word in [*words, "."]:
+            if word not in (",", ".", "\n"):
+                clause.append(word)
+                continue
+            kinds = {}
+            for i, w in enumerate(clause):
+                if w in weights:
+                    kind, weight = weights[w]
+                    near = clause[max(i - 4, 0) : i] + clause[i + 1 : i + 5]
+                    kind += 4 * ("you" in near) + 8 * ("not" in clause[max(i - 3, 0) : i]) + 16 * ("said" in clause[:i])
+                    kinds[kind] = kinds.get(kind, 0) + weight
+            want += kinds.items()
+            clause = []
+        assert grammar.matches(" ".join(words)) == want
+
+
+def test_threats_are_learned_by_where_their_target_stands(spark):
+    rows = [(i, f"w{i} we will grabble you soon", 1) for i in range(0, 60, 3)]
+    rows += [(i, f"w{i} you snollygoster there", 1) for i in range(1, 60, 3)]
+    rows += [(i, f"w{i} we will meet you there soon", 0) for i in range(2, 60, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(docs, docs.select("doc_id", "toxic"))
+    assert "grabble" in model.threats and "snollygoster" in model.insults
+    assert not set(model.threats) & set(model.insults)
+
+
+def test_no_feature_adds_up_across_stances():
+    grammar = toxicity.Grammar({"idiot": 3.0})
+    texts = ["you idiot", "idiot", "not you idiot", "he said you idiot"]
+    used = [{i for i, v in enumerate(grammar.features(t)) if v} for t in texts]
+    assert all(used) and not any(a & b for n, a in enumerate(used) for b in used[:n])
+    assert all(len(grammar.features(t)) == toxicity.FEATURES for t in [*texts, ""])
+
+
 def test_scores_of_awkward_rows(spark, docs, nothing):
     labels = spark.createDataFrame([(i, i % 2) for i in range(12)] + [(0, 1), (None, 1), (5, None)], "doc_id long, toxic int")
     model = toxicity.learn(docs, labels, min_rows=1, min_odds=0.1)
