@@ -162,7 +162,7 @@ def map_array(folder: str, file: str, dtype: str) -> np.ndarray:
     fs, path = pafs.FileSystem.from_uri(folder)
     path = f"{path}/{file}"
     if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype)
+        return np.asarray(np.memmap(path, dtype, "r")) if os.path.getsize(path) else np.empty(0, dtype)
     with tempfile.TemporaryFile() as local, fs.open_input_stream(path) as source:
         while data := source.read(8 << 20):
             local.write(data)
@@ -272,7 +272,8 @@ class Words:
         ids = np.fromiter(map(get, words, repeat(-2)), np.int64, len(words))
         missing = np.flatnonzero(ids == -2)
         if len(missing):
-            new = list({words[i] for i in missing.tolist()})
+            missed = [words[i] for i in missing.tolist()]
+            new = list(set(missed))
             hashes = np.array([xxhash.xxh64_intdigest(w) for w in new], np.uint64)
             order = np.argsort(hashes)
             found = np.full(len(new), -1, np.int64)
@@ -283,18 +284,17 @@ class Words:
                     at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
                     found[order[a:b]] = np.where(table[at] == wanted, at + self.v.starts[shard], -1)
             self._recent.update(zip(new, found.tolist()))
-            ids[missing] = [self._recent[words[i]] for i in missing.tolist()]
+            ids[missing] = list(map(self._recent.__getitem__, missed))
         return ids
 
     def pick(self, ids: np.ndarray, tables: list) -> np.ndarray:
-        """Values by id (-1: 0) from arrays that are laid out as the vocabulary shards."""
+        """Values of sorted ids (-1: 0) from arrays that are laid out as the vocabulary shards."""
         out = np.zeros(len(ids), np.int64)
-        shard = np.searchsorted(self.v.starts, ids, "right") - 1
-        for s in np.unique(shard[ids >= 0]).tolist():
-            rows = (shard == s) & (ids >= 0)
-            if len(table := tables[s]):
-                at = ids[rows] - self.v.starts[s]
-                out[rows] = table.at(at) if isinstance(table, Counts) else table[at]
+        cuts = np.searchsorted(ids, [*self.v.starts, self.v.size])
+        for table, start, a, b in zip(tables, self.v.starts, cuts, cuts[1:]):
+            if a < b and len(table):
+                at = ids[a:b] - start
+                out[a:b] = table.at(at) if isinstance(table, Counts) else table[at]
         return out
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
@@ -639,63 +639,79 @@ class Scorer:
     def _counts(self, level: Level, keys: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Counts of sorted keys that are at these places (-1: nowhere)."""
         out = np.zeros(len(keys), np.int64)
-        shard = np.searchsorted(level.bounds, keys, "right")
-        for n in np.unique(shard[places >= 0]).tolist():
-            rows = (shard == n) & (places >= 0)
-            out[rows] = self.keys.counts(level.counts[n]).at(places[rows] - level.starts[n])
+        cuts = [0, *np.searchsorted(keys, level.bounds).tolist(), len(keys)]
+        for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            rows = a + np.flatnonzero(places[a:b] >= 0)
+            if len(rows):
+                out[rows] = self.keys.counts(level.counts[n]).at(places[rows] - level.starts[n])
         return out
 
     def _histories(self, level: Level, ids: np.ndarray) -> np.ndarray:
         """Sum of counts, and distinct followers by count 1, 2, 3+, of sorted history ids."""
-        out = np.zeros((len(ids), 4), np.int64)
-        low = ids.astype(np.uint64) << self.keys.bits
+        out = np.zeros((4, len(ids)), np.int64)
+        ids = ids.astype(np.uint64)
+        low = ids << self.keys.bits
         high = low | ((np.uint64(1) << self.keys.bits) - np.uint64(1))
         first = np.searchsorted(level.bounds, low, "right")
         last = np.searchsorted(level.bounds, high, "right")  # several, if divided
-        shards = set(np.unique(np.concatenate([first, last])).tolist()) if len(ids) else set()
-        for i in np.flatnonzero(last - first > 1).tolist():
-            shards.update(range(int(first[i]), int(last[i]) + 1))
-        for n in shards:
-            rows = np.flatnonzero((first <= n) & (n <= last))
-            if len(rows) and level.keys[n] is not None:
-                self._add(out, level, n, rows, ids[rows].astype(np.uint64), low[rows], high[rows])
+        # Both grow with the ids, so the histories of a shard are neighbours.
+        shards = np.arange(len(level.keys))
+        cuts = zip(np.searchsorted(last, shards).tolist(), np.searchsorted(first, shards, "right").tolist())
+        for n, (a, b) in enumerate(cuts):
+            if a < b and level.keys[n] is not None:
+                out[:, a:b] += self._followers(level, n, ids[a:b], low[a:b])
         return out
 
-    def _add(self, out, level: Level, n: int, rows: np.ndarray, ids, low: np.ndarray, high: np.ndarray) -> None:
+    def _followers(self, level: Level, n: int, ids: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """The figures of sorted histories in one shard: followers are read one after the
+        other as long as they are of the history, and looked up where they are many."""
+        out = np.zeros((4, len(ids)), np.int64)
         table, counts = self.keys.array(level.keys[n], "u8"), self.keys.counts(level.counts[n])
-        a, b = np.searchsorted(table, low), np.searchsorted(table, high, "right")
-        many = b - a > FEW
-        for k in range(FEW):
-            hit = ~many & (a + k < b)
-            c = counts.at(a[hit] + k)
-            out[rows[hit]] += np.stack([c, c == 1, c == 2, c >= 3], 1)
-        if many.any():
-            at = np.searchsorted(self.keys.array(level.histories[n][0], "u8"), ids[many])
-            out[rows[many]] += self.keys.array(level.histories[n][1], "u8").reshape(-1, 4)[at].astype(np.int64)
+        rows, at = np.arange(len(ids)), np.searchsorted(table, low)
+        for k in range(FEW + 1):
+            inside = at < len(table)
+            if not inside.all():
+                rows, at = rows[inside], at[inside]
+            same = (table[at] >> self.keys.bits) == ids[rows]
+            rows, at = rows[same], at[same]
+            if not len(rows) or k == FEW:
+                break
+            c = counts.at(at)
+            out[0, rows] += c
+            out[np.minimum(c, 3), rows] += 1
+            at = at + 1
+        if len(rows):
+            where = np.searchsorted(self.keys.array(level.histories[n][0], "u8"), ids[rows])
+            out[:, rows] = self.keys.array(level.histories[n][1], "u8").reshape(-1, 4)[where].T
+        return out
 
     def texts(self, texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
         """Per text: tokens, known tokens, unigram score, model score (log10)."""
         v = self.m.vocabulary
         ids, starts = token_ids(self.words, texts)
-        counts = self.words.counts(ids)
-        base = np.log10((counts + 0.5) / (v.tokens + 0.5 * (v.size + 1)))
-        chance = np.log10(self._chance(ids, starts)) if v.size else np.zeros(len(ids))
+        seen, at = np.unique(ids, return_inverse=True)
+        counts = self.words.counts(seen)
+        base = np.log10((counts + 0.5) / (v.tokens + 0.5 * (v.size + 1)))[at]
+        chance = np.log10(self._chance(seen, at, starts)) if v.size else np.zeros(len(ids))
         n = np.diff(np.append(starts, len(ids)))
-        return n, np.add.reduceat(counts > 0, starts, dtype=np.int64), *(np.add.reduceat(x, starts) for x in (base, chance))
-
-    def _chance(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Chance of each token, level by level. Distinct n-grams are searched once: their
-        places are their counts' and, for the next level, the histories."""
-        chance, bits = self._low(ids), self.keys.bits
-        before = np.concatenate([[self.end_id], ids[:-1]])
-        before[starts] = self.end_id
-        seen, place = np.unique(before, return_inverse=True)  # histories, -1 for unknown ones
+        known = np.add.reduceat((counts > 0)[at], starts, dtype=np.int64)
+        return n, known, *(np.add.reduceat(x, starts) for x in (base, chance))
+
+    def _chance(self, seen: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Chance of each token, level by level: ``seen`` are the distinct words, ``at`` the
+        tokens' places there. Distinct n-grams are searched once: their places are their
+        counts' and, for the next level, the histories (-1 for unknown ones)."""
+        ids, chance, bits = seen[at], self._low(seen)[at], self.keys.bits
+        end = np.searchsorted(seen, self.end_id)  # every text has its end
+        place = np.concatenate([[end], at[:-1]])
+        place[starts] = end
         for n, level in enumerate(self.m.levels):
             known = seen >= 0
-            figures = np.zeros((len(seen), 4), np.int64)
-            figures[known] = self._histories(level, seen[known])
-            total = np.maximum(figures[:, 0], 1)
-            left = np.where(figures[:, 0] > 0, figures[:, 1:] @ np.array(level.discounts) / total, 1.0)
+            figures = np.zeros((4, len(seen)), np.int64)
+            figures[:, known] = self._histories(level, seen[known])
+            total = np.maximum(figures[0], 1)
+            mass = sum(d * f for d, f in zip(level.discounts, figures[1:]))
+            left = np.where(figures[0] > 0, mass / total, 1.0)
             history = seen[place]
             both = (history >= 0) & (ids >= 0)
             keys = (history[both].astype(np.uint64) << bits) | ids[both].astype(np.uint64)
