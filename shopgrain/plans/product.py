@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from shopgrain.functions.metrics import money, pct
 from shopgrain.functions.timebucket import ALWAYS, Span, bucket, moment, period
@@ -18,6 +20,8 @@ from shopgrain.operators.grain import (
 )
 from shopgrain.plans.growth import basket_kpis
 
+_SHORT, _HALF = 18, 32  # digits of a decimal that is a long, bits of its lower half
+
 
 def monthly_margin(
     orders: DataFrame, items: DataFrame, span: Span = ALWAYS, orphan: int = ORPHAN_PRODUCT
@@ -121,23 +125,44 @@ def _scope(orders: DataFrame, repeats: bool, *keys: Column) -> tuple[DataFrame,
     return rows, F.col("n_rows")
 
 
-def _sums(value: Column, cost: Column, times: Column | None) -> tuple[Column, Column]:
-    """Revenue and margin over lines, of which each counts ``times``.
+class _Sums:
+    """Revenue and margin of lines, kept per (order, product) and added up per product.
 
-    A short decimal is summed as a long; only what counts more than once is multiplied.
+    The grouping by (order, product) holds nearly a row for each line, so what it keeps of
+    one decides the memory of a task. A short decimal is kept as two halves of its unscaled
+    value, each summed as a long: 16 bytes where a decimal sum takes 32, and no sum of one
+    order comes near 64 bits. Money of other types is summed as it is.
     """
-    revenue, gain = F.sum(value), _margin(value, cost)
-    if times is not None:
-        more = times - 1
-        often = more > 0
-        revenue = revenue + F.coalesce(F.sum(F.when(often, value * more)), F.lit(0))
-        gain = gain + F.coalesce(F.sum(F.when(often, (value - cost) * more)), F.lit(0))
-    return revenue, gain
-
 
-def _margin(value: Column, cost: Column) -> Column:
-    both = value.isNotNull() & cost.isNotNull()
-    return F.sum(F.when(both, value)) - F.sum(F.when(both, cost))
+    def __init__(self, items: DataFrame, times: Column | None) -> None:
+        kinds = [items.schema[c].dataType for c in ("price_usd", "cogs_usd")]
+        exact = all(isinstance(k, DecimalType) for k in kinds)
+        self.scale = max(k.scale for k in kinds) if exact else None
+        if exact and max(k.precision - k.scale for k in kinds) + self.scale > _SHORT:
+            self.scale = None
+        self.times = times
+
+    def _kept(self, value: Column, name: str) -> list[Column]:
+        parts = {name: value}
+        if self.scale is not None:
+            parts = {f"{name}_hi": F.shiftright(value, _HALF), f"{name}_lo": value.bitwiseAND(F.lit((1 << _HALF) - 1))}
+        return [F.sum(v if self.times is None else v * self.times).alias(n) for n, v in parts.items()]
+
+    def per_order(self) -> list[Column]:
+        value, cost = F.col("price_usd"), F.col("cogs_usd")
+        if self.scale is not None:
+            value, cost = ((c * 10**self.scale).cast("long") for c in (value, cost))
+        return self._kept(value, "_revenue") + self._kept(value - cost, "_margin")
+
+    def over_orders(self) -> list[Column]:
+        return [self._added(name).alias(name) for name in ("_revenue", "_margin")]
+
+    def _added(self, name: str) -> Column:
+        if self.scale is None:
+            return F.sum(name)
+        hi, lo = (F.sum(F.col(f"{name}_{half}").cast("decimal(20,0)")) for half in ("hi", "lo"))
+        units = hi * F.lit(1 << _HALF).cast("decimal(11,0)") + lo
+        return (units * F.lit(Decimal(1).scaleb(-self.scale))).cast(DecimalType(38, self.scale))
 
 
 def monthly_by_product(
@@ -151,21 +176,21 @@ def monthly_by_product(
     """Orders, revenue and margin per month and product.
 
     Lines meet their order first, so one exchange of them by order serves the join and the
-    grouping by (order, product) after it. The product name is joined to the finished
-    groups, so the product key of the lines is never a join key.
+    grouping by (order, product) after it. Orders in scope are one short row each: they are
+    hashed, and the lines of a task are not sorted. The product name is joined to the
+    finished groups, so the product key of the lines is never a join key.
     """
     scope, times = _scope(orders.where(span.holds()), repeats, *bucket("month"))
-    revenue, gain = _sums(F.col("price_usd"), F.col("cogs_usd"), times)
+    sums = _Sums(items, times)
     return (
         items.where(known_product(orphan))
-        .join(scope, "order_id")
+        .join(scope.hint("shuffle_hash"), "order_id")
         .groupBy("order_id", "product_id", "yr", "mo")
-        .agg(revenue.alias("revenue"), gain.alias("margin"))
+        .agg(*sums.per_order())
         .groupBy("yr", "mo", "product_id")
         .agg(
             F.count(F.lit(1)).alias("orders"),
-            F.sum("revenue").alias("_revenue"),
-            F.sum("margin").alias("_margin"),
+            *sums.over_orders(),
         )
         .join(products.select("product_id", "product_name"), "product_id")
         .select(
@@ -281,18 +306,16 @@ def lifetime_summary(
     their order.
     """
     scope, copies = _scope(orders, repeats)
-    times = F.col("n_sold") if copies is None else F.col("n_sold") * copies
-    revenue, gain = _sums(F.col("price_usd"), F.col("cogs_usd"), times)
+    sums = _Sums(items, F.col("n_sold") if copies is None else F.col("n_sold") * copies)
     return (
         sold_lines(items, refunds, grain_safe, orphan)
-        .join(scope, "order_id")
+        .join(scope.hint("shuffle_hash"), "order_id")
         .groupBy("order_id", "product_id")
-        .agg(revenue.alias("revenue"), gain.alias("margin"), *_sold_totals(copies))
+        .agg(*sums.per_order(), *_sold_totals(copies))
         .groupBy("product_id")
         .agg(
             F.count(F.lit(1)).alias("lifetime_orders"),
-            F.sum("revenue").alias("_revenue"),
-            F.sum("margin").alias("_margin"),
+            *sums.over_orders(),
             F.sum("items_sold").alias("_sold"),
             F.sum("items_refunded").alias("_refunded"),
         )

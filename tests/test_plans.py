@@ -1,6 +1,7 @@
 """The physical plans keep the shape they are meant to have."""
 
 import re
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -216,6 +217,41 @@ def test_one_exchange_of_lines_by_order(spark, key):
     assert not re.findall(r"hashpartitioning\(order_id#\d+L?, product_id", plan)
 
 
+BY_ORDER_AND_PRODUCT = (
+    "p5_month_by_product", "p10_lifetime_summary", "p10_lifetime_summary_grain_safe", "z3_net_margin",
+    "g3_copies_p5_month_by_product", "g3_copies_p10_lifetime_summary",
+)
+
+
+@pytest.mark.parametrize("key", BY_ORDER_AND_PRODUCT)
+def test_lines_are_grouped_in_little_memory(spark, key):
+    """Lines are not sorted for their order, and no decimal is kept per (order, product)."""
+    plan = text(QUERIES[key](spark, SF))
+    assert re.search(r"ShuffledHashJoin\n.*order_id", plan)
+    grouped = re.findall(r"HashAggregate\nInput .*\nKeys [^\n]*order_id#[^\n]*product_id#.*\n(?:.+\n)*", plan)
+    assert grouped and not any("isEmpty" in node for node in grouped)
+
+
+def test_money_of_an_order_is_exact(spark):
+    """The largest prices, many to an order, negative ones and lines without a cost."""
+    from shopgrain.plans import product
+
+    top = Decimal("9999999999999999.99")
+    lines = [(7, 1, top, Decimal("0.01"))] * 30 + [(7, 1, -top, None), (8, 1, Decimal("-0.03"), Decimal("0.05")), (8, 2, None, None)]
+    given = [(i, *line) for i, line in enumerate(lines)]
+    items = spark.createDataFrame(given, "order_item_id long, order_id long, product_id long, price_usd decimal(18,2), cogs_usd decimal(18,2)")
+    day = F.lit("2014-03-01").cast("timestamp_ntz").alias("created_at")
+    orders = items.select("order_id", F.lit(1).cast("decimal(18,2)").alias("price_usd"), day).distinct()
+    products = spark.createDataFrame([(1, "a"), (2, "b")], "product_id long, product_name string")
+    refunds = spark.createDataFrame([(1, 0), (2, 0), (3, 32)], "order_item_refund_id long, order_item_id long")
+    revenue, margin = 29 * top - Decimal("0.03"), 30 * (top - Decimal("0.01")) - Decimal("0.08")
+    for frame in (items, items.withColumns({c: F.col(c).cast("decimal(28,4)") for c in ("price_usd", "cogs_usd")})):
+        got = product.monthly_by_product(orders, frame, products).collect()
+        assert [(r["product_id"], r["orders"], r["revenue"], r["margin"]) for r in got] == [(1, 2, revenue, margin), (2, 1, None, None)]
+        got = product.lifetime_summary(orders, frame, refunds, products).where("product_id = 1").first()
+        assert (got["lifetime_revenue"], got["lifetime_margin"]) == (revenue + top, margin + top - Decimal("0.01"))
+
+
 def test_hot_order_is_split_before_it_is_grouped(spark):
     """An order with a third of all lines: its lines are joined in several tasks."""
     from shopgrain.plans import product
