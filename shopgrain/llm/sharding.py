@@ -4,7 +4,7 @@ Rows are ordered by a key and cut into shards of near equal bytes. The cuts are
 sampled: bytes below candidate boundaries ("probes") are counted exactly over all
 partitions, the interval that holds a wanted cut is divided into new probes, and this
 is repeated until every cut is within the tolerance or between two neighbouring keys.
-Only then are the rows exchanged, once.
+Only then are the rows exchanged, once, as a whole: with their texts and all columns.
 
 Probes are the borders of equal parts of an interval, ``fanout`` of one interval and
 ``PROBES`` of all at most. A row finds its interval by a binary search in the sorted list
@@ -15,8 +15,8 @@ greatest key of each part, to which an interval shrinks; a part of one key is th
 Ties: rows of one key are ordered by a second key drawn once per row when the rows are
 first written, so even a key that holds a third of all rows can be cut anywhere.
 
-Nulls: a null key sorts first; a null text has no bytes. Columns named like the
-operator's own are not carried. An empty input gives an empty result.
+Nulls: a null key sorts first; a null text has no bytes. Other columns travel packed, but
+those named like the operator's own are not carried. An empty input gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from shopgrain.session import stored
 _LOW, _HIGH = -(2**63), 2**63  # bounds of a signed 64-bit key
 LAW = "bytes"
 PROBES = 1 << 16  # counted in one round
+PLACE = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 @dataclass(frozen=True)
@@ -41,17 +42,24 @@ class Cut:
     minor: int
 
 
+def _others(docs: DataFrame, key: str, text: str) -> list[str]:
+    return [c for c in docs.columns if c not in (key, text, *PLACE)]
+
+
 def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", overhead: int = 8) -> DataFrame:
-    """Key, size, checksum and tie-breaker of every row, without the text.
+    """Every row with its size and tie-breaker: key, text, all other columns in ``_rest``.
 
     ``_minor`` depends on the row's place in the input, so copies of a row differ in it;
-    the caller writes the result once, which fixes it.
+    the caller writes the result once, which fixes it. Counting reads the narrow columns of
+    what was written only.
     """
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + overhead
+    others = _others(docs, key, text)
     return docs.select(
         F.col(key).cast("long").alias(key),
+        F.col(text),
+        *([F.struct(*(F.col(f"`{c}`") for c in others)).alias("_rest")] if others else []),
         size.alias("size"),
-        F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
         F.coalesce(F.col(key).cast("long"), F.lit(_LOW)).alias("_major"),
         F.xxhash64(F.col(key), F.monotonically_increasing_id()).alias("_minor"),
     )
@@ -182,7 +190,8 @@ def shard(
     tolerance: float = 0.001,
     fanout: int = 1024,
 ) -> DataFrame:
-    """key, size, text_crc32, law, shard, slot (gapless from 0 in each shard) of every row.
+    """Every row whole, with size, law, shard, slot (gapless from 0 in each shard) and the
+    checksum of the text as it lies there.
 
     Every shard is cut further into cells by the same splitters, as many as the session
     has shuffle partitions, so that the one exchange and the numbering of slots run in
@@ -203,8 +212,10 @@ def shard(
         .join(F.broadcast(starts), "_cell")
         .select(
             key,
+            text,
+            *(F.col(f"_rest.`{c}`").alias(c) for c in _others(docs, key, text)),
             "size",
-            "text_crc32",
+            F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
             F.lit(LAW).alias("law"),
             F.col("shard").cast("int").alias("shard"),
             (F.col("_start") + F.col("_at")).cast("long").alias("slot"),

@@ -534,6 +534,22 @@ def test_shards_of_awkward_rows(docs, nothing):
     assert sharding.shard(nothing).count() == 0
 
 
+def test_shards_hold_whole_rows(spark, docs, nothing):
+    """Texts and other columns move with their row; the checksum is of the text that moved."""
+    named = docs.withColumn("a.b", F.concat(F.lit("row "), F.col("doc_id")))
+    out = sharding.shard(named, shards=3)
+    assert out.columns == ["doc_id", "text", "lang", "spans", "score", "n_words", "a.b", *sharding.PLACE]
+    rows = out.collect()
+    assert Counter((r["doc_id"], r["text"], r["a.b"]) for r in rows) == Counter(
+        (i, t, None if i is None else f"row {i}") for i, t in AWKWARD
+    )
+    assert all(r["text_crc32"] == zlib.crc32((r["text"] or "").encode()) and r["lang"] == "en" for r in rows)
+    assert sharding.shard(named.select("doc_id", "text")).columns == ["doc_id", "text", *sharding.PLACE]
+    assert sharding.shard(nothing).columns[:2] == ["doc_id", "text"]
+    dealt = re.findall(r"Exchange hashpartitioning\(_cell#.*\n.*Project \[(.*?)\]", out._jdf.queryExecution().executedPlan().toString())
+    assert any("text#" in columns for columns in dealt)
+
+
 # --- benchmark passages --------------------------------------------------------------
 
 
