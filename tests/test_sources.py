@@ -147,3 +147,32 @@ def test_stream_remembers_keys_without_its_outputs(spark, tmp_path):
     assert sorted(i for i in seen if i is not None) == [0, 1, 2, 3, 50] and seen.count(None) == 1
     # Of the first query's clock, only the last value is read.
     assert [r["n_rows"] for r in rows(spark.read.parquet(run.progress))] == [3] * 4
+
+
+def test_stream_judges_many_batches_at_once_without_a_call_per_key(spark, tmp_path, monkeypatch):
+    """Batches that wait together: the least one has the first row, also where one is empty."""
+    from pyspark.sql import GroupedData
+
+    def called(*_, **__):
+        raise AssertionError("Python is called for each key")
+
+    monkeypatch.setattr(GroupedData, "applyInPandasWithState", called)
+    src, base = str(tmp_path / "in"), str(tmp_path / "run")
+    at = "2024-01-01 10:00:00"
+    runs = [
+        [[(1, at, "1"), (2, at, "1")], [(3, at, "0")], [(2, at, "2"), (None, at, "2"), (1, at, "2")]],
+        [[(9, at, "-1")]],
+        [[(1, at, "3"), (None, at, "3")], [(4, at, "3"), (4, at, "4")]],
+    ]
+    for waiting in runs:
+        for data in waiting:
+            _batch(spark, src, data)
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+        run = run_intake(spark, stream, ["id"], folder=base)
+    accepted = rows(spark.read.parquet(run.accepted))
+    assert sorted((str(r["id"]), int(r["price_usd"])) for r in accepted) == [("1", 1), ("2", 1), ("4", 3), ("None", 2)]
+    rejected = rows(spark.read.parquet(run.rejected))
+    assert sorted((r["reason"], str(r["id"]), int(r["price_usd"])) for r in rejected) == [
+        ("bad_price", "3", 0), ("bad_price", "9", -1), ("key_exists", "1", 2), ("key_exists", "1", 3),
+        ("key_exists", "2", 2), ("key_exists", "4", 4), ("key_exists", "None", 3),
+    ]
