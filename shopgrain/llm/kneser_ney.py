@@ -39,13 +39,12 @@ import mmap
 import os
 import tempfile
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -256,36 +255,28 @@ def word_bits(vocabulary: Vocabulary) -> int:
 
 
 class Words:
-    """Ids of words in a worker: recent words, then the mapped hashes."""
+    """Ids of words in a worker, from the mapped hashes."""
 
-    def __init__(self, vocabulary: Vocabulary, memory: int = 400_000) -> None:
-        self.v, self.memory = vocabulary, memory
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.v = vocabulary
         self.hashes = [map_array(vocabulary.folder, f[0], "u8") for f in vocabulary.files]
         self._counts: list[Counts] | None = None
-        self._recent: dict[bytes, int] = {}
 
-    def find(self, words: list[bytes]) -> np.ndarray:
+    def find(self, words: pa.Array) -> np.ndarray:
         """Ids, -1 for unknown words."""
-        if len(self._recent) > self.memory:
-            self._recent.clear()
-        get = self._recent.get
-        ids = np.fromiter(map(get, words, repeat(-2)), np.int64, len(words))
-        missing = np.flatnonzero(ids == -2)
-        if len(missing):
-            missed = [words[i] for i in missing.tolist()]
-            new = list(set(missed))
-            hashes = np.array([xxhash.xxh64_intdigest(w) for w in new], np.uint64)
-            order = np.argsort(hashes)
-            found = np.full(len(new), -1, np.int64)
-            cuts = [0, *np.searchsorted(hashes[order], self.v.bounds).tolist(), len(new)]
-            for table, shard, a, b in zip(self.hashes, range(len(cuts)), cuts, cuts[1:]):
-                if a < b and len(table):
-                    wanted = hashes[order[a:b]]
-                    at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
-                    found[order[a:b]] = np.where(table[at] == wanted, at + self.v.starts[shard], -1)
-            self._recent.update(zip(new, found.tolist()))
-            ids[missing] = list(map(self._recent.__getitem__, missed))
-        return ids
+        hashes = xxh64(words)
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        out = np.full(len(words), -1, np.int64)
+        cuts = [0, *np.searchsorted(hashes, self.v.bounds).tolist(), len(hashes)]
+        for table, start, a, b in zip(self.hashes, self.v.starts, cuts, cuts[1:]):
+            if a < b and len(table):
+                at = np.minimum(np.searchsorted(table, hashes[a:b]), len(table) - 1)
+                out[order[a:b]] = np.where(table[at] == hashes[a:b], at + start, -1)
+        return out
+
+    def end(self) -> int:
+        return int(self.find(pa.array([END]))[0])
 
     def pick(self, ids: np.ndarray, tables: list) -> np.ndarray:
         """Values of sorted ids (-1: 0) from arrays that are laid out as the vocabulary shards."""
@@ -303,33 +294,81 @@ class Words:
         return self.pick(ids, self._counts)
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+``, A-Z in lower case."""
-    return text.lower().split() if text else []
+def strips(texts: pa.Array, room: int = 4 << 20) -> Iterator[pa.Array]:
+    """The texts in runs of about ``room`` bytes; a longer text is a run of its own."""
+    first = held = 0
+    for n, size in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if n > first and held + size > room:
+            yield texts.slice(first, n - first)
+            first, held = n, 0
+        held += size
+    if first < len(texts):
+        yield texts.slice(first)
 
 
-def strips(texts: list[bytes | None], room: int = 4 << 20) -> Iterator[list[bytes | None]]:
-    """The texts in runs of about ``room`` bytes; a longer text is a run of its own."""
-    held, size = [], 0
-    for text in texts:
-        if held and size + len(text or b"") > room:
-            yield held
-            held, size = [], 0
-        held.append(text)
-        size += len(text or b"")
-    if held:
-        yield held
+def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct tokens of binary texts, the place of each token there, and where each text starts.
+
+    Words are ``[^\\x20\\x09-\\x0D]+``, A-Z in lower case; each text is closed by its end. The
+    kernels for ASCII look at single bytes, so the texts need not be UTF-8.
+    """
+    # Behind a space at the end comes the empty string, which is the end of the text. The
+    # join comes first: ``ascii_lower`` loses bytes where the first offset is not 0.
+    closed = pc.binary_join_element_wise(pc.fill_null(texts.cast(pa.binary()), b"").view(pa.string()), " ", "")
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(closed))
+    found = parts.flatten().dictionary_encode()
+    at = found.indices.to_numpy()
+    n = np.diff(parts.offsets.to_numpy())
+    last = np.cumsum(n) - 1
+    # Before white space at the start is one, too, which is no token.
+    keep = (pc.binary_length(found.dictionary).to_numpy() > 0)[at]
+    keep[last] = True
+    if not keep.all():
+        n = np.add.reduceat(keep, last - n + 1, dtype=np.int64)
+        at = at[keep]
+    return found.dictionary, at, np.cumsum(n) - n
+
 
+_P1, _P2, _P3, _P4, _P5 = (
+    np.uint64(p)
+    for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+)
 
-def token_ids(words: Words, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all tokens, each text closed by its end, and where each text starts."""
-    tokens: list[bytes] = []
-    starts = []
-    for text in texts:
-        starts.append(len(tokens))
-        tokens += words_of(text)
-        tokens.append(END)
-    return words.find(tokens), np.array(starts, np.int64)
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return x << np.uint64(by) | x >> np.uint64(64 - by)
+
+
+def xxh64(words: pa.Array) -> np.ndarray:
+    """The 64-bit xxHash of each word, as the library gives it, for all words at once.
+
+    Words of 32 bytes and more, which are mixed in another way, are left to the library.
+    """
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    at, sizes = ends[:-1].copy(), np.diff(ends)
+    data = np.zeros(int(ends[-1]) + 8, np.uint8)  # so 8 bytes can be read anywhere
+    data[: ends[-1]] = np.frombuffer(words.buffers()[2] or b"", np.uint8)[: ends[-1]]
+    eights, fours = (np.ndarray(len(data) - 7, t, data, strides=(1,)) for t in ("<u8", "<u4"))
+    out = _P5 + sizes.astype(np.uint64)
+    rows = np.flatnonzero((sizes >= 8) & (sizes < 32))
+    while len(rows):
+        lane = _turned(eights[at[rows]] * _P2, 31) * _P1
+        out[rows] = _turned(out[rows] ^ lane, 27) * _P1 + _P4
+        at[rows] += 8
+        rows = rows[ends[1:][rows] - at[rows] >= 8]
+    rows = np.flatnonzero((sizes & 4 > 0) & (sizes < 32))
+    out[rows] = _turned(out[rows] ^ fours[at[rows]] * _P1, 23) * _P2 + _P3
+    at[rows] += 4
+    for k in range(1, 4):
+        rows = np.flatnonzero((sizes & 3 >= k) & (sizes < 32))
+        out[rows] = _turned(out[rows] ^ data[at[rows]] * _P5, 11) * _P1
+        at[rows] += 1
+    out = (out ^ out >> np.uint64(33)) * _P2
+    out = (out ^ out >> np.uint64(29)) * _P3
+    out ^= out >> np.uint64(32)
+    for row in np.flatnonzero(sizes >= 32).tolist():
+        out[row] = xxhash.xxh64_intdigest(data[ends[row] : ends[row + 1]])
+    return out
 
 
 class Keys:
@@ -398,21 +437,21 @@ def train(docs: DataFrame, text: str = "text", shard_tokens: int = 4_000_000, or
 
     # 1. Words.
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            hashes = np.array([xxhash.xxh64_intdigest(w) for w in seen], np.uint64)
-            yield from shard_rows(*summed(hashes, np.array(list(seen.values()), np.int64)), bounds)
-            seen.clear()
-
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = 0
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                seen.update(words_of(value))
-                seen[END] += 1
-                if len(seen) > 500_000:
-                    yield from flush()
-        if seen:
-            yield from flush()
+            for run in strips(batch.column(0)):
+                words, at, _ = tokens_of(run)
+                held.append((xxh64(words), np.bincount(at)))
+                waiting += len(held[-1][0])
+                if waiting > 2_000_000:
+                    held = [summed(*(np.concatenate(x) for x in zip(*held)))]
+                    waiting = len(held[0][0])
+                    if waiting > 500_000:
+                        yield from shard_rows(*held[0], bounds)
+                        held, waiting = [], 0
+        if held:
+            yield from shard_rows(*summed(*(np.concatenate(x) for x in zip(*held))), bounds)
 
     def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, keys, counts in merged(batches):
@@ -469,7 +508,7 @@ def train(docs: DataFrame, text: str = "text", shard_tokens: int = 4_000_000, or
 
         def count_grams(batches: Iterator[pa.RecordBatch], shorter=shorter, bounds=bounds) -> Iterator[pa.RecordBatch]:
             words = Words(vocabulary)
-            keys_of = Keys(vocabulary, shorter, int(words.find([END])[0]))
+            keys_of = Keys(vocabulary, shorter, words.end())
             held, waiting = [], 0
 
             def flush() -> Iterator[pa.RecordBatch]:
@@ -477,8 +516,9 @@ def train(docs: DataFrame, text: str = "text", shard_tokens: int = 4_000_000, or
                 yield from shard_rows(keys, counts, bounds)
 
             for batch in batches:
-                for run in strips(batch.column(0).to_pylist()):
-                    *_, (_, keys) = keys_of.histories(*token_ids(words, run))
+                for run in strips(batch.column(0)):
+                    distinct, at, starts = tokens_of(run)
+                    *_, (_, keys) = keys_of.histories(words.find(distinct)[at], starts)
                     held.append(keys)
                     waiting += len(keys)
                     if waiting > 6_000_000:
@@ -525,7 +565,7 @@ def train(docs: DataFrame, text: str = "text", shard_tokens: int = 4_000_000, or
         names = spark.createDataFrame([(f,) for f in level.keys if f], "keys string")
 
         def send(batches: Iterator[pa.RecordBatch], n=n, below=below) -> Iterator[pa.RecordBatch]:
-            keys_of = Keys(vocabulary, levels, int(Words(vocabulary).find([END])[0]))
+            keys_of = Keys(vocabulary, levels, Words(vocabulary).end())
             for batch in batches:
                 for file in batch.column(0).to_pylist():
                     keys = np.asarray(map_array(folder, file, "u8"))
@@ -628,8 +668,8 @@ class Scorer:
         self.m, self.words = model, Words(model.vocabulary)
         folder = model.vocabulary.folder
         self.follows = [map_array(folder, f, "u4") if f else np.empty(0, "u4") for f in model.continuations]
-        (self.end_id,) = self.words.find([END])
-        self.keys = Keys(model.vocabulary, model.levels[:-1], int(self.end_id))
+        self.end_id = self.words.end()
+        self.keys = Keys(model.vocabulary, model.levels[:-1], self.end_id)
 
     def _low(self, ids: np.ndarray) -> np.ndarray:
         m, c = self.m, self.words.pick(ids, self.follows)
@@ -685,15 +725,16 @@ class Scorer:
             out[:, rows] = self.keys.array(level.histories[n][1], "u8").reshape(-1, 4)[where].T
         return out
 
-    def texts(self, texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
         """Per text: tokens, known tokens, unigram score, model score (log10)."""
         v = self.m.vocabulary
-        ids, starts = token_ids(self.words, texts)
-        seen, at = np.unique(ids, return_inverse=True)
+        words, at, starts = tokens_of(texts)
+        seen, back = np.unique(self.words.find(words), return_inverse=True)
+        at = back[at]
         counts = self.words.counts(seen)
         base = np.log10((counts + 0.5) / (v.tokens + 0.5 * (v.size + 1)))[at]
-        chance = np.log10(self._chance(seen, at, starts)) if v.size else np.zeros(len(ids))
-        n = np.diff(np.append(starts, len(ids)))
+        chance = np.log10(self._chance(seen, at, starts)) if v.size else np.zeros(len(at))
+        n = np.diff(np.append(starts, len(at)))
         known = np.add.reduceat((counts > 0)[at], starts, dtype=np.int64)
         return n, known, *(np.add.reduceat(x, starts) for x in (base, chance))
 
@@ -753,7 +794,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             _LOADED[name] = Scorer(m)
         scorer = _LOADED[name]
         for batch in batches:
-            parts = [scorer.texts(run) for run in strips(batch.column(at).to_pylist())]
+            parts = [scorer.texts(run) for run in strips(batch.column(at))]
             n, known, base, chance = (np.concatenate(p) for p in zip(*parts)) if parts else [np.empty(0)] * 4
             made = [
                 pa.array(n.astype(np.int64)),

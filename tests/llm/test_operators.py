@@ -11,11 +11,13 @@ import hashlib
 import math
 import random
 import re
+import sys
 import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
@@ -724,6 +726,44 @@ def test_longer_histories_equal_brute_force(spark, docs, nothing, order, shard_t
     assert {r["score"] for r in kneser_ney.score(docs, kneser_ney.train(nothing, order=order)).collect()} == {0.0}
 
 
+def test_tokens_and_their_hashes_equal_plain_python():
+    rng = random.Random(10)
+    bits = [b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r", b"A", b"z", b"[", b"\x00", b"\x1c", b"\x85", b"\xff", "\u2003\u00c4".encode()]
+    texts = [None, b"", b" ", b"a", b" a", b"a ", b"\n\n A  b\n", *(b"W" * k for k in (31, 32, 33, 500))]
+    texts += [b"".join(rng.choices(bits, k=rng.randrange(60))) for _ in range(500)]
+    texts += [b" ".join(rng.randbytes(rng.randrange(45)) for _ in range(20)) for _ in range(50)]
+    want = [[*(t or b"").lower().split(), b""] for t in texts]
+    for given in (pa.array(texts, pa.binary()), pa.array([b"x y", *texts], pa.large_binary()).slice(1)):
+        for room in (1, 500, 1 << 20):
+            got = []
+            for run in kneser_ney.strips(given, room):
+                found, at, starts = kneser_ney.tokens_of(run)
+                distinct = found.cast(pa.binary()).to_pylist()
+                assert len(set(distinct)) == len(distinct) == len(set(at.tolist()))
+                assert kneser_ney.xxh64(found).tolist() == [xxhash.xxh64_intdigest(w) for w in distinct]
+                got += [[distinct[k] for k in part] for part in np.split(at, starts[1:])]
+            assert got == want
+
+
+def test_scoring_calls_nothing_per_word(spark, docs):
+    """Words are split, hashed and looked up as arrays: a hundred times the words, the same calls."""
+    scorer = kneser_ney.Scorer(kneser_ney.train(docs, order=3))
+
+    def calls(words: int) -> int:
+        given = pa.array([" ".join(f"w{k}" for k in range(words)).encode()], pa.binary())
+        seen = Counter()
+        sys.setprofile(lambda frame, event, arg: seen.update([event]))
+        try:
+            for run in kneser_ney.strips(given):
+                scorer.texts(run)
+        finally:
+            sys.setprofile(None)
+        return seen["call"] + seen["c_call"]
+
+    calls(100)  # what is read and imported once
+    assert calls(20_000) < 1.5 * calls(200)
+
+
 def test_counts_beyond_32_bits(tmp_path):
     folder = (tmp_path / "model").as_uri()
     counts = np.array([1, 254, 255, 256, 7, 2**32 + 5, 2**40, 0], np.int64)
